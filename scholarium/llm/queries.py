@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, line_dedup, packing, quality_rules, sharding, warc
+from . import jaccard_join, line_dedup, packing, quality_rules, sharding, suffix_dedup, warc
 from .common import shared_dir, table, text_bytes
 
 
@@ -21,6 +21,12 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+    n_spans = F.size("spans").cast("long").alias("n_spans")
+    return found.select("doc_id", "n_bytes", "n_removed", n_spans, F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.keep_bitmaps(table(spark, sf_dir, "documents"), "frequent", 10)
     text = line_dedup.apply_bitmap(F.coalesce("text", F.lit("")), "keep")
@@ -56,4 +62,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op4_jaccard_join, op7_line_dedup, op8_packing, op9_warc, op10_sharding)}
+    return {f.__name__: f for f in (op1_quality_rules, op4_jaccard_join, op6_suffix_dedup, op7_line_dedup, op8_packing, op9_warc, op10_sharding)}
