@@ -92,11 +92,10 @@ def pieces(docs: DataFrame, blocks: int, ranks_path: str | None = None, window:
 
     def run(batches):
         bpe = vocab.byte_bpe(path)
-        wide = np.uint32 if bpe.encoding.n_vocab > 1 << 16 else np.uint16
 
         def rows(batch):
             for doc, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = np.append(bpe.ids(text), END_ID).astype(wide)
+                ids = np.append(bpe.ids(text), END_ID).astype(bpe.dtype)
                 n = len(ids)
                 for k in range(0, n, window):
                     part = ids[k : k + window]

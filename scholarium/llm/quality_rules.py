@@ -10,7 +10,6 @@ shuffle; a task holds one batch and two bounded caches.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,9 +19,10 @@ from pyspark.sql import functions as F
 
 from . import vocab
 from .common import text_bytes
-from .shingles import EXACT_HASHES, windows, word_hashes
+from .shingles import windows
 
 _SYMBOLS = b"#*$%&|<>"
+_BLANK = b" \t\n\x0b\x0c\r"
 _SCRIPTS = {
     "latin": "A-Za-zÀ-ÖØ-öø-ɏ",
     "greek": "Ͱ-Ͽ",
@@ -54,11 +54,11 @@ class Rules:
     min_tokens: int = 40
     bands: dict[str, Band] = field(
         default_factory=lambda: {
-            "en": Band((2.0, 6.5), 0.02, (4.2, 13.0)),
-            "de": Band((1.75, 6.5), 0.02, (4.2, 13.0)),
-            "fr": Band((1.6, 6.5), 0.02, (4.0, 13.0)),
-            "es": Band((1.6, 6.5), 0.02, (4.0, 13.0)),
-            "latin": Band((1.4, 7.5), 0.05, (3.5, 13.5)),
+            "en": Band((1.5, 6.5), 0.02, (4.2, 13.0)),
+            "de": Band((1.45, 6.5), 0.02, (4.2, 13.0)),
+            "fr": Band((1.45, 6.5), 0.02, (4.0, 13.0)),
+            "es": Band((1.35, 6.5), 0.02, (4.0, 13.0)),
+            "latin": Band((1.3, 7.5), 0.05, (3.5, 13.5)),
             "han_kana": Band((0.3, 3.0), 0.6, (3.0, 13.5)),
             "hangul": Band((0.3, 3.0), 0.6, (3.0, 13.5)),
             "other": Band((0.3, 12.0), 0.9, (2.0, 14.0)),
@@ -77,9 +77,13 @@ def repeated_words(words: list[bytes], width: int = 5) -> int:
     """Words inside windows of ``width`` words that stand twice or more in the text."""
     if len(words) < width:
         return 0
-    _, inverse, counts = np.unique(windows(word_hashes(words, EXACT_HASHES), width), return_inverse=True, return_counts=True)
+    h = windows(np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64), width)
+    ordered = np.sort(h)
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    if not len(twice):
+        return 0
     edges = np.zeros(len(words) + 1, np.int64)
-    starts = np.flatnonzero(counts[inverse] > 1)
+    starts = np.flatnonzero(np.isin(h, twice))
     np.add.at(edges, starts, 1)
     np.add.at(edges, starts + width, -1)
     return int((np.cumsum(edges[:-1]) > 0).sum())
@@ -87,9 +91,6 @@ def repeated_words(words: list[bytes], width: int = 5) -> int:
 
 def plain_counts(text: bytes) -> dict:
     words = text.split()
-    raw = np.frombuffer(text, np.uint8)
-    lead = (raw & 0xC0) != 0x80
-    blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
     seen: set[bytes] = set()
     duplicate = 0
     for line in text.split(b"\n"):
@@ -99,7 +100,7 @@ def plain_counts(text: bytes) -> dict:
     return {
         "words": words,
         "n_words": len(words),
-        "word_chars": int((lead & ~blank).sum()),
+        "word_chars": len(text.decode("utf-8", "replace")) - (len(text) - len(text.translate(None, _BLANK))),
         "n_symbols": len(text) - len(text.translate(None, _SYMBOLS)),
         "n_dup_lines": duplicate,
         "n_repeat_words": repeated_words(words),
@@ -107,32 +108,20 @@ def plain_counts(text: bytes) -> dict:
 
 
 class Fertility:
-    """Token measures of a document from measures of its words, each word taken after a space."""
+    """Token measures of a document: ids of its words, each taken after a space, and pieces of its text."""
 
     def __init__(self, rules: Rules):
-        byte, piece = vocab.byte_bpe(rules.byte_path), vocab.piece_bpe(rules.piece_path)
-
-        def measure(word: bytes) -> tuple[list[int], int, int]:
-            text = word.decode("utf-8", "replace")
-            return byte.encoding.encode_ordinary(" " + text), *piece.count(text)
-
-        self.words = vocab.Cache(measure)
+        self.byte, self.piece = vocab.byte_bpe(rules.byte_path), vocab.piece_bpe(rules.piece_path)
 
-    def __call__(self, words: list[bytes], chars: int) -> tuple[int, float, float, float]:
+    def __call__(self, text: bytes, words: list[bytes], chars: int) -> tuple[int, float, float, float]:
         """Tokens, characters per token, byte-fallback share, entropy; zeros without words."""
-        ids: list[int] = []
-        pieces = fallback = 0
-        get = self.words.__getitem__
-        for word, n in Counter(words).items():
-            got, p, f = get(word)
-            ids.extend(got * n)
-            pieces += p * n
-            fallback += f * n
-        if not ids:
+        if not words:
             return 0, 0.0, 0.0, 0.0
-        counts = np.bincount(np.array(ids, np.int64))
-        share = counts[counts > 0] / len(ids)
-        return len(ids), chars / len(ids), fallback / max(1, pieces), float(-(share * np.log2(share)).sum())
+        ids = np.sort(self.byte.word_ids(words))
+        ends = np.flatnonzero(np.append(ids[1:] != ids[:-1], True))
+        share = np.diff(ends, prepend=-1) / len(ids)
+        fallback = self.piece.fallback_share(text.decode("utf-8", "replace"))
+        return len(ids), chars / len(ids), fallback, float(-(share * np.log2(share)).sum())
 
 
 def verdict(rules: Rules, lang: str | None, text: bytes, tokens: int, rate: float, fallback: float, entropy: float) -> tuple[str, str]:
@@ -179,7 +168,7 @@ def quality_rules(docs: DataFrame, rules: Rules | None = None, keep_text: bool =
             rows = []
             for text, lang in zip(batch.column("_bytes").to_pylist(), batch.column("_lang").to_pylist(), strict=True):
                 c = plain_counts(text)
-                tokens, rate, fallback, entropy = fertility(c.pop("words"), c["word_chars"])
+                tokens, rate, fallback, entropy = fertility(text, c.pop("words"), c["word_chars"])
                 failed = c["n_words"] < rules.min_words or 100 * c["n_repeat_words"] > rules.max_repeat_percent * c["n_words"]
                 band, reason = verdict(rules, lang, text, tokens, rate, fallback, entropy)
                 rows.append((*c.values(), tokens, rate, fallback, entropy, band, reason, failed, not failed and not reason))

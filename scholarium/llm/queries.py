@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, line_dedup, packing, quality_rules, sharding, suffix_dedup, warc
+from . import decontaminate, jaccard_join, line_crf, line_dedup, packing, pii, quality_rules, sharding, suffix_dedup, warc
 from .common import shared_dir, table, text_bytes
 
 
@@ -16,11 +16,30 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "score", F.col("start").alias("first_word"), F.col("end").alias("end_word"))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    number = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    base = pii.spans_text(F.filter("spans", lambda s: s["kind"].isin(*pii.BASE)))
+    return found.select("doc_id", *(number(k) for k in pii.BASE), F.sha2(base.cast("binary"), 256).alias("base_sha256"), pii.spans_text(F.col("spans")).alias("spans"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_join.similar_documents(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id")
 
 
+def op5_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = line_crf.train(docs, table(spark, sf_dir, "labels"))
+    scored = line_crf.score_documents(docs, model)
+    return scored.select("doc_id", line_crf.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "bad_share", "n_lines")
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
     n_spans = F.size("spans").cast("long").alias("n_spans")
@@ -62,4 +81,67 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op4_jaccard_join, op6_suffix_dedup, op7_line_dedup, op8_packing, op9_warc, op10_sharding)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_quality_rules,
+            op2_decontaminate,
+            op3_pii,
+            op4_jaccard_join,
+            op5_line_crf,
+            op6_suffix_dedup,
+            op7_line_dedup,
+            op8_packing,
+            op9_warc,
+            op10_sharding,
+        )
+    }
+
+
+_OP7 = """
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+  FROM documents
+), keyed AS (
+  SELECT doc_id, pos, line,
+         translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM lines
+), often AS (
+  SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+)
+SELECT k.doc_id, count(*) AS n_lines, count(o.key) AS n_dropped,
+       sha256(coalesce(string_agg(k.line, chr(10) ORDER BY k.pos) FILTER (WHERE o.key IS NULL), '')) AS kept_sha256
+FROM keyed k LEFT JOIN often o ON k.key = o.key
+GROUP BY k.doc_id
+"""
+
+_OP4 = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, hash(list_slice(w, i, i + 4)) AS s
+  FROM words, LATERAL (SELECT unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i) WHERE len(w) > 0
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+  WHERE 100 * shared.n >= 75 * (p.n + q.n - shared.n)
+), edges AS (
+  SELECT x AS a, y AS b FROM links UNION ALL SELECT y, x FROM links
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a
+)
+SELECT d.doc_id, coalesce(max(sizes.n), 0) AS n_shingles, min(reach.b) AS component_id
+FROM documents d JOIN reach ON reach.a = d.doc_id LEFT JOIN sizes ON sizes.doc_id = d.doc_id
+GROUP BY d.doc_id
+"""
+
+def oracle_sql() -> dict[str, str]:
+    return {"op4_jaccard_join": _OP4, "op7_line_dedup": _OP7}

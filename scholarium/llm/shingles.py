@@ -9,25 +9,13 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-from .vocab import Cache
-
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xBF58476D1CE4E5B9)
 
 
-def _lower_hash(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word.lower())  # bytes.lower() changes A-Z only
-
-
-def _hash(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word)
-
-
-LOWER_HASHES, EXACT_HASHES = Cache(_lower_hash), Cache(_hash)
-
-
-def word_hashes(words: list[bytes], cache: Cache = LOWER_HASHES) -> np.ndarray:
-    return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes, the same in every process."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def windows(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -44,7 +32,7 @@ def windows(hashes: np.ndarray, width: int) -> np.ndarray:
 
 def shingle_set(text: bytes, width: int = 5) -> np.ndarray:
     """Distinct shingles, ascending.  Fewer words than ``width``: the whole sequence as one; no words: none."""
-    words = text.split()
+    words = text.lower().split()  # bytes.lower() changes A-Z only
     if not words:
         return np.zeros(0, np.uint64)
     return np.unique(windows(word_hashes(words), min(width, len(words))))
