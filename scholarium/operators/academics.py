@@ -90,7 +90,12 @@ def section_comparison(effectiveness: DataFrame, course: str = "course", term: s
         .when((p >= 70) & (g >= 2.5), "Adequate")
         .otherwise("Needs Improvement")
     )
-    rows = rows.withColumns({"course_pct_passed": rnd(F.avg("pct_passed").over(same), 2), "course_avg_grade": rnd(F.avg("avg_grade").over(same), 2)})
+
+    def mean(c: str) -> Column:  # of values with two decimals, summed as integers
+        cents = F.round(F.col(c) * 100).cast("long")
+        return rnd(ratio(F.sum(cents).over(same), F.count(cents).over(same) * 100), 2)
+
+    rows = rows.withColumns({"course_pct_passed": mean("pct_passed"), "course_avg_grade": mean("avg_grade")})
     return rows.withColumns(
         {
             "pct_passed_diff": rnd(p - F.col("course_pct_passed"), 2),

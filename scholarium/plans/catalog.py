@@ -201,8 +201,8 @@ def class_effectiveness(spark, sf_dir):
 
 
 @query(
-    f"""WITH {STUDENTS}, {GRADES}, {CLASSES_SQL}, x AS (SELECT *, {r("avg(pct_passed) OVER (PARTITION BY course, term)", 2)} AS course_pct_passed,
-  {r("avg(avg_grade) OVER (PARTITION BY course, term)", 2)} AS course_avg_grade,
+    f"""WITH {STUDENTS}, {GRADES}, {CLASSES_SQL}, x AS (SELECT *, {r("sum(round(pct_passed * 100)::BIGINT) OVER (PARTITION BY course, term)::DOUBLE / (100 * count(pct_passed) OVER (PARTITION BY course, term))::DOUBLE", 2)} AS course_pct_passed,
+  {r("sum(round(avg_grade * 100)::BIGINT) OVER (PARTITION BY course, term)::DOUBLE / (100 * count(avg_grade) OVER (PARTITION BY course, term))::DOUBLE", 2)} AS course_avg_grade,
   rank() OVER (PARTITION BY course, term ORDER BY pct_passed DESC NULLS LAST)::BIGINT AS rank_by_pass,
   rank() OVER (PARTITION BY course, term ORDER BY avg_grade DESC NULLS LAST)::BIGINT AS rank_by_grade
   FROM classes WHERE term = (SELECT max(term) FROM classes))
