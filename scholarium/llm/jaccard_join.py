@@ -25,11 +25,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import materialize, row_key, text_bytes
 from .components import connected_components
-from .runs import repeated_groups
+from .runs import pairs_and_groups
 from .shingles import shingle_set
 
 #: At most so many frequent shingles are sent to all tasks (8 bytes each).  There are no more than
@@ -217,7 +216,8 @@ def similar_documents(docs: DataFrame, percent: int = 75, width: int = 5) -> Dat
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     entries = source.select("bytes").mapInArrow(_emit(width, percent, boundary, frequent), "key long, node long, size int")
     entries = entries.repartition(parts, "key").sortWithinPartitions("key", "node")
-    lists = materialize(entries.mapInArrow(repeated_groups("key", ("node",)), "key long, node long, size int"), "lists")
+    fits = lambda a, b: 100 * np.minimum(a, b).astype(np.int64) >= percent * np.maximum(a, b).astype(np.int64)
+    lists = materialize(entries.mapInArrow(pairs_and_groups(fits), "key long, node long, size int, other long"), "lists")
     components = _link(docs, rows, lists, percent, width)
 
     members = rows.join(components, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -237,62 +237,67 @@ def similar_documents(docs: DataFrame, percent: int = 75, width: int = 5) -> Dat
 
 def _link(docs: DataFrame, rows: DataFrame, lists: DataFrame, percent: int, width: int) -> DataFrame:
     """(node, comp) of nodes with a link."""
-    spark = docs.sparkSession
-    needed = lists.select("node").distinct()
+    from pyspark.sql import Window
+
+    twos = lists.where("other is not null").select(F.col("node").alias("x"), F.col("other").alias("y")).distinct()
+    groups = lists.where("other is null").select("key", "node", "size")
+    # Buckets with the same members test the same pairs: one of them stays.
+    shape = groups.groupBy("key").agg(F.count("node").alias("n"), F.bit_xor(F.xxhash64("node")).alias("m"), F.sum(F.shiftright(F.xxhash64(F.lit(1), "node"), 16)).alias("m2"))
+    stay = materialize(shape.groupBy("n", "m", "m2").agg(F.min("key").alias("key")).select("key", "n"), "stay")
+    groups = materialize(groups.join(stay, "key"), "groups")
+
+    needed = twos.select(F.col("x").alias("node")).union(twos.select("y")).union(groups.select("node")).distinct()
     keys = rows.join(needed, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
+    keys = materialize(keys, "keys")
     # repeated rows share a key; any of them has the node's text
     texts = docs.select(row_key("doc_id", "text").alias("key"), text_bytes().alias("text")).join(keys, "key").select("node", "text")
     texts = materialize(texts, "texts")
     fits = lambda a, b: F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
-    pair = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
-    tested = spark.createDataFrame([], T.StructType([T.StructField(c, t) for c, t in (("a", T.LongType()), ("b", T.LongType()), ("linked", T.BooleanType()))]))
-    components = spark.createDataFrame([], "node long, comp long")
 
-    def test(pairs: DataFrame, first: bool = False) -> DataFrame:
-        pairs = pairs.distinct() if first else pairs.distinct().join(tested, ["a", "b"], "left_anti")
+    def test(pairs: DataFrame, tested: DataFrame | None = None) -> DataFrame:
+        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
         tb = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
         ta = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
         found = pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb")
         return materialize(found.mapInArrow(_test(width, percent), "a long, b long, linked boolean"), "tested")
 
-    from pyspark.sql import Window
-
-    by_key = Window.partitionBy("key")
-    for turn in range(PIVOT_ROUNDS):
+    def pivot_pairs(members: DataFrame, order) -> DataFrame:
+        pivot = F.first(F.struct("node", "size", "comp")).over(Window.partitionBy("key").orderBy(order, "node"))
+        apart = members.withColumn("p", pivot).where((F.col("p.comp") != F.col("comp")) & fits(F.col("size"), F.col("p.size")))
+        return apart.select(F.col("p.node").alias("x"), F.col("node").alias("y"))
+
+    tested = test(twos.union(pivot_pairs(groups.withColumn("comp", F.col("node")), F.col("node"))))
+    components = connected_components(tested.where("linked").select("a", "b"))
+    for turn in range(1, PIVOT_ROUNDS + 1):
+        # Buckets whose members are not yet all in one component.
+        groups = groups.drop("comp").join(components, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        shares = groups.groupBy("key", "comp").agg(F.count("node").alias("c"))
+        mixed = shares.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("comp").alias("comps"))
+        mixed = materialize(mixed.where("comps > 1").select("key", "main"), "mixed")
+        groups = materialize(groups.drop("main").join(mixed, "key"), "groups")
+        large = groups.where(F.col("n") >= PIVOT_FROM)
+        if turn == PIVOT_ROUNDS or large.isEmpty():
+            break
         # each turn another order, so that a member that missed one pivot meets others
-        order = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn), *(["key"] if turn > 1 else []))
-        members = lists if turn == 0 else lists.join(components, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        if turn == 0:
-            members = members.withColumn("comp", F.col("node"))
-        else:
-            mixed = (F.count("node").over(by_key) >= PIVOT_FROM) & (F.min("comp").over(by_key) != F.max("comp").over(by_key))
-            members = members.withColumn("mixed", mixed).where("mixed")
-        pivots = F.first(F.struct("node", "size", "comp")).over(by_key.orderBy(order, "node"))
-        pairs = members.withColumn("p", pivots).where((F.col("p.comp") != F.col("comp")) & fits(F.col("size"), F.col("p.size")))
-        new = test(pairs.select(F.col("p.node").alias("x"), F.col("node").alias("y")).select(*pair), turn == 0)
-        if turn and new.isEmpty():
+        new = test(pivot_pairs(large, F.xxhash64("node", F.lit(turn), *(["key"] if turn > 1 else []))), tested)
+        tested = tested.union(new)
+        if new.where("linked").isEmpty():
             break
-        tested = tested.union(new) if turn else new
-        links = tested.where("linked").select("a", "b")
-        if not new.where("linked").isEmpty():
-            components = connected_components(links)
+        components = connected_components(tested.where("linked").select("a", "b"))
 
     # Pairs in different components that no pivot has tested.  One end lies outside the bucket's largest component;
     # a pair is taken in the least bucket that it shares.
-    members = materialize(lists.join(components, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "members")
-    shares = members.groupBy("key", "comp").agg(F.count("node").alias("n"))
-    main = shares.groupBy("key").agg(F.max_by("comp", "n").alias("main"), F.count("comp").alias("comps"), F.sum("n").alias("all"))
-    main = materialize(main.where("comps > 1 and `all` > 2").select("key", "main"), "mixed")
-    members = materialize(members.join(main, "key"), "members")
-    buckets = members.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys"))
-    members = materialize(members.join(buckets, "node"), "members")
+    keys = groups.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    members = materialize(groups.join(keys, "node"), "members")
     side = lambda s: members.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "comp", "main", "keys")))
     few, rest = side("x").where("comp_x <> main_x"), side("y")
     once = (F.col("comp_y") == F.col("main_y")) | (F.col("node_x") < F.col("node_y"))
     least_shared = F.array_min(F.array_intersect("keys_x", "keys_y")) == few["key"]
     apart = (F.col("comp_x") != F.col("comp_y")) & fits(F.col("size_x"), F.col("size_y")) & once & least_shared
     pairs = few.join(rest, (few["key"] == rest["key"]) & apart)
-    new = test(pairs.select(F.col("node_x").alias("x"), F.col("node_y").alias("y")).select(*pair))
+    new = test(pairs.select(F.col("node_x").alias("x"), F.col("node_y").alias("y")), tested)
     if new.where("linked").isEmpty():
         return components
     return connected_components(tested.union(new).where("linked").select("a", "b"))
