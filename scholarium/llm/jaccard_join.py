@@ -14,6 +14,10 @@ against a pivot; what is linked falls into one component; buckets that still
 hold several components test other pivots, and at last the pairs that nobody
 has tested and that lie in different components.  A skipped pair is always one
 whose ends are already in the same component.
+
+A test first compares signatures, one or two bits a shingle, which tell a lower
+bound of how many shingles two sets do not share; only pairs that may still link
+are tested on their texts.
 """
 
 from __future__ import annotations
@@ -54,10 +58,32 @@ def node_of(shingles: np.ndarray) -> int:
     return _signed(xxhash.xxh3_64_intdigest(shingles.tobytes(), seed=7))
 
 
+def signature(shingles: np.ndarray) -> bytes:
+    """A bit for each residue of hashes, set where an odd number of them has it; as many bits as shingles at least."""
+    n = max(64, 1 << (len(shingles) - 1).bit_length())
+    at = (shingles & np.uint64(n - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=n) & 1).astype(bool), bitorder="little").tobytes()
+
+
+def may_link(p: bytes, n: int, q: bytes, m: int, percent: int) -> bool:
+    """False only if sets of ``n`` and ``m`` shingles with signatures ``p`` and ``q`` can't link.
+
+    Each bit that differs stands for a shingle that only one set has.  Of
+    signatures of different length the longer is folded.
+    """
+    x, y = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    apart = int(np.bitwise_count(x ^ y).sum())
+    return (100 + percent) * (n + m - apart) >= 2 * percent * (n + m)
+
+
 def _scan(width: int):
-    """Rows of documents (kind 0: doc_id, key, node, size) and of shingles repeated in a task (kind 1: shingle, count)."""
-    names = ["kind", "a", "b", "c", "size"]
-    kinds = [pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+    """Rows of documents (kind 0: doc_id, key, node, size, signature) and of shingles repeated in a task (kind 1: shingle, count)."""
+    names = ["kind", "a", "b", "c", "size", "sig"]
+    kinds = [pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
     def run(batches):
         held: list[np.ndarray] = []
@@ -69,15 +95,16 @@ def _scan(width: int):
             u, c = np.unique(np.concatenate(held), return_counts=True)
             u, c = u[c > 1].view(np.int64), c[c > 1]
             nothing = pa.nulls(len(u), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(u), np.int8)), pa.array(u), nothing, nothing, pa.array(c)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(u), np.int8)), pa.array(u), nothing, nothing, pa.array(c), pa.nulls(len(u), pa.binary())], names)
 
         for batch in batches:
             rows = []
             for doc, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 s = shingle_set(text, width)
                 node = node_of(s) if len(s) else None
-                rows.append((0, doc, key, node, len(s)))
-                if node is not None and node not in seen:
+                new = node is not None and node not in seen
+                rows.append((0, doc, key, node, len(s), signature(s) if new else None))
+                if new:
                     if len(seen) > 1_000_000:
                         seen.clear()
                     seen.add(node)
@@ -174,6 +201,16 @@ class _Sets(OrderedDict):
         return self[node]
 
 
+def _may_link(percent: int):
+    def run(batches):
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("pa", "na", "pb", "nb")]
+            ok = [may_link(p, n, q, m, percent) for p, n, q, m in zip(*columns, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
 def _test(width: int, percent: int):
     def run(batches):
         sets = _Sets()
@@ -202,7 +239,7 @@ def similar_documents(docs: DataFrame, percent: int = 75, width: int = 5) -> Dat
     """
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long"), row_key("doc_id", "text").alias("key"), text_bytes().alias("bytes"))
-    scanned = materialize(source.mapInArrow(_scan(width), "kind byte, a long, b long, c long, size long"), "scan")
+    scanned = materialize(source.mapInArrow(_scan(width), "kind byte, a long, b long, c long, size long, sig binary"), "scan")
     rows = scanned.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("key"), F.col("c").alias("node"), "size")
     totals = rows.agg(F.sum("size").alias("n")).first()["n"] or 0
     least = max(LEAST_FREQUENCY, -(-totals // MOST_FREQUENT))
@@ -218,7 +255,8 @@ def similar_documents(docs: DataFrame, percent: int = 75, width: int = 5) -> Dat
     entries = entries.repartition(parts, "key").sortWithinPartitions("key", "node")
     fits = lambda a, b: 100 * np.minimum(a, b).astype(np.int64) >= percent * np.maximum(a, b).astype(np.int64)
     lists = materialize(entries.mapInArrow(pairs_and_groups(fits), "key long, node long, size int, other long"), "lists")
-    components = _link(docs, rows, lists, percent, width)
+    signatures = scanned.where("sig is not null").select(F.col("c").alias("node"), "size", "sig")
+    components = _link(docs, rows, signatures, lists, percent, width)
 
     members = rows.join(components, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     members = materialize(members.select("doc_id", "key", "node", "size", "comp"), "members")
@@ -235,7 +273,7 @@ def similar_documents(docs: DataFrame, percent: int = 75, width: int = 5) -> Dat
     )
 
 
-def _link(docs: DataFrame, rows: DataFrame, lists: DataFrame, percent: int, width: int) -> DataFrame:
+def _link(docs: DataFrame, rows: DataFrame, signatures: DataFrame, lists: DataFrame, percent: int, width: int) -> DataFrame:
     """(node, comp) of nodes with a link."""
     from pyspark.sql import Window
 
@@ -249,19 +287,28 @@ def _link(docs: DataFrame, rows: DataFrame, lists: DataFrame, percent: int, widt
     needed = twos.select(F.col("x").alias("node")).union(twos.select("y")).union(groups.select("node")).distinct()
     keys = rows.join(needed, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
     keys = materialize(keys, "keys")
-    # repeated rows share a key; any of them has the node's text
-    texts = docs.select(row_key("doc_id", "text").alias("key"), text_bytes().alias("text")).join(keys, "key").select("node", "text")
-    texts = materialize(texts, "texts")
+    signatures = materialize(signatures.join(needed, "node", "left_semi").groupBy("node").agg(F.max("size").alias("size"), F.max("sig").alias("sig")), "signatures")
     fits = lambda a, b: F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
 
     def test(pairs: DataFrame, tested: DataFrame | None = None) -> DataFrame:
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "pairs")
+        side = lambda s: signatures.select(F.col("node").alias(s), F.col("size").alias(f"n{s}"), F.col("sig").alias(f"p{s}"))
+        close = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "pa", "na", "pb", "nb").mapInArrow(_may_link(percent), "a long, b long")
+        # The pairs are written out, so that Spark knows their size: where they are few, texts need no shuffle.
+        close = materialize(close, "close")
+        own = materialize(close.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(keys, "node"), "own")
+        # repeated rows share a key; any of them has the node's text
+        texts = docs.select(row_key("doc_id", "text").alias("key"), text_bytes().alias("text")).join(own, "key").select("node", "text")
+        texts = materialize(texts, "texts")
         tb = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
         ta = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-        found = pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb")
-        return materialize(found.mapInArrow(_test(width, percent), "a long, b long, linked boolean"), "tested")
+        linked = close.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInArrow(_test(width, percent), "a long, b long, linked boolean")
+        # pairs apart are kept too, so that no later turn tests them again
+        linked = linked.where("linked").select("a", "b", "linked").distinct()
+        return materialize(pairs.join(linked, ["a", "b"], "left").select("a", "b", F.coalesce("linked", F.lit(False)).alias("linked")), "tested")
 
     def pivot_pairs(members: DataFrame, order) -> DataFrame:
         pivot = F.first(F.struct("node", "size", "comp")).over(Window.partitionBy("key").orderBy(order, "node"))
@@ -287,15 +334,11 @@ def _link(docs: DataFrame, rows: DataFrame, lists: DataFrame, percent: int, widt
             break
         components = connected_components(tested.where("linked").select("a", "b"))
 
-    # Pairs in different components that no pivot has tested.  One end lies outside the bucket's largest component;
-    # a pair is taken in the least bucket that it shares.
-    keys = groups.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys"))
-    members = materialize(groups.join(keys, "node"), "members")
-    side = lambda s: members.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "comp", "main", "keys")))
+    # Pairs in different components that no pivot has tested.  One end lies outside the bucket's largest component.
+    side = lambda s: groups.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "comp", "main")))
     few, rest = side("x").where("comp_x <> main_x"), side("y")
     once = (F.col("comp_y") == F.col("main_y")) | (F.col("node_x") < F.col("node_y"))
-    least_shared = F.array_min(F.array_intersect("keys_x", "keys_y")) == few["key"]
-    apart = (F.col("comp_x") != F.col("comp_y")) & fits(F.col("size_x"), F.col("size_y")) & once & least_shared
+    apart = (F.col("comp_x") != F.col("comp_y")) & fits(F.col("size_x"), F.col("size_y")) & once
     pairs = few.join(rest, (few["key"] == rest["key"]) & apart)
     new = test(pairs.select(F.col("node_x").alias("x"), F.col("node_y").alias("y")), tested)
     if new.where("linked").isEmpty():
