@@ -43,6 +43,8 @@ LEAST_FREQUENCY = 64
 BOUNDARIES = tuple(range(3, 65))
 #: Rounds of pivots before untested pairs are taken one by one, and the bucket size from which they are used.
 PIVOT_ROUNDS, PIVOT_FROM = 4, 9
+#: Bits of the filter that keeps other texts out of a shuffle: 1 MB, whatever the size of the corpus.
+FILTER_BITS = 1 << 23
 
 
 def _need(size: int, percent: int) -> int:
@@ -192,6 +194,17 @@ def choose_boundary(sizes: list[tuple[int, int]], per_list: float, percent: int,
     return min(BOUNDARIES, key=cost)
 
 
+def _likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``rows`` whose ``key`` is in ``wanted``, and some others: a filter of FILTER_BITS bits, in cells of 2^15."""
+    place = F.pmod(F.col("key"), F.lit(FILTER_BITS))
+    cell, at = F.shiftright(place, 15).alias("_cell"), place.bitwiseAND(F.lit((1 << 15) - 1).cast("long"))
+    cells = wanted.select(cell, at.alias("_at")).groupBy("_cell").agg(F.bitmap_construct_agg("_at").alias("_bits"))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.shiftright(at, 3).cast("int") + F.lit(1), F.lit(1))), 16, 10).cast("int")
+    bit = byte.bitwiseAND(F.element_at(F.array(*(F.lit(1 << k) for k in range(8))), (at % 8).cast("int") + F.lit(1)))
+    # FILTER_BITS bound the cells
+    return rows.withColumn("_cell", cell).join(F.broadcast(cells), "_cell").where(bit != 0).drop("_cell", "_bits")
+
+
 class _Sets(OrderedDict):
     def of(self, node: int, text: bytes, width: int) -> np.ndarray:
         if node not in self:
@@ -297,11 +310,10 @@ def _link(docs: DataFrame, rows: DataFrame, signatures: DataFrame, lists: DataFr
         pairs = materialize(pairs, "pairs")
         side = lambda s: signatures.select(F.col("node").alias(s), F.col("size").alias(f"n{s}"), F.col("sig").alias(f"p{s}"))
         close = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "pa", "na", "pb", "nb").mapInArrow(_may_link(percent), "a long, b long")
-        # The pairs are written out, so that Spark knows their size: where they are few, texts need no shuffle.
         close = materialize(close, "close")
         own = materialize(close.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(keys, "node"), "own")
         # repeated rows share a key; any of them has the node's text
-        texts = docs.select(row_key("doc_id", "text").alias("key"), text_bytes().alias("text")).join(own, "key").select("node", "text")
+        texts = _likely(docs.select(row_key("doc_id", "text").alias("key"), text_bytes().alias("text")), own).join(own, "key").select("node", "text")
         texts = materialize(texts, "texts")
         tb = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
         ta = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
