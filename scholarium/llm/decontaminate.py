@@ -220,6 +220,6 @@ def contaminated(docs: DataFrame, items: DataFrame, settings: Settings | None =
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """``docs`` without the documents that copy a test item."""
-    found = contaminated(docs, items, settings).select("key").distinct()
-    return docs.withColumn("_key", row_key("doc_id", "text")).join(found, F.col("_key") == F.col("key"), "left_anti").select(*docs.columns)
+    """``docs`` without the documents that copy a test item; other rows and all columns stay as they are."""
+    found = contaminated(docs, items, settings).select(F.col("key").alias("_key")).distinct()
+    return docs.withColumn("_key", row_key("doc_id", "text")).join(found, "_key", "left_anti").select(*docs.columns)

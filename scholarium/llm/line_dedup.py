@@ -31,13 +31,13 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(_BLANK)), _UPPER, _LOWER)
 
 
-def _lines(docs: DataFrame) -> DataFrame:
+def _lines(docs: DataFrame, with_id: bool) -> DataFrame:
     lines = F.posexplode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)).alias("pos", "line")
-    rows = docs.select(row_key("doc_id", "text").alias("doc"), lines)
+    rows = docs.select(row_key("doc_id", "text").alias("doc"), *([F.col("doc_id").alias("id")] if with_id else []), lines)
     key = line_key(F.col("line"))
     # 96 bits tell keys apart
     return rows.where(key != "").select(
-        F.xxhash64(key).alias("h"), F.crc32(key.cast("binary")).alias("h2"), "doc", F.col("pos").cast("int").alias("pos")
+        F.xxhash64(key).alias("h"), F.crc32(key.cast("binary")).alias("h2"), *(["id"] if with_id else []), "doc", F.col("pos").cast("int").alias("pos")
     )
 
 
@@ -45,7 +45,7 @@ def _marked(policy: str, min_docs: int):
     """Streams a part sorted by (h, h2, doc, pos); yields (doc, pos) of lines to drop.
 
     'frequent': all lines of a key that stands in at least ``min_docs``
-    documents.  'first': all but the first in order of document and position.
+    documents.  'first': all but the first in order of document id and position.
     At most the lines of ``min_docs`` - 1 documents wait at a time.
     """
 
@@ -95,8 +95,12 @@ def dropped_lines(docs: DataFrame, policy: str = "frequent", min_docs: int = 10,
     """(doc, pos) of each line to drop; ``doc`` is ``row_key`` of the row."""
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = ["h", "h2", "doc"]
-    ranged = _lines(docs).dropDuplicates(["h", "h2", "doc", "pos"]) if policy == "first" else _lines(docs)
+    # first occurrences go by document id; how often a key stands does not depend on an order
+    first = policy == "first"
+    order = ["h", "h2", *(["id"] if first else []), "doc"]
+    ranged = _lines(docs, first)
+    if first:
+        ranged = ranged.dropDuplicates([*order, "pos"])
     ranged = ranged.repartitionByRange(parts, *order).sortWithinPartitions(*order, "pos")
     # checkpoint() keeps each sorted part whole and in order.
     shared_dir(spark)
