@@ -43,7 +43,7 @@ def test_quality_rules(odd, empty):
 
 
 def test_quality_bands_reject(spark):
-    docs = spark.createDataFrame([(1, " ".join("#%&~^" * 3 for _ in range(60)), "en"), (2, " ".join(f"{i}☃{i}☃" for i in range(80)), "en"), (3, "the people of the town went to the market in the morning and bought bread " * 1 + "while others stayed at home because rain was falling over every street, garden and field near the old river bridge that winter", "en")], "doc_id long, text string, lang string")
+    docs = spark.createDataFrame([(1, " ".join("#%&~^" * 3 for _ in range(60)), "en"), (2, " ".join(f"{i}𓀀{i}𓂀" for i in range(80)), "en"), (3, "the people of the town went to the market in the morning and bought bread " * 1 + "while others stayed at home because rain was falling over every street, garden and field near the old river bridge that winter", "en")], "doc_id long, text string, lang string")
     got = {r["doc_id"]: r for r in quality_rules.quality_rules(docs, quality_rules.Rules(max_repeat_percent=100, min_tokens=20)).collect()}
     assert got[1]["reason"] and got[2]["reason"] and got[2]["byte_fallback_share"] > 0.02 and got[3]["kept"]
 
