@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 
-def repeated_groups(key: str, member: tuple[str, ...]):
+def repeated_groups(key: str | tuple[str, ...], member: tuple[str, ...]):
     """A function for mapInArrow over rows sorted by ``key``, then ``member``.
 
     Repeats of a member in a group fall away, then groups with one member.
@@ -14,19 +14,24 @@ def repeated_groups(key: str, member: tuple[str, ...]):
     however large a group is.
     """
 
+    keys = (key,) if isinstance(key, str) else key
+
     def run(batches):
         last, sent = None, False  # the row that may still begin a group; whether it went out already
         for batch in batches:
             if not batch.num_rows:
                 continue
             t = pa.table(batch) if last is None else pa.concat_tables([last, pa.table(batch)]).combine_chunks()
-            k = t.column(key).to_numpy()
-            repeat = k[1:] == k[:-1]
+            same = np.ones(t.num_rows - 1, bool)
+            for k in keys:
+                v = t.column(k).to_numpy()
+                same &= v[1:] == v[:-1]
+            repeat = same.copy()
             for m in member:
                 v = t.column(m).to_numpy()
                 repeat &= v[1:] == v[:-1]
             at = np.flatnonzero(np.concatenate([[True], ~repeat]))
-            pair = k[at][1:] == k[at][:-1]
+            pair = same[at[1:] - 1]  # repeats in between have the same key as the row before them
             keep = np.zeros(len(at), bool)
             keep[1:] |= pair
             keep[:-1] |= pair

@@ -28,10 +28,12 @@ from .runs import repeated_groups
 
 LENGTH = 400
 GRAM = 32
-#: Reads of one anchor up to which they are ordered in one task; more go the way of ``_long_windows``.
+#: Reads of one anchor up to which they are ordered in one task; more go the way of ``_hot_windows``.
 MOST_READS = 4096
 #: Reads that a task orders together.
-BLOCK_READS = 16_384
+BLOCK_READS = 8192
+#: Windows of hot anchors that a task compares with each other before the shuffle.
+BLOCK_WINDOWS = 500_000
 #: Bytes of a text that are hashed at a time.
 CHUNK = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -232,30 +234,85 @@ def _order(length: int, gram: int):
     return run
 
 
-def _long_windows(length: int, gram: int):
-    """For anchors with very many reads: two hashes of each window of each read, to be grouped by Spark."""
-    left = length - gram
+def _hot_windows(length: int, gram: int):
+    """For anchors with very many reads: the windows whose least gram is such an anchor, to be grouped by Spark.
 
-    def run(batches):
-        grams = Grams()
+    Rows with ``end`` are spans that repeat already within the texts of a task's
+    block; the others are one window of each two hashes in the block.
+    """
+    w = length - gram + 1
+    names = ["w", "w2", "t", "start", "end"]
+
+    def blocks(batches):
+        """Windows of whole texts, each text once in a block: t, start and two hashes of each."""
+        grams, held, seen, n = Grams(), [], set(), 0
         for batch in batches:
-            for t, pos, before, read in zip(*(batch.column(c).to_pylist() for c in ("t", "pos", "before", "read")), strict=True):
-                raw = np.frombuffer(read, np.uint8)
-                if len(raw) < length:
+            for t, text, places in zip(*(batch.column(c).to_pylist() for c in ("t", "bytes", "places")), strict=True):
+                if t in seen:
                     continue
-                one, two = grams(raw, length), grams(raw, length, 1000)
-                n = min(before + 1, len(one))
-                starts = np.arange(n) + (pos - before)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(one[:n].view(np.int64)), pa.array(two[:n].view(np.int64)), pa.array(np.full(n, t, np.int64)), pa.array(starts)], ["w", "w2", "t", "start"]
-                )
+                seen.add(t)
+                raw = np.frombuffer(text, np.uint8)
+                hot = np.unique(np.array([p["anchor"] for p in places], np.int64)).view(np.uint64)
+                for begin in range(0, len(raw) - length + 1, CHUNK):
+                    part = raw[begin : begin + CHUNK + length - 1]
+                    on = np.flatnonzero(np.isin(_sliding(grams(part, gram), w, True), hot))
+                    if len(on):
+                        held.append((np.full(len(on), t, np.int64), on + begin, grams(part, length)[on], grams(part, length, 1000)[on]))
+                        n += len(on)
+                if n >= BLOCK_WINDOWS:
+                    yield [np.concatenate(x) for x in zip(*held, strict=True)]
+                    held, seen, n = [], set(), 0
+        if held:
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+    def run(batches):
+        for t, start, one, two in blocks(batches):
+            order = np.lexsort((two, one))
+            same = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
+            again = np.zeros(len(t), bool)
+            again[order[1:][same]] = True
+            again[order[:-1][same]] = True
+            first = order[np.concatenate([[True], ~same])]
+            on = np.flatnonzero(again)
+            fresh = np.ones(len(on), bool)
+            fresh[1:] = (t[on][1:] != t[on][:-1]) | (start[on][1:] != start[on][:-1] + 1)
+            begin = on[fresh]
+            last = on[np.append(fresh[1:], True)] if len(on) else on
+            nothing = pa.nulls(len(first), pa.int64())
+            yield from pa.table([pa.array(one[first].view(np.int64)), pa.array(two[first].view(np.int64)), pa.array(t[first]), pa.array(start[first]), nothing], names).to_batches(max_chunksize=200_000)
+            yield pa.RecordBatch.from_arrays([pa.array(t[begin] ^ start[begin]), pa.array(np.zeros(len(begin), np.int64)), pa.array(t[begin]), pa.array(start[begin]), pa.array(start[last] + length)], names)
 
     return run
 
 
+def _hot_spans(length: int):
+    """Spans of windows that stand in several blocks, and the spans that the blocks found themselves."""
+
+    def run(batches):
+        ready = []
+
+        def windows():
+            for batch in batches:
+                own = batch.column("end").is_null()
+                ready.append(batch.filter(batch.column("end").is_valid()).select(["t", "start", "end"]))
+                yield batch.filter(own).select(["w", "w2", "t", "start"])
+
+        for batch in repeated_groups(("w", "w2"), ("t", "start"))(windows()):
+            yield from ready
+            ready.clear()
+            start = batch.column("start").to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column("t"), batch.column("start"), pa.array(start + length)], ["t", "start", "end"])
+        yield from ready
+
+    return run
+
+
+def _places(found: DataFrame) -> DataFrame:
+    return materialize(found.groupBy("t").agg(F.collect_list(F.struct("anchor", "pos")).alias("places")), "places")
+
+
 def _reads(texts: DataFrame, found: DataFrame, length: int, gram: int) -> DataFrame:
-    places = materialize(found.groupBy("t").agg(F.collect_list(F.struct("anchor", "pos")).alias("places")), "places")
-    return texts.join(places, "t").mapInArrow(_cut(length, gram), "anchor long, t long, pos long, before int, read binary")
+    return texts.join(_places(found), "t").mapInArrow(_cut(length, gram), "anchor long, t long, pos long, before int, read binary")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -276,11 +333,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     few = _reads(long, found.join(many, "anchor", "left_anti"), length, gram).repartition(parts, "anchor").sortWithinPartitions("anchor", "t", "pos")
     spans = few.mapInArrow(_order(length, gram), "t long, start long, end long")
     if not many.isEmpty():
-        hot = _reads(long, found.join(many, "anchor", "left_semi"), length, gram)
-        hot = hot.mapInArrow(_long_windows(length, gram), "w long, w2 long, t long, start long").withColumn("h", F.xxhash64("w", "w2"))
-        hot = hot.repartition(parts, "h").sortWithinPartitions("h", "t", "start")
-        hot = hot.mapInArrow(repeated_groups("h", ("t", "start")), "w long, w2 long, t long, start long, h long")
-        spans = spans.union(hot.select("t", "start", (F.col("start") + F.lit(length)).alias("end")))
+        hot = long.join(_places(found.join(many, "anchor", "left_semi")), "t")
+        hot = hot.mapInArrow(_hot_windows(length, gram), "w long, w2 long, t long, start long, end long")
+        hot = hot.repartition(parts, "w").sortWithinPartitions("w", "w2", "t", "start")
+        spans = spans.union(hot.mapInArrow(_hot_spans(length), "t long, start long, end long"))
     by_text = spans.groupBy("t").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     copies = long.groupBy("t").agg(F.count(F.lit(1)).alias("copies"))
     return copies.join(by_text, "t", "left").where("copies > 1 or spans is not null")

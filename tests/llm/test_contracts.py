@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from scholarium.llm import queries as Q
+from scholarium.llm import suffix_dedup
 
 from . import brute
 
@@ -57,7 +58,10 @@ def test_quality_classifier_held_out(spark):
     assert area > 0.9
 
 
-def test_suffix_removal(spark, docs):
+@pytest.mark.parametrize(("most_reads", "block_windows"), [(4096, 500_000), (1, 500_000), (1, 2000)])
+def test_suffix_removal(spark, docs, monkeypatch, most_reads, block_windows):
+    monkeypatch.setattr(suffix_dedup, "MOST_READS", most_reads)
+    monkeypatch.setattr(suffix_dedup, "BLOCK_WINDOWS", block_windows)
     got = Q.op6_suffix_dedup(spark, SF).collect()
     rows = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got]
     assert sorted(rows, key=repr) == brute.suffix_removed(docs)
