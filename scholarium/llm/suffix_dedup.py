@@ -307,12 +307,16 @@ def _hot_spans(length: int):
     return run
 
 
-def _places(found: DataFrame) -> DataFrame:
-    return materialize(found.groupBy("t").agg(F.collect_list(F.struct("anchor", "pos")).alias("places")), "places")
+def _places(found: DataFrame, many: DataFrame) -> DataFrame:
+    """Anchors by text: ``few`` and ``hot``, those with very many reads."""
+    marked = found.join(many.withColumn("is_hot", F.lit(True)), "anchor", "left")
+    place = F.struct("anchor", "pos")
+    few, hot = (F.collect_list(F.when(c, place)) for c in (F.col("is_hot").isNull(), F.col("is_hot").isNotNull()))
+    return materialize(marked.groupBy("t").agg(few.alias("few"), hot.alias("hot")), "places")
 
 
-def _reads(texts: DataFrame, found: DataFrame, length: int, gram: int) -> DataFrame:
-    return texts.join(_places(found), "t").mapInArrow(_cut(length, gram), "anchor long, t long, pos long, before int, read binary")
+def _with_places(texts: DataFrame, places: DataFrame, kind: str) -> DataFrame:
+    return texts.join(places.where(F.size(kind) > 0).select("t", F.col(kind).alias("places")), "t")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -330,11 +334,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     found = materialize(found.mapInArrow(repeated_groups("anchor", ("t", "pos")), "anchor long, t long, pos long"), "anchors")
     many = found.groupBy("anchor").agg(F.count("t").alias("n")).where(F.col("n") > MOST_READS).select("anchor")
     many = materialize(many, "many")
-    few = _reads(long, found.join(many, "anchor", "left_anti"), length, gram).repartition(parts, "anchor").sortWithinPartitions("anchor", "t", "pos")
+    places = _places(found, many)
+    few = _with_places(long, places, "few").mapInArrow(_cut(length, gram), "anchor long, t long, pos long, before int, read binary")
+    few = few.repartition(parts, "anchor").sortWithinPartitions("anchor", "t", "pos")
     spans = few.mapInArrow(_order(length, gram), "t long, start long, end long")
     if not many.isEmpty():
-        hot = long.join(_places(found.join(many, "anchor", "left_semi")), "t")
-        hot = hot.mapInArrow(_hot_windows(length, gram), "w long, w2 long, t long, start long, end long")
+        hot = _with_places(long, places, "hot").mapInArrow(_hot_windows(length, gram), "w long, w2 long, t long, start long, end long")
         hot = hot.repartition(parts, "w").sortWithinPartitions("w", "w2", "t", "start")
         spans = spans.union(hot.mapInArrow(_hot_spans(length), "t long, start long, end long"))
     by_text = spans.groupBy("t").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
