@@ -1,11 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
 Test items are short and few; they are sent to all tasks in blocks of bounded
-size.  A first pass over the documents counts in how many of them each n-gram of
-a block stands.  In every few neighbouring n-grams of an item the rarest becomes
-a seed, so any copied run of ``gram + near - 1`` words holds one, and common
-phrases seldom do.  A second pass aligns the surroundings of each seed found
-with its item.  Documents are never moved or joined.
+size.  Every n-gram of an item is a seed, common ones too, so any copy with a
+run of ``gram`` unedited words holds one.  One pass over the documents aligns
+the surroundings of each seed found with its item, unless the words that stand
+there rule out the least score.  Documents are never moved or joined.
 """
 
 from __future__ import annotations
@@ -35,8 +34,6 @@ def normal(word: bytes) -> str:
 @dataclass(frozen=True)
 class Settings:
     gram: int = 3
-    #: The rarest of so many neighbouring n-grams is a seed.
-    near: int = 4
     match: int = 2
     mismatch: int = -1
     gap: int = -1
@@ -73,6 +70,13 @@ def align(item: np.ndarray, text: np.ndarray, s: Settings) -> tuple[int, int, in
     return best, *at
 
 
+def may_reach(item: np.ndarray, text: np.ndarray, least: float, s: Settings) -> bool:
+    """False only if no alignment of ``item`` in ``text`` scores ``least``: words of the item that the text lacks can't match."""
+    gain = np.where(np.isin(item, text), s.match, max(s.mismatch, s.gap))
+    total = np.append(0, np.cumsum(gain))
+    return bool((total - np.minimum.accumulate(total)).max() >= least)
+
+
 class Block:
     """Items of a block, their words as numbers, and their n-grams as sorted numbers."""
 
@@ -88,9 +92,11 @@ class Block:
         self.base = len(self.numbers) + 1
         if self.base**s.gram >= 1 << 63:
             raise ValueError("a block has too many words for its n-grams to fit 63 bits")
-        grams = [self.grams(ids) for _, ids in self.items]
-        self.known = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.int64)
         self.at = defaultdict(list)
+        for i, (_, ids) in enumerate(self.items):
+            for c, g in enumerate(self.grams(ids).tolist()):
+                self.at[g].append((i, c))
+        self.seeds = np.array(sorted(self.at), np.int64)
 
     def grams(self, ids: np.ndarray) -> np.ndarray:
         """Numbers of n-grams; -1 where a word is unknown."""
@@ -102,17 +108,6 @@ class Block:
             good &= part >= 0
         return np.where(good, out, -1)
 
-    def choose_seeds(self, counts: np.ndarray) -> None:
-        near = self.settings.near
-        for i, (_, ids) in enumerate(self.items):
-            grams = self.grams(ids)
-            df = counts[np.searchsorted(self.known, grams)]
-            last = max(0, len(grams) - near)
-            chosen = {int(a + np.argmin(df[a : a + near])) for a in range(last + 1)}
-            for c in chosen:
-                self.at[int(grams[c])].append((i, c))
-        self.seeds = np.array(sorted(self.at), np.int64)
-
     def reader(self):
         return Cache(lambda word: self.numbers.get(normal(word), -1) if _OTHER.sub("", word.decode("utf-8", "replace")) else -2)
 
@@ -132,20 +127,6 @@ def _words(text: bytes, read: Cache) -> np.ndarray:
     return ids[ids != -2] if len(ids) else ids  # marks alone are no words
 
 
-def _count(block):
-    def run(batches):
-        b = block.value
-        read, total = b.reader(), np.zeros(len(b.known), np.int64)
-        for batch in batches:
-            for text in batch.column("bytes").to_pylist():
-                found = _within(b.grams(_words(text, read)), b.known)
-                total[np.unique(found[found >= 0])] += 1
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["gram", "n"])
-
-    return run
-
-
 _OUTPUT = "doc_id long, key long, item_id long, score double, start int, end int"
 
 
@@ -168,12 +149,14 @@ def _search(block):
                         places[item].append(p - offset)
                 for item, starts in places.items():
                     item_id, words = b.items[item]
+                    least = s.min_score * s.match * len(words)
                     slack, best = len(words) // 2 + 4, (0, 0, 0)
                     lo = hi = None
                     for start in [*sorted(starts), None]:
                         if lo is not None and (start is None or start - slack > hi or hi - lo > 64 * len(words)):
-                            got = align(words, ids[lo:hi], s)
-                            best = max(best, (got[0], got[1] + lo, got[2] + lo), key=lambda x: x[0])
+                            if may_reach(words, ids[lo:hi], least, s):
+                                got = align(words, ids[lo:hi], s)
+                                best = max(best, (got[0], got[1] + lo, got[2] + lo), key=lambda x: x[0])
                             lo = None
                         if start is not None:
                             if lo is None:
@@ -208,12 +191,6 @@ def contaminated(docs: DataFrame, items: DataFrame, settings: Settings | None =
         # one block of bounded size
         own = dealt.where(F.col("_block") == k).select("item_id", "item_text").collect()
         block = Block(sorted(((r[0], r[1]) for r in own), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")), s)
-        first = sc.broadcast(block)
-        counted = source.select("bytes").mapInArrow(_count(first), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-        counts = np.zeros(len(block.known), np.int64)
-        for r in counted.toLocalIterator():  # no more rows than the block has n-grams
-            counts[r["gram"]] = r["n"]
-        block.choose_seeds(counts)
         found = source.mapInArrow(_search(sc.broadcast(block)), _OUTPUT)
         out = found if out is None else out.union(found)
     return out

@@ -64,6 +64,27 @@ def test_decontaminate(spark, odd, empty):
     assert decontaminate.decontaminate(empty, items).count() == 0
 
 
+@pytest.mark.parametrize("every", [4, 5, 6])
+def test_decontaminate_finds_copies_edited_every_few_words(spark, every):
+    items, docs = [], []
+    for n in (16, 59):
+        item = words(20 + n, n).split()
+        edited = [f"edit{k}" if k % every == every - 1 else w for k, w in enumerate(item)]
+        items.append((n, " ".join(item)))
+        docs += [(n, words(40 + n, 80) + " " + " ".join(edited) + " " + words(60 + n, 80)), (-n, " ".join(item))]
+        docs += [(1000 * n + k, words(1000 * n + k, 50) + " " + " ".join(item[: n // 4])) for k in range(20)]  # common beginnings
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(16, 16), (-16, 16), (59, 59), (-59, 59)}
+
+
+def test_bound_never_hides_an_alignment():
+    r = np.random.default_rng(6)
+    s = decontaminate.Settings()
+    for _ in range(300):
+        item, text = r.integers(0, 9, r.integers(1, 12)), r.integers(0, 12, r.integers(0, 20))
+        assert decontaminate.may_reach(item, text, decontaminate.align(item, text, s)[0], s)
+
+
 def test_alignment_scores():
     r = np.random.default_rng(0)
     for _ in range(100):
