@@ -2,15 +2,18 @@
 
 Each document is measured against two public vocabularies, word by word:
 characters per token and the entropy of its token ids (byte-level BPE), and the
-share of byte-fallback pieces (BPE with byte fallback).  ``BANDS`` rejects what
-lies outside its language's or script's range.  One map over the documents, no
-shuffle; a task holds one batch and two bounded caches.
+share of byte-fallback pieces (BPE with byte fallback).  One map over the
+documents measures; a task holds one batch and two bounded caches.  One small
+aggregate then takes median and quartiles of each language or script by length
+class, and what lies far outside its group is rejected, as is what lies outside
+the wide fixed ``bands``.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vocab
-from .common import text_bytes
+from .common import materialize, text_bytes
 from .shingles import windows
 
 _SYMBOLS = b"#*$%&|<>"
@@ -52,6 +55,11 @@ class Rules:
     max_repeat_percent: int = 20
     #: Texts with fewer tokens are too short for a stable rate; the plain rules alone judge them.
     min_tokens: int = 40
+    #: Share beyond either end of a group's band, were its measures normal with the group's median and quartiles.
+    tail_share: float = 0.001
+    #: Smaller groups, counted without near copies, are too small for quartiles; the fixed bands alone judge them.
+    min_group: int = 100
+    #: Outer limits that hold in any corpus.
     bands: dict[str, Band] = field(
         default_factory=lambda: {
             "en": Band((1.5, 6.5), 0.02, (4.2, 13.0)),
@@ -73,20 +81,21 @@ def script_of(text: str) -> str:
     return best if counts[best] else "other"
 
 
-def repeated_words(words: list[bytes], width: int = 5) -> int:
-    """Words inside windows of ``width`` words that stand twice or more in the text."""
+def repeated_words(words: list[bytes], width: int = 5) -> tuple[int, int]:
+    """Words inside windows of ``width`` words that stand twice or more in the text, and the least hash of a window, which near copies mostly share."""
     if len(words) < width:
-        return 0
+        return 0, 0
     h = windows(np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64), width)
     ordered = np.sort(h)
+    least = int(ordered[:1].view(np.int64)[0])
     twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
     if not len(twice):
-        return 0
+        return 0, least
     edges = np.zeros(len(words) + 1, np.int64)
     starts = np.flatnonzero(np.isin(h, twice))
     np.add.at(edges, starts, 1)
     np.add.at(edges, starts + width, -1)
-    return int((np.cumsum(edges[:-1]) > 0).sum())
+    return int((np.cumsum(edges[:-1]) > 0).sum()), least
 
 
 def plain_counts(text: bytes) -> dict:
@@ -97,13 +106,15 @@ def plain_counts(text: bytes) -> dict:
         if line.strip():
             duplicate += line in seen
             seen.add(line)
+    repeated, least = repeated_words(words)
     return {
         "words": words,
         "n_words": len(words),
         "word_chars": len(text.decode("utf-8", "replace")) - (len(text) - len(text.translate(None, _BLANK))),
         "n_symbols": len(text) - len(text.translate(None, _SYMBOLS)),
         "n_dup_lines": duplicate,
-        "n_repeat_words": repeated_words(words),
+        "n_repeat_words": repeated,
+        "least": least,
     }
 
 
@@ -146,9 +157,35 @@ OUTPUT = (
 )
 
 
+def _length_class():
+    return F.floor(F.log2("n_tokens")).cast("int")
+
+
+def group_bands(measured: DataFrame, rules: Rules) -> list[tuple]:
+    """Ranges by band name and length class: (band, class, lowest and highest rate, highest fallback share, lowest and highest entropy).
+
+    Of near copies, rows that share their least window, one counts, so that no
+    large group of them narrows the range.  None stands for a measure that does
+    not vary in its group.
+    """
+    usable = measured.where(~F.col("base_failed") & (F.col("n_tokens") >= rules.min_tokens)).withColumn("_class", _length_class())
+    single = usable.groupBy("band", "_class", "_least").agg(F.min(F.struct("chars_per_token", "byte_fallback_share", "token_entropy")).alias("m"))
+    quartiles = [F.percentile_approx(f"m.{c}", [0.25, 0.5, 0.75], 10_000).alias(c) for c in ("chars_per_token", "byte_fallback_share", "token_entropy")]
+    normal = NormalDist()
+    reach = normal.inv_cdf(1 - rules.tail_share) / (2 * normal.inv_cdf(0.75))
+
+    def ends(q):
+        wide = reach * (q[2] - q[0])
+        return (q[1] - wide, q[1] + wide) if wide else (None, None)
+
+    groups = single.groupBy("band", "_class").agg(F.count(F.lit(1)).alias("n"), *quartiles).where(F.col("n") >= rules.min_group).collect()  # band names by powers of two
+    return [(r["band"], r["_class"], *ends(r["chars_per_token"]), ends(r["byte_fallback_share"])[1], *ends(r["token_entropy"])) for r in groups]
+
+
 def quality_rules(docs: DataFrame, rules: Rules | None = None, keep_text: bool = False) -> DataFrame:
     """One row per input row: ``doc_id`` (and, with ``keep_text``, all of its columns), counts, measures and ``kept``.
 
+    The measures are written once to the shared folder, with the kept columns.
     Null or empty text: all counts 0, base_failed.  Null or unknown language:
     the band of the main script.  Repeated rows are judged alike.  Columns of
     ``docs`` that clash with an output column are replaced by the output's.
@@ -160,7 +197,7 @@ def quality_rules(docs: DataFrame, rules: Rules | None = None, keep_text: bool =
         docs = docs.withColumn("lang", F.lit(None).cast("string"))
     keep = have if keep_text else ["doc_id"]
     source = docs.select(*keep, text_bytes().alias("_bytes"), F.col("lang").cast("string").alias("_lang"))
-    schema = ", ".join([*(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep), OUTPUT])
+    schema = ", ".join([*(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep), OUTPUT, "_least long"])
 
     def run(batches):
         fertility = Fertility(rules)
@@ -168,12 +205,27 @@ def quality_rules(docs: DataFrame, rules: Rules | None = None, keep_text: bool =
             rows = []
             for text, lang in zip(batch.column("_bytes").to_pylist(), batch.column("_lang").to_pylist(), strict=True):
                 c = plain_counts(text)
+                least = c.pop("least")
                 tokens, rate, fallback, entropy = fertility(text, c.pop("words"), c["word_chars"])
                 failed = c["n_words"] < rules.min_words or 100 * c["n_repeat_words"] > rules.max_repeat_percent * c["n_words"]
                 band, reason = verdict(rules, lang, text, tokens, rate, fallback, entropy)
-                rows.append((*c.values(), tokens, rate, fallback, entropy, band, reason, failed, not failed and not reason))
+                rows.append((*c.values(), tokens, rate, fallback, entropy, band, reason, failed, not failed and not reason, least))
             kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
             columns = [pa.array([r[i] for r in rows], kinds[x.split()[1]]) for i, x in enumerate(OUTPUT.split(", "))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *columns], [*keep, *names])
-
-    return source.mapInArrow(run, schema)
+            columns.append(pa.array([r[-1] for r in rows], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *columns], [*keep, *names, "_least"])
+
+    measured = materialize(source.mapInArrow(run, schema), "measures")
+    found = group_bands(measured, rules)
+    if not found:
+        return measured.drop("_least")
+    bands = docs.sparkSession.createDataFrame(found, "band string, _class int, _r0 double, _r1 double, _f1 double, _e0 double, _e1 double")
+    reason = (
+        F.when((F.col("reason") != "") | (F.col("n_tokens") < rules.min_tokens), F.col("reason"))
+        .when((F.col("chars_per_token") < F.col("_r0")) | (F.col("chars_per_token") > F.col("_r1")), "chars_per_token")
+        .when(F.col("byte_fallback_share") > F.col("_f1"), "byte_fallback")
+        .when((F.col("token_entropy") < F.col("_e0")) | (F.col("token_entropy") > F.col("_e1")), "entropy")
+        .otherwise("")
+    )
+    judged = measured.withColumn("_class", _length_class()).join(F.broadcast(bands), ["band", "_class"], "left").withColumn("reason", reason)
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("reason") == "")).select(*keep, *names)

@@ -48,6 +48,28 @@ def test_quality_bands_reject(spark):
     assert got[1]["reason"] and got[2]["reason"] and got[2]["byte_fallback_share"] > 0.02 and got[3]["kept"]
 
 
+def test_quality_bands_follow_the_groups(spark):
+    """Labelled rows of sf0.1 that the plain rules keep: most low ones go, hardly any good one."""
+    sf = "/root/testdata/sf0.1"
+    got = quality_rules.quality_rules(spark.read.parquet(f"{sf}/documents.parquet")).where("not base_failed")
+    rows = got.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").groupBy("quality").agg({"*": "count", "kept": "count_if"}).collect()
+    stay = {r["quality"]: r["count_if(kept)"] / r["count(1)"] for r in rows}
+    assert stay[0] < 0.4 and stay[1] > 0.98
+
+
+def test_quality_bands_ignore_near_copies(spark):
+    r = np.random.default_rng(8)
+    own = words(9, 300).split()
+    docs = [(k, " ".join(r.choice(own, 100)), "xx") for k in range(200)]
+    base = r.choice(own, 100)
+    for k in range(600):
+        copy = base.copy()
+        copy[r.integers(100)] = own[r.integers(300)]
+        docs.append((1000 + k, " ".join(copy), "xx"))
+    rows = quality_rules.quality_rules(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()
+    assert sum(x["kept"] for x in rows if x["doc_id"] < 1000) >= 195
+
+
 def test_decontaminate(spark, odd, empty):
     item = words(3, 40)
     edited = item.split()
