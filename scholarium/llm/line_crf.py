@@ -9,6 +9,7 @@ scoring is one map over all documents.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 from operator import eq
 
@@ -21,7 +22,7 @@ from .common import text_bytes
 
 #: Bound of the sample of labelled rows that the model is fitted on: those of least hash.
 TRAIN_DOCS = 4000
-#: Lines of a training document that are used, spread evenly over it.
+#: Lines of a training document that are used: one run of neighbours, its place drawn by a hash of the text.
 TRAIN_LINES = 200
 OWN = 12
 WIDTH = 1 + 3 * OWN
@@ -207,6 +208,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
+def _run(text: bytes, x: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """TRAIN_LINES neighbouring lines."""
+    at = zlib.crc32(text) % (len(x) - TRAIN_LINES + 1)
+    return x[at : at + TRAIN_LINES], w[at : at + TRAIN_LINES]
+
+
 def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS) -> Model:
     """Fit on at most ``bound`` labelled rows that are not held out; conflicting labels of an id count by their mean."""
     usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -220,8 +227,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS) -> Model:
             for text in batch.column("bytes").to_pylist():
                 x, w = document_features(text)
                 if len(x) > TRAIN_LINES:
-                    at = np.linspace(0, len(x) - 1, TRAIN_LINES).astype(int)
-                    x, w = x[at], w[at]
+                    x, w = _run(text, x, w)
                 out.append((x.astype(np.float32).tobytes(), w.astype(np.float32).tobytes()))
             columns = [batch.column("quality"), pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["quality", "x", "w"])

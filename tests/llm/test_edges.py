@@ -165,6 +165,16 @@ def test_line_crf(spark, odd, empty):
     assert line_crf.score_documents(empty, line_crf.train(empty, labels)).count() == 0
 
 
+def test_training_lines_are_neighbours(spark, monkeypatch):
+    text = "\n".join(" ".join(["word"] * (k % 30 + 1)) for k in range(1000))
+    taken = []
+    monkeypatch.setattr(line_crf, "fit", taken.extend)
+    line_crf.train(spark.createDataFrame([(4, text)], "doc_id long, text string"), spark.createDataFrame([(4, 1)], "doc_id long, quality int"))
+    (x, _, _), own = taken[0], slice(1, 1 + line_crf.OWN)
+    following = slice(1 + 2 * line_crf.OWN, 1 + 3 * line_crf.OWN)
+    assert len(x) == line_crf.TRAIN_LINES and (x[:-1, following] == x[1:, own]).all()
+
+
 def test_marginals_against_all_labelings():
     import itertools
 
