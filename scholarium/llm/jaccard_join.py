@@ -10,14 +10,12 @@ still match one above, meet in the lists; so each pair that links has a bucket
 in common.
 
 Buckets are never expanded into all pairs.  Each bucket tests its members
-against a pivot; what is linked falls into one component; buckets that still
-hold several components test other pivots, and at last the pairs that nobody
-has tested and that lie in different components.  A skipped pair is always one
-whose ends are already in the same component.
-
-A test first compares signatures, one or two bits a shingle, which tell a lower
-bound of how many shingles two sets do not share; only pairs that may still link
-are tested on their texts.
+against a pivot; what is linked falls into one component; large buckets that
+still hold several components test other pivots.  What is then left of a bucket
+is compared inside tasks, in cells of bounded size, by signatures of two to four
+bits a shingle, which tell a lower bound of how many shingles two sets do not
+share; only pairs that may still link, and whose ends lie in different
+components, leave the task and are tested on their texts.
 """
 
 from __future__ import annotations
@@ -41,8 +39,16 @@ MOST_FREQUENT = 2_000_000
 LEAST_FREQUENCY = 64
 #: Boundaries that the cost model weighs, as set sizes.
 BOUNDARIES = tuple(range(3, 65))
-#: Rounds of pivots before untested pairs are taken one by one, and the bucket size from which they are used.
+#: Rounds of pivots at most, and the bucket size from which they are used.
 PIVOT_ROUNDS, PIVOT_FROM = 4, 9
+#: Comparisons a bucket member that the closing step may take; while there are more, pivots go on.
+CLOSING_COST = 1000
+#: Members of a bucket that meet each other in one cell of the closing step.
+CELL = 2048
+#: Keys of a node, the least ones, that a cell looks at to tell whether another cell has the same pair.
+FIRST_KEYS = 64
+#: Lists longer than this have a shingle that no single task saw often; it then counts as frequent too.
+LONGEST_LIST = 4096
 #: Bits of the filter that keeps other texts out of a shuffle: 1 MB, whatever the size of the corpus.
 FILTER_BITS = 1 << 23
 
@@ -61,8 +67,8 @@ def node_of(shingles: np.ndarray) -> int:
 
 
 def signature(shingles: np.ndarray) -> bytes:
-    """A bit for each residue of hashes, set where an odd number of them has it; as many bits as shingles at least."""
-    n = max(64, 1 << (len(shingles) - 1).bit_length())
+    """A bit for each residue of hashes, set where an odd number of them has it; twice as many bits as shingles at least."""
+    n = max(64, 2 << (len(shingles) - 1).bit_length())
     at = (shingles & np.uint64(n - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=n) & 1).astype(bool), bitorder="little").tobytes()
 
@@ -132,7 +138,7 @@ def prefix(shingles: np.ndarray, frequent: np.ndarray, length: int) -> np.ndarra
 
 
 def bucket_keys(shingles: np.ndarray, frequent: np.ndarray, boundary: int, percent: int) -> np.ndarray:
-    """Keys of the buckets of a set; sets that link share at least one, unless they are equal."""
+    """Keys of the buckets of a set; sets that link share at least one, unless they are equal.  Keys of subsets have the highest bit."""
     size = len(shingles)
     need = _need(size, percent)
     keys = []
@@ -140,12 +146,20 @@ def bucket_keys(shingles: np.ndarray, frequent: np.ndarray, boundary: int, perce
         p = prefix(shingles, frequent, size - need + 2)
         i, j = np.triu_indices(len(p), 1)
         lo, hi = np.minimum(p[i], p[j]), np.maximum(p[i], p[j])
-        keys.append((lo * np.uint64(0x9E3779B97F4A7C15)) ^ (hi + (lo >> np.uint64(31))))
+        keys.append(((lo * np.uint64(0x9E3779B97F4A7C15)) ^ (hi + (lo >> np.uint64(31)))) | np.uint64(1 << 63))
     if size >= _need(boundary, percent):
         keys.append(prefix(shingles, frequent, size - need + 1))
     return np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
 
 
+def least_size(percent: int) -> int:
+    """Size of the smallest set that can link to another one."""
+    n = 1
+    while 100 * n < percent * (n + 1):
+        n += 1
+    return n
+
+
 def _emit(width: int, percent: int, boundary: int, frequent):
     def run(batches):
         hot, seen = frequent.value, set()
@@ -153,7 +167,7 @@ def _emit(width: int, percent: int, boundary: int, frequent):
             keys, nodes, sizes = [], [], []
             for text in batch.column(0).to_pylist():
                 s = shingle_set(text, width)
-                if len(s) < 3:
+                if len(s) < least_size(percent):
                     continue
                 node = node_of(s)
                 if node in seen:
@@ -178,7 +192,11 @@ def choose_boundary(sizes: list[tuple[int, int]], per_list: float, percent: int,
 
     ``sizes``: (set size, nodes).  A subset costs one row; a list entry costs
     one row and ``test_cost`` for each other entry that its list should hold.
+    Where sets of one or two could link, they have no subsets of two; all then
+    use lists.
     """
+    if least_size(percent) < 3:
+        return 1
 
     def cost(b: int) -> float:
         total = 0.0
@@ -224,6 +242,95 @@ def _may_link(percent: int):
     return run
 
 
+def _folded(rows: np.ndarray, words: int) -> np.ndarray:
+    while rows.shape[1] > words:
+        half = rows.shape[1] // 2
+        rows = rows[:, :half] ^ rows[:, half:]
+    return rows
+
+
+def close_pairs(a: dict, b: dict, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``a`` and ``b`` of members in different components whose sizes and signatures leave a link possible.
+
+    ``a``, ``b``: arrays ``size`` and ``comp``, and the signatures by their length in words, ``sigs``: {words: (places, rows)}.
+    """
+    left, right = [], []
+    for wa, (pa_, ra) in a["sigs"].items():
+        for wb, (pb_, rb) in b["sigs"].items():
+            words = min(wa, wb)
+            y, n_b, comp_b = _folded(rb, words), b["size"][pb_], b["comp"][pb_]
+            step = max(1, (1 << 21) // max(1, len(pb_) * words))
+            for at in range(0, len(pa_), step):
+                own = pa_[at : at + step]
+                n_a = a["size"][own][:, None]
+                ok = (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)) & (a["comp"][own][:, None] != comp_b)
+                if not ok.any():
+                    continue
+                x = _folded(ra[at : at + step], words)
+                apart = np.bitwise_count(x[:, None, :] ^ y[None]).sum(2, dtype=np.int64)
+                ok &= (100 + percent) * (n_a + n_b - apart) >= 2 * percent * (n_a + n_b)
+                i, k = np.nonzero(ok)
+                left.append(own[i])
+                right.append(pb_[k])
+    nothing = np.zeros(0, np.int64)
+    return np.concatenate([nothing, *left]), np.concatenate([nothing, *right])
+
+
+def _close(percent: int):
+    """Over rows sorted by cell (key, i, j): pairs of members of side 0 with those of side 1, or with each other where there is no side 1.
+
+    A pair that stands in several buckets leaves that of the least key, as far as FIRST_KEYS tell.
+    """
+    columns = ["node", "size", "comp", "side"]
+
+    def side(t: pa.Table, which: np.ndarray) -> dict:
+        at = np.flatnonzero(which)
+        sig = [x.as_py() for x in t.column("sig").take(pa.array(at))]
+        words = np.array([len(x) >> 3 for x in sig], np.int64)
+        sigs = {}
+        for w in np.unique(words).tolist():
+            own = np.flatnonzero(words == w)
+            sigs[w] = own, np.frombuffer(b"".join(sig[i] for i in own.tolist()), np.uint64).reshape(len(own), w)
+        return {c: t.column(c).to_numpy()[at] for c in columns} | {"sigs": sigs, "keys": t.column("keys").take(pa.array(at)).to_pylist()}
+
+    def solve(held):
+        t = pa.concat_tables(held).combine_chunks()
+        key = t.column("key")[0].as_py()
+        second = t.column("side").to_numpy() == 1
+        a = side(t, ~second)
+        b = side(t, second) if second.any() else a
+        i, k = close_pairs(a, b, percent)
+        # the bucket of the least key that two members share sends them out
+        before = [frozenset(z for z in keys if z < key) for keys in a["keys"]]
+        after = before if a is b else [frozenset(z for z in keys if z < key) for keys in b["keys"]]
+        new = np.fromiter((before[p].isdisjoint(after[q]) for p, q in zip(i.tolist(), k.tolist(), strict=True)), bool, len(i))
+        if a is b:
+            new &= i < k
+        x, y = a["node"][i[new]], b["node"][k[new]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["x", "y"])
+
+    def run(batches):
+        held, cell = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.table(batch)
+            ids = [t.column(c).to_numpy() for c in ("key", "i", "j")]
+            change = np.flatnonzero(np.any([v[1:] != v[:-1] for v in ids], axis=0)) + 1
+            edges = [0, *change.tolist(), t.num_rows]
+            for begin, end in zip(edges, edges[1:], strict=False):
+                own = tuple(int(v[begin]) for v in ids)
+                if held and own != cell:
+                    yield solve(held)
+                    held = []
+                cell = own
+                held.append(t.slice(begin, end - begin))
+        if held:
+            yield solve(held)
+
+    return run
+
+
 def _test(width: int, percent: int):
     def run(batches):
         sets = _Sets()
@@ -258,16 +365,26 @@ def similar_documents(docs: DataFrame, percent: int = 75, width: int = 5) -> Dat
     least = max(LEAST_FREQUENCY, -(-totals // MOST_FREQUENT))
     counts = scanned.where("kind = 1").groupBy(F.col("a").alias("shingle")).agg(F.sum("size").alias("n"))
     hot = counts.where(F.col("n") >= least).select("shingle").toPandas()["shingle"].to_numpy(np.int64).view(np.uint64)
-    frequent = spark.sparkContext.broadcast(np.sort(hot))
     repeats = counts.where(F.col("n") < least).agg(F.sum(F.col("n") * (F.col("n") - 1)).alias("n")).first()["n"] or 0
     histogram = rows.where("size between 3 and 64").groupBy("size").count().collect()
     boundary = choose_boundary([(r["size"], r["count"]) for r in histogram], repeats / max(1, totals), percent)
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    entries = source.select("bytes").mapInArrow(_emit(width, percent, boundary, frequent), "key long, node long, size int")
-    entries = entries.repartition(parts, "key").sortWithinPartitions("key", "node")
     fits = lambda a, b: 100 * np.minimum(a, b).astype(np.int64) >= percent * np.maximum(a, b).astype(np.int64)
-    lists = materialize(entries.mapInArrow(pairs_and_groups(fits), "key long, node long, size int, other long"), "lists")
+
+    def listed(hot: np.ndarray) -> DataFrame:
+        frequent = spark.sparkContext.broadcast(np.sort(hot))  # MOST_FREQUENT bounds it, once for each way of counting
+        entries = source.select("bytes").mapInArrow(_emit(width, percent, boundary, frequent), "key long, node long, size int")
+        entries = entries.repartition(parts, "key").sortWithinPartitions("key", "node")
+        return materialize(entries.mapInArrow(pairs_and_groups(fits), "key long, node long, size int, other long"), "lists")
+
+    lists = listed(hot)
+    # Exact counts: a shingle that stands in many tasks, but seldom in each, shows as a long list.
+    longest = max(LONGEST_LIST, least)
+    long = lists.where("other is null and key >= 0").groupBy("key").count().where(F.col("count") > longest).select("key")
+    more = np.setdiff1d(long.toPandas()["key"].to_numpy(np.int64).view(np.uint64), hot)
+    if len(more):
+        lists = listed(np.concatenate([hot, more]))
     signatures = scanned.where("sig is not null").select(F.col("c").alias("node"), "size", "sig")
     components = _link(docs, rows, signatures, lists, percent, width)
 
@@ -333,11 +450,13 @@ def _link(docs: DataFrame, rows: DataFrame, signatures: DataFrame, lists: DataFr
         # Buckets whose members are not yet all in one component.
         groups = groups.drop("comp").join(components, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         shares = groups.groupBy("key", "comp").agg(F.count("node").alias("c"))
-        mixed = shares.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("comp").alias("comps"))
-        mixed = materialize(mixed.where("comps > 1").select("key", "main"), "mixed")
-        groups = materialize(groups.drop("main").join(mixed, "key"), "groups")
+        mixed = shares.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("members"), F.count("comp").alias("comps"))
+        mixed = mixed.where("comps > 1").select("key", F.col("m.comp").alias("main"), (F.col("members") - F.col("m.c")).alias("few"), F.col("m.c").alias("in_main"))
+        mixed = materialize(mixed, "mixed")
+        groups = materialize(groups.select("key", "node", "size", "n", "comp").join(mixed, "key"), "groups")
+        work = mixed.agg(F.sum(F.col("few") * (F.col("few") + F.col("in_main"))).alias("work"), F.sum(F.col("few") + F.col("in_main")).alias("members")).first()
         large = groups.where(F.col("n") >= PIVOT_FROM)
-        if turn == PIVOT_ROUNDS or large.isEmpty():
+        if turn == PIVOT_ROUNDS or (work["work"] or 0) <= CLOSING_COST * (work["members"] or 0):
             break
         # each turn another order, so that a member that missed one pivot meets others
         new = test(pivot_pairs(large, F.xxhash64("node", F.lit(turn), *(["key"] if turn > 1 else []))), tested)
@@ -346,18 +465,38 @@ def _link(docs: DataFrame, rows: DataFrame, signatures: DataFrame, lists: DataFr
             break
         components = connected_components(tested.where("linked").select("a", "b"))
 
-    # Pairs in different components that no pivot has tested.  One end lies outside the bucket's largest component.
-    side = lambda s: groups.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "comp", "main")))
-    few, rest = side("x").where("comp_x <> main_x"), side("y")
-    once = (F.col("comp_y") == F.col("main_y")) | (F.col("node_x") < F.col("node_y"))
-    apart = (F.col("comp_x") != F.col("comp_y")) & fits(F.col("size_x"), F.col("size_y")) & once
-    pairs = few.join(rest, (few["key"] == rest["key"]) & apart)
-    new = test(pairs.select(F.col("node_x").alias("x"), F.col("node_y").alias("y")), tested)
+    new = test(_apart(groups, signatures, percent), tested)
     if new.where("linked").isEmpty():
         return components
     return connected_components(tested.union(new).where("linked").select("a", "b"))
 
 
+def _apart(groups: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) of bucket members in different components that may link.
+
+    One end of such a pair lies outside the bucket's largest component.  Both
+    parts of a bucket are dealt into chunks of about CELL members, and each cell
+    holds two chunks, so a bucket of any size is spread over tasks.
+    """
+    spark = groups.sparkSession
+    chunks = lambda c: F.ceil(F.col(c) / CELL).cast("int")
+    in_few = F.col("comp") != F.col("main")
+    rows = groups.withColumn("gf", chunks("few")).withColumn("gm", chunks("in_main"))
+    rows = rows.withColumn("r", F.pmod(F.xxhash64("node"), F.when(in_few, F.col("gf")).otherwise(F.col("gm"))).cast("int"))
+    cell = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    among_few = F.transform(upto("gf"), lambda j: cell(F.least(F.col("r"), j), F.greatest(F.col("r"), j), F.col("r") > j))
+    with_main = F.transform(upto("gm"), lambda s: cell(F.col("r"), -1 - s, F.lit(0)))
+    from_main = F.transform(upto("gf"), lambda i: cell(i, -1 - F.col("r"), F.lit(1)))
+    cells = F.explode(F.when(in_few, F.concat(among_few, with_main)).otherwise(from_main)).alias("cell")
+    rows = rows.select("key", "node", "size", "comp", cells).select("key", "cell.*", "node", F.col("size").cast("long").alias("size"), "comp")
+    first_keys = groups.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("key")), 1, FIRST_KEYS).alias("keys"))
+    rows = rows.join(signatures.select("node", "sig").join(first_keys, "node"), "node").select("key", "i", "j", "side", "node", "size", "comp", "sig", "keys")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(_close(percent), "x long, y long")
+
+
 def drop_similar(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
     """``docs`` with one row of each component (that of its smallest doc_id); rows with empty sets all stay."""
     found = similar_documents(docs, percent, width).select(F.col("key").alias("_key"), "n_shingles", "first_key").distinct()

@@ -31,8 +31,8 @@ def windows(hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 def shingle_set(text: bytes, width: int = 5) -> np.ndarray:
-    """Distinct shingles, ascending.  Fewer words than ``width``: the whole sequence as one; no words: none."""
+    """Distinct shingles of 63 bits, ascending.  Fewer words than ``width``: the whole sequence as one; no words: none."""
     words = text.lower().split()  # bytes.lower() changes A-Z only
     if not words:
         return np.zeros(0, np.uint64)
-    return np.unique(windows(word_hashes(words), min(width, len(words))))
+    return np.unique(windows(word_hashes(words), min(width, len(words))) >> np.uint64(1))

@@ -133,9 +133,10 @@ def test_jaccard(spark, odd, empty):
     assert jaccard_join.similar_documents(empty).count() == 0 and jaccard_join.drop_similar(empty).count() == 0
 
 
-def test_jaccard_edits_against_all_pairs(spark):
+@pytest.mark.parametrize("percent", [50, 75, 90])
+def test_jaccard_edits_against_all_pairs(spark, percent):
     r = np.random.default_rng(5)
-    docs = []
+    docs = [(1000, "a b c d e"), (1001, "a b c d e f"), (1002, "q w e r t y"), (1003, "q w e r t y u")]
     for g in range(12):
         base = words(100 + g, int(r.integers(5, 60))).split()
         for _ in range(8):
@@ -143,7 +144,26 @@ def test_jaccard_edits_against_all_pairs(spark):
             for _ in range(int(r.integers(0, 4))):
                 w[int(r.integers(len(w)))] = words(int(r.integers(1 << 30)), 1)
             docs.append((len(docs), " ".join(w)))
-    got = jaccard_join.similar_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    got = jaccard_join.similar_documents(spark.createDataFrame(docs, "doc_id long, text string"), percent).collect()
+    assert sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got) == brute.components(docs, percent)
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_jaccard_group_around_the_threshold(spark, monkeypatch, small):
+    """Near copies of one text, most of them just below the threshold of each other, and a passage common to others."""
+    if small:  # cells, pivots and recounted lists at work
+        for name, value in (("CELL", 4), ("FIRST_KEYS", 2), ("CLOSING_COST", 0), ("LONGEST_LIST", 16)):
+            monkeypatch.setattr(jaccard_join, name, value)
+    r = np.random.default_rng(11)
+    base, docs = words(300, 80).split(), []
+    for k in range(120):
+        w = list(base)
+        for _ in range(int(r.integers(1, 4))):
+            w[int(r.integers(len(w)))] = f"edit{k}"
+        docs.append((k, " ".join(w)))
+    passage = words(301, 40)
+    docs += [(1000 + k, f"{passage} {words(400 + k, 20)}") for k in range(60)]
+    got = jaccard_join.similar_documents(spark.createDataFrame(docs, "doc_id long, text string").repartition(7)).collect()
     assert sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got) == brute.components(docs)
 
 
