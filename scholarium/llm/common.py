@@ -19,11 +19,24 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="scholarium-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
+#: Bytes of an Arrow batch between Spark and Python.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let texts go to Python in batches of BATCH_BYTES, where the session still has Spark's default of 64 MB."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, "1b").lower() in ("67108864b", "64mb", "64m"):
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Cut lineage: write ``df`` as Parquet to the shared folder and read it back.
 

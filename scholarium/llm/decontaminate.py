@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, text_bytes
+from .common import row_key, small_batches, text_bytes
 from .vocab import Cache
 
 #: Words of test items in a block: what is sent to tasks at a time.
@@ -179,6 +179,7 @@ def contaminated(docs: DataFrame, items: DataFrame, settings: Settings | None =
     """
     s = settings or Settings()
     spark = docs.sparkSession
+    small_batches(spark)
     sc = spark.sparkContext
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key("doc_id", "text").alias("key"), text_bytes().alias("bytes"))
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item_text"))

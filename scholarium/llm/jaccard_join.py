@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, row_key, text_bytes
+from .common import materialize, row_key, small_batches, text_bytes
 from .components import connected_components
 from .runs import pairs_and_groups
 from .shingles import shingle_set
@@ -358,6 +358,7 @@ def similar_documents(docs: DataFrame, percent: int = 75, width: int = 5) -> Dat
     linked with nothing, its own id.  Repeated rows are equal sets.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     source = docs.select(F.col("doc_id").cast("long"), row_key("doc_id", "text").alias("key"), text_bytes().alias("bytes"))
     scanned = materialize(source.mapInArrow(_scan(width), "kind byte, a long, b long, c long, size long, sig binary"), "scan")
     rows = scanned.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("key"), F.col("c").alias("node"), "size")

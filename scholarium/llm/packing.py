@@ -12,16 +12,14 @@ corpus, so a block stays small at any size.
 from __future__ import annotations
 
 import math
-import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import vocab
-from .common import row_key
+from .common import row_key, small_batches
 
 WINDOW = 1024
 END_ID = 0
@@ -125,12 +123,13 @@ def block_count(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
 
 
 def pack(docs: DataFrame, ranks_path: str | None = None, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, padded, ids (array<int>).
+    """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, padded, ids (little-endian unsigned 32-bit numbers).
 
     Null or empty text: the end id alone.  Repeated rows and null ids are
     packed like others, once per row.  sequence_id is unique over the corpus;
     offsets in a sequence are gapless from 0.
     """
+    small_batches(docs.sparkSession)
     blocks = block_count(docs, block_bytes)
     names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "padded", "ids"]
 
@@ -141,17 +140,10 @@ def pack(docs: DataFrame, ranks_path: str | None = None, window: int = WINDOW, b
         sequence, offset = best_fit_decreasing(lengths, window)
         used = np.bincount(sequence, lengths).astype(np.int64)
         number = table.column("block")[0].as_py()
-        ids = [np.frombuffer(x, np.uint32 if len(x) > 2 * n else np.uint16).astype(np.int32) for x, n in zip(table.column("ids").to_pylist(), lengths, strict=True)]
+        ids = [np.frombuffer(x, np.uint32 if len(x) > 2 * n else np.uint16).astype("<u4").tobytes() for x, n in zip(table.column("ids").to_pylist(), lengths, strict=True)]
         padded = np.array([padded_length(int(u), window) for u in used], np.int64)[sequence]
-        flat = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), np.concatenate(ids))
-        columns = [*(table.column(c) for c in names[:4]), sequence * blocks + number, offset, padded, flat]
+        columns = [*(table.column(c) for c in names[:4]), sequence * blocks + number, offset, padded, pa.array(ids, pa.binary())]
         return pa.table(dict(zip(names, columns, strict=True)))
 
-    schema = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, padded long, ids array<int>"
+    schema = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, padded long, ids binary"
     return pieces(docs, blocks, ranks_path, window).groupBy("block").applyInArrow(block, schema)
-
-
-@F.pandas_udf(T.LongType())
-def ids_crc32(ids):
-    """CRC-32 of ids as little-endian unsigned 32-bit numbers."""
-    return ids.map(lambda x: zlib.crc32(np.asarray(x, "<u4").tobytes()))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vocab
-from .common import materialize, text_bytes
+from .common import materialize, small_batches, text_bytes
 from .shingles import windows
 
 _SYMBOLS = b"#*$%&|<>"
@@ -191,19 +191,23 @@ def quality_rules(docs: DataFrame, rules: Rules | None = None, keep_text: bool =
     ``docs`` that clash with an output column are replaced by the output's.
     """
     rules = rules or Rules()
+    small_batches(docs.sparkSession)
     names = [x.split()[0] for x in OUTPUT.split(", ")]
     have = [c for c in docs.columns if c not in names]
     if "lang" not in have:
         docs = docs.withColumn("lang", F.lit(None).cast("string"))
     keep = have if keep_text else ["doc_id"]
-    source = docs.select(*keep, text_bytes().alias("_bytes"), F.col("lang").cast("string").alias("_lang"))
+    # the text goes to Python once
+    source = docs.select(*keep, *([] if "text" in keep else [text_bytes().alias("_bytes")]), F.col("lang").cast("string").alias("_lang"))
     schema = ", ".join([*(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep), OUTPUT, "_least long"])
 
     def run(batches):
         fertility = Fertility(rules)
         for batch in batches:
             rows = []
-            for text, lang in zip(batch.column("_bytes").to_pylist(), batch.column("_lang").to_pylist(), strict=True):
+            texts = batch.column("text").cast(pa.binary()) if "text" in keep else batch.column("_bytes")
+            for text, lang in zip(texts, batch.column("_lang").to_pylist(), strict=True):
+                text = text.as_py() or b""
                 c = plain_counts(text)
                 least = c.pop("least")
                 tokens, rate, fallback, entropy = fertility(text, c.pop("words"), c["word_chars"])

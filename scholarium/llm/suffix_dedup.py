@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_bytes
+from .common import materialize, small_batches, text_bytes
 from .runs import repeated_groups
 
 LENGTH = 400
@@ -326,6 +326,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     its spans then tell only what other texts share with it.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.xxhash64(text_bytes()).alias("t"), text_bytes().alias("bytes"))
     long = source.where(F.octet_length("bytes") >= length)

@@ -9,12 +9,12 @@ from __future__ import annotations
 import base64
 import re
 from array import array
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
-#: Entries of a cache before it starts anew.
-CACHE_ENTRIES = 600_000
+#: Entries of a cache before it starts anew: some 20 MB of words, in each of an executor's workers.
+CACHE_ENTRIES = 100_000
 
 
 def default_path(name: str) -> str:
@@ -45,20 +45,36 @@ class ByteBpe:
     """Ids of the byte-level BPE vocabulary whose ranks stand at ``path``."""
 
     def __init__(self, path: str):
-        import public_tokenizers
+        self.path = path
+        self.words = Cache(lambda word: self.packed(" " + word.decode("utf-8", "replace")))
+
+    def _encoding(self, pattern: str):
         import tiktoken
 
-        with open(path, "rb") as f:
+        with open(self.path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        make = lambda name, pattern: tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.encoding = make("byte_bpe", public_tokenizers.PATTERN)
-        # The look-ahead matters only between white space and white space; without it, cutting is much faster.
-        self.single = make("byte_bpe_single", public_tokenizers.PATTERN.replace(r"\s+(?!\S)|", ""))
-        self.dtype = np.dtype(np.uint16 if self.encoding.n_vocab <= 1 << 16 else np.uint32)
-        self.words = Cache(lambda word: self.packed(" " + word.decode("utf-8", "replace")))
+        return tiktoken.Encoding(f"byte_bpe_{len(pattern)}", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    @cached_property
+    def encoding(self):
+        import public_tokenizers
+
+        return self._encoding(public_tokenizers.PATTERN)
+
+    @cached_property
+    def single(self):
+        """For texts without two white-space characters in a row: only there the look-ahead matters, and without it cutting is much faster."""
+        import public_tokenizers
+
+        return self._encoding(public_tokenizers.PATTERN.replace(r"\s+(?!\S)|", ""))
+
+    @cached_property
+    def dtype(self) -> np.dtype:
+        return np.dtype(np.uint16 if self.single.n_vocab <= 1 << 16 else np.uint32)
 
     def packed(self, text: str) -> bytes:
-        return array(self.dtype.char, self.encoding.encode_ordinary(text)).tobytes()
+        encoding = self.encoding if _TWO_BLANKS.search(text) else self.single
+        return array(self.dtype.char, encoding.encode_ordinary(text)).tobytes()
 
     def ids(self, text: str) -> np.ndarray:
         encoding = self.encoding if _TWO_BLANKS.search(text) else self.single
