@@ -19,9 +19,11 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("spelled_email", "iban", "ssn", "name")
+ADDED = ("spelled_email", "iban", "ssn", "name", "secret")
 KINDS = BASE + ADDED
 CONTEXT = 32
+#: Spans that are placed together.
+PIECE = 128
 
 # The patterns of the base kinds.  Quantifiers are possessive where nothing that follows could take
 # characters back, and a look-behind skips starts inside a run that already failed; matches stay the same.
@@ -34,12 +36,14 @@ PATTERN = {
     "spelled_email": r"\b[A-Za-z0-9._%+-]{1,64} ?[\(\[]at[\)\]] ?[A-Za-z0-9-]{1,63}(?: ?(?:[\(\[]dot[\)\]]|\.) ?[A-Za-z]{2,63}){1,4}",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "name": r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Mlle|Sr|Sra)\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
+    "name": r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Mlle|Sr|Sra)\.? \p{Lu}\p{Ll}{1,40}+(?: \p{Lu}\p{Ll}{1,40}+)?",
+    "secret": r"\b(?i:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key|private[_-]?key)[\"']? ?[=:] ?[\"'][^\s\"']{8,512}+[\"']|\b(?:AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36})\b",
 }
 #: A text without this cannot match.
-HINT = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "[0-9][ -]?[0-9]", "phone": "\\+[0-9]", "spelled_email": "[\\(\\[]at[\\)\\]]", "iban": "[A-Z]{2}[0-9]{2}", "ssn": "[0-9]-[0-9]{2}-[0-9]", "name": "(?:M[rs]s?|Dr|Prof|Herr|Frau|Mme|Mlle|Sra?)\\.? \\p{Lu}"}
+HINT = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "[0-9][ -]?[0-9]", "phone": "\\+[0-9]", "spelled_email": "[\\(\\[]at[\\)\\]]", "iban": "[A-Z]{2}[0-9]{2}", "ssn": "[0-9]-[0-9]{2}-[0-9]", "name": "(?:M[rs]s?|Dr|Prof|Herr|Frau|Mme|Mlle|Sra?)\\.? \\p{Lu}", "secret": "[=:] ?[\"']|AKIA|gh[opsu]_"}
 STRICT = {
-    "email": r"^[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}$",
+    # no label begins or ends with a hyphen; look-aheads over classes alone, since Java's matcher recurses on repeated groups
+    "email": r"^(?!.*@-)(?!.*-\.)(?!.*\.-)(?!.*-$)[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9.-]*\.[A-Za-z]{2,63}$",
     "ip": r"^(?:[1-9][0-9]{0,2})(?:\.(?:0|[1-9][0-9]{0,2})){3}$",
     "card": r"^(?:[0-9]{16,19}|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -]?[0-9]{1,3})?)$",
     "phone": r"^\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]+(?:[ .-][0-9]+){0,4}$",
@@ -47,17 +51,42 @@ STRICT = {
     "iban": r"^[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4})+(?: [A-Z0-9]{1,3})?)$",
     "ssn": r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$",
     "name": r" \p{Lu}\p{Ll}+ \p{Lu}\p{Ll}+$",
+    "secret": r"(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9+/_.=-]{16,}",
 }
-GAZETTEER = {
-    "email": r"(?i)\.(?:com|org|net|edu|gov|io|info|de|fr|es|it|uk|eu|at|ch|nl|pl|us|ca|au|mx|br)$",
-    "ip": r"^(?!0*(?:0|10|127|2[2-5][0-9])\.|192\.168\.|169\.254\.)",
-    "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|35|6011|65)",
-    "phone": r"^\+(?:1|7|2[07]|3[0-469]|4[0134-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])",
-    "spelled_email": r"(?i)(?:com|org|net|edu|de|fr|es|uk|eu)$",
-    "iban": r"^(?:AT|BE|CH|CZ|DE|DK|ES|FI|FR|GB|IE|IT|LU|NL|NO|PL|PT|SE)",
-    "ssn": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)",
-    "name": r"^(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme)",
-}
+# Public code tables that the gazetteer labeler looks a part of each span up in.
+TOP_DOMAINS = "com org net edu gov mil int io info biz app dev ai me co eu de at ch fr be lu nl es pt it uk ie dk se no fi pl cz sk hu ro bg gr tr ru ua us ca mx br ar cl pe au nz jp cn kr in za il".split()
+CALLING_CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98 212 213 216 218 351 352 353 354 355 356 357 358 359 370 371 372 380 385 386 420 421 852 886 961 962 966 971 972".split()
+IBAN_LENGTHS = {"AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22, "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SE": 24, "SI": 19, "SK": 24, "TR": 26}
+CARD_PREFIXES = "4 51 52 53 54 55 22 23 24 25 26 27 34 37 35 6011 65 36 38 62".split()
+GIVEN_NAMES = (
+    "James Mary Robert Patricia John Jennifer Michael Linda David Elizabeth William Barbara Richard Susan Joseph Jessica Thomas Sarah Charles Karen Daniel Nancy Matthew Lisa Anthony Anna "
+    "Peter Maria Hans Ursula Klaus Monika Wolfgang Petra Stefan Sabine Andreas Claudia Pierre Marie Jean Nathalie Philippe Isabelle Nicolas Camille Antonio Carmen Manuel Josefa Francisco Isabel Carlos Ana Luis Pilar"
+).split()
+SECRET_NAMES = "token secret password passwd api_key api-key apikey access_key access-key private_key".split()
+
+
+def _in_gazetteer(kind: str, m: Column) -> Column:
+    """Whether a code table holds the part of a span that it knows."""
+    if kind in ("email", "spelled_email"):
+        return F.lower(F.regexp_extract(m, r"([A-Za-z]+)$", 1)).isin(TOP_DOMAINS)
+    if kind == "ip":
+        return ~m.rlike(r"^0*(?:0|10|127|2[2-5][0-9])\.|^192\.168\.|^169\.254\.")  # ranges not for public hosts
+    if kind == "card":
+        digits = F.regexp_replace(m, "[^0-9]", "")
+        return F.left(digits, F.lit(1)).isin(CARD_PREFIXES) | F.left(digits, F.lit(2)).isin(CARD_PREFIXES) | F.left(digits, F.lit(4)).isin(CARD_PREFIXES)
+    if kind == "phone":
+        digits = F.regexp_replace(m, "[^0-9]", "")
+        return F.left(digits, F.lit(1)).isin(CALLING_CODES) | F.left(digits, F.lit(2)).isin(CALLING_CODES) | F.left(digits, F.lit(3)).isin(CALLING_CODES)
+    if kind == "iban":
+        lengths = F.create_map(*(F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair))
+        return F.coalesce(F.try_element_at(lengths, F.left(m, F.lit(2))) == F.length(F.regexp_replace(m, " ", "")), F.lit(False))
+    if kind == "ssn":
+        return m.rlike(r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)")  # areas, groups and serials that are issued
+    if kind == "name":
+        return F.regexp_extract(m, r" (\p{Lu}\p{Ll}+)", 1).isin(GIVEN_NAMES)
+    return F.lower(F.regexp_extract(m, r"^([A-Za-z_-]+)", 1)).isin(SECRET_NAMES) | m.rlike("^(?:AKIA|gh[opsu]_)")
+
+
 WORDS_BEFORE = {
     "email": r"(?i)e-?mail|contact|write|kontakt|correo|courriel",
     "ip": r"(?i)\bip\b|host|server|addr|login",
@@ -67,6 +96,7 @@ WORDS_BEFORE = {
     "iban": r"(?i)iban|account|bank|konto|compte|cuenta",
     "ssn": r"(?i)ssn|social",
     "name": r"(?i)name|from|by|von|par|por|dear|signed",
+    "secret": r"(?i)key|login|auth|config|export|user",
 }
 
 
@@ -93,7 +123,7 @@ def _vote(kind: str, m: Column, before: Column) -> list[Column]:
     yes = lambda c: F.when(c, 1).otherwise(0)
     return [
         yes(m.rlike(STRICT[kind])).alias("v1"),
-        yes(m.rlike(GAZETTEER[kind])).alias("v2"),
+        yes(_in_gazetteer(kind, m)).alias("v2"),
         F.when(before.rlike(WORDS_BEFORE[kind]), 1).otherwise(2).alias("v3"),
     ]
 
@@ -122,8 +152,18 @@ def candidates(docs: DataFrame) -> DataFrame:
             span = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m"), F.right(x["p"], F.lit(CONTEXT)).alias("before"))
             return F.struct(end.alias("pos"), F.array_append(a["out"], span).alias("out"))
 
+        # A fold that appends copies its array each time, so it runs within pieces of PIECE spans and then over the pieces.
         start = F.struct(F.lit(0).alias("pos"), F.array().cast(_FOUND).alias("out"))
-        spans = F.aggregate(pairs, start, step, lambda a: a["out"])
+        n = F.size(f"m_{k}")
+        numbers = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / PIECE).cast("int"))).otherwise(F.array().cast("array<int>"))
+        def shift(a: Column, x: Column) -> Column:
+            moved = F.transform(x["out"], lambda s: F.struct((s["start"] + a["pos"]).alias("start"), (s["end"] + a["pos"]).alias("end"), s["m"].alias("m"), s["before"].alias("before")))
+            return F.struct((a["pos"] + x["pos"]).alias("pos"), F.array_append(a["out"], moved).alias("out"))
+
+        whole = F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{_FOUND}>").alias("out"))
+        placed_in = lambda z: F.transform(numbers, lambda b: F.aggregate(F.slice(z, b * PIECE + 1, F.lit(PIECE)), start, step))
+        # the one-element array binds the pairs to a name, so that they are made once
+        spans = F.element_at(F.transform(F.array(pairs), lambda z: F.flatten(F.aggregate(placed_in(z), whole, shift, lambda a: a["out"]))), 1)
 
         def judged(s: Column) -> Column:
             size = F.length(s["m"])

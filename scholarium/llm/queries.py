@@ -25,7 +25,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"))
     number = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     base = pii.spans_text(F.filter("spans", lambda s: s["kind"].isin(*pii.BASE)))
-    return found.select("doc_id", *(number(k) for k in pii.BASE), F.sha2(base.cast("binary"), 256).alias("base_sha256"), pii.spans_text(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *(number(k) for k in pii.BASE), F.sha2(base.cast("binary"), 256).alias("base_sha256"), pii.spans_text(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

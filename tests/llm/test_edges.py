@@ -123,6 +123,43 @@ def test_pii(spark, odd, empty):
     assert pii.find_pii(empty).count() == 0
 
 
+def test_pii_long_texts(spark):
+    """Texts of a megabyte that once broke the matcher or took time with the square of their spans."""
+    n = 1 << 17
+    texts = {
+        "a@" + "b." * (n // 2) + "com": [("email", 0, n + 5)],
+        "1.1.1.1 " * (n // 32): [("ip", k, k + 7) for k in range(0, n // 4, 8)],
+        "1" * n: [],
+        "1 " * (n // 2): [],
+        "+1" + " (" * (n // 2): [],
+        "x" * n: [],
+        "token = " * (n // 8): [],
+        "a.b-" * (n // 4) + "@": [],
+        "Dr Xy" + "y" * n: [],
+    }
+    docs = [(k, t) for k, t in enumerate(texts)]
+    got = {r["doc_id"]: r["spans"] for r in pii.find_pii(spark.createDataFrame(docs, "doc_id long, text string").repartition(8)).collect()}
+    for (k, _), want in zip(docs, texts.values(), strict=True):
+        assert [(s["kind"], s["start"], s["end"]) for s in got[k] if s["kind"] in pii.BASE] == want
+
+
+def test_pii_recall_by_kind(spark):
+    """Spans of each added kind among words; none in the words alone."""
+    said = {
+        "secret": 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"',
+        "iban": "DE89 3704 0044 0532 0130 00",
+        "ssn": "219-09-9999",
+        "name": "Dr Anna Schmidt",
+        "spelled_email": "jo (at) mail (dot) com",
+    }
+    docs = [(k * 10 + i, f"{words(k, 20)} {said[kind]} {words(k + 50, 20)}") for i, kind in enumerate(sorted(said)) for k in range(30)]
+    docs += [(9000 + k, words(7000 + k, 60)) for k in range(50)]
+    got = {r["doc_id"]: {s["kind"] for s in r["spans"]} for r in pii.find_pii(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i, kind in enumerate(sorted(said)):
+        assert all(kind in got[k * 10 + i] for k in range(30)), kind
+    assert not any(got[9000 + k] for k in range(50))
+
+
 def test_jaccard(spark, odd, empty):
     got = jaccard_join.similar_documents(odd).collect()
     by = {r["doc_id"]: r["component_id"] for r in got}
