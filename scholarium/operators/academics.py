@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from scholarium.functions.expr import corr, grade_points, mean_tenths, ratio, rnd, share
 
+# Letters by band.
 LETTERS = {
-    "above": ["A+", "A", "A-", "B+", "B", "B-"],
+    "above_average": ["A+", "A", "A-", "B+", "B", "B-"],
     "average": ["C+", "C", "C-"],
-    "below": ["D+", "D", "D-", "F", "NP"],
+    "below_average": ["D+", "D", "D-", "F", "NP"],
 }
 
 
@@ -19,17 +20,22 @@ def _n(flag: Column) -> Column:
 
 
 def academic_features(students: DataFrame, grades: DataFrame, split: Column, days: int = 15, key: str = "student_key") -> DataFrame:
-    """GPA summary, letter bands and the trend before and after ``split`` (by ``days``)."""
+    """Grade points, letter bands and the trend before and after ``split`` (by ``days``) of every student.
+
+    A student without grades counts as 0 throughout, and so falls into the
+    highest risk band, as the surveyed model has it.
+    """
     rows = students.join(grades, key, "left")
-    points, letter, has = F.col("points"), F.col("letter"), F.col("letter").isNotNull()
+    points, letter = F.col("points"), F.col("letter")
     recent, older = mean_tenths(F.when(F.col("d") >= F.date_sub(split, days), points)), mean_tenths(F.when(F.col("d") < F.date_sub(split, days), points))
-    out = rows.groupBy(key).agg(
-        rnd(mean_tenths("points"), 2).alias("avg_gpa"),
-        F.min("points").alias("min_gpa"),
-        F.max("points").alias("max_gpa"),
-        F.count_distinct("course").alias("courses"),
-        F.coalesce(rnd(ratio(_n(F.col("passing")), _n(has), 100.0), 2), F.lit(0.0)).alias("passing_rate"),
-        *[_n(letter.isin(v)).alias(f"grades_{k}") for k, v in LETTERS.items()],
+    zero = lambda x: F.coalesce(x, F.lit(0.0))
+    out = rows.groupBy(*students.columns).agg(
+        zero(rnd(mean_tenths("points"), 2)).alias("avg_score"),
+        zero(F.min("points")).alias("min_score"),
+        zero(F.max("points")).alias("max_score"),
+        F.count("letter").alias("total_records"),
+        zero(rnd(ratio(_n(F.col("passing")), F.count("letter"), 100.0), 2)).alias("passing_rate"),
+        *[_n(letter.isin(v)).alias(f"{k}_count") for k, v in LETTERS.items()],
         recent.alias("_new"),
         older.alias("_old"),
     )
@@ -37,17 +43,34 @@ def academic_features(students: DataFrame, grades: DataFrame, split: Column, day
     return out.withColumn("grade_trend", trend).drop("_new", "_old")
 
 
+# Actions by level.
+ACADEMIC_ACTIONS = {
+    "urgent": "URGENT: Failing trajectory, academic intervention required",
+    "high": "HIGH: Consider tutoring or course support",
+    "medium": "MEDIUM: Monitor progress, provide support if decline continues",
+    "positive": "POSITIVE: Student showing improvement",
+    "none": "On track",
+}
+
+
 def score_academic(features: DataFrame, key: str = "student_key") -> DataFrame:
-    g, t = F.col("avg_gpa"), F.col("grade_trend")
+    g, t, say = F.col("avg_score"), F.col("grade_trend"), ACADEMIC_ACTIONS
     return features.select(
         key,
-        F.when(g < 1, 90).when(g < 2, 70).when(g < 2.5, 40).when(g < 3, 15).otherwise(5).cast("long").alias("risk_score"),
+        "avg_score",
+        "passing_rate",
+        "grade_trend",
+        F.when(g < 1, 90).when(g < 2, 70).when(g < 2.5, 40).when(g < 3, 15).otherwise(5).cast("long").alias("academic_risk_score"),
         F.when(g < 1, "CRITICAL").when(g < 2, "HIGH").when(g < 2.5, "MEDIUM").otherwise("LOW").alias("risk_level"),
-        F.when((g < 1) & (t == "DECLINING"), "Immediate intervention")
-        .when(g < 2, "Tutoring")
-        .when((g < 2.5) & (t == "DECLINING"), "Monitor closely")
-        .when(t == "IMPROVING", "Continue support")
-        .otherwise("On track")
+        "total_records",
+        "above_average_count",
+        "average_count",
+        "below_average_count",
+        F.when((g < 1) & (t == "DECLINING"), say["urgent"])
+        .when(g < 2, say["high"])
+        .when((g < 2.5) & (t == "DECLINING"), say["medium"])
+        .when(t == "IMPROVING", say["positive"])
+        .otherwise(say["none"])
         .alias("recommended_action"),
     )
 
@@ -77,12 +100,8 @@ def class_effectiveness(grades: DataFrame, students: DataFrame, keys: list[str],
 
 
 def section_comparison(effectiveness: DataFrame, course: str = "course", term: str = "term") -> DataFrame:
-    """Sections of the latest term beside their course's mean, ranked and rated."""
-    latest = effectiveness.agg(F.max(term).alias(term))
-    rows = effectiveness.join(F.broadcast(latest), term)  # one row
+    """Sections beside their course's mean in the same term, ranked and rated; pass the latest term's sections."""
     same = Window.partitionBy(course, term)
-    by_pass = same.orderBy(F.col("pct_passed").desc_nulls_last())
-    by_grade = same.orderBy(F.col("avg_grade").desc_nulls_last())
     p, g = F.col("pct_passed"), F.col("avg_grade")
     rating = (
         F.when((p >= 90) & (g >= 3.3), "Highly Effective")
@@ -90,18 +109,15 @@ def section_comparison(effectiveness: DataFrame, course: str = "course", term: s
         .when((p >= 70) & (g >= 2.5), "Adequate")
         .otherwise("Needs Improvement")
     )
-
-    def mean(c: str) -> Column:  # of values with two decimals, summed as integers
-        cents = F.round(F.col(c) * 100).cast("long")
-        return rnd(ratio(F.sum(cents).over(same), F.count(cents).over(same) * 100), 2)
-
-    rows = rows.withColumns({"course_pct_passed": mean("pct_passed"), "course_avg_grade": mean("avg_grade")})
-    return rows.withColumns(
+    cents = F.round(g * 100).cast("long")  # values with two decimals, summed as integers
+    mean = ratio(F.sum(cents).over(same), F.count(cents).over(same) * 100)
+    return effectiveness.withColumns(
         {
-            "pct_passed_diff": rnd(p - F.col("course_pct_passed"), 2),
-            "avg_grade_diff": rnd(g - F.col("course_avg_grade"), 2),
-            "rank_by_pass": F.rank().over(by_pass).cast("long"),
-            "rank_by_grade": F.rank().over(by_grade).cast("long"),
+            "course_avg_grade": rnd(mean, 2),
+            "grade_diff_from_course_avg": rnd(g - mean, 2),
+            **{f"pct_passed_{x}": F.coalesce(f"pct_passed_{x}", F.lit(0.0)) for x in ("ell", "sped", "frl")},
+            "pass_rate_rank": F.rank().over(same.orderBy(p.desc_nulls_last())).cast("long"),
+            "grade_rank": F.rank().over(same.orderBy(g.desc_nulls_last())).cast("long"),
             "effectiveness_rating": rating,
         }
     )

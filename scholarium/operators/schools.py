@@ -103,19 +103,28 @@ def mapping_union(keys: DataFrame, manual: DataFrame, fuzzy: DataFrame, key: str
 
 
 def benchmarks(own: DataFrame, state: DataFrame, key: str) -> DataFrame:
-    """Own chronic rate beside the state's, with labels."""
+    """Own student count and chronic rate (``own_count``, ``own_rate``) beside the state's (``state_count``, ``state_rate``), with labels."""
     rows = own.join(state, key, "left")
-    gap = rnd(F.col("own_rate") - F.col("state_rate"), 2)
-    rows = rows.withColumn("rate_gap", gap)
-    label = F.when(F.col("own_rate") < F.col("state_rate"), "Better").when(F.col("own_rate") > F.col("state_rate"), "Worse").otherwise("Same")
+    better, worse = F.col("own_rate") < F.col("state_rate"), F.col("own_rate") > F.col("state_rate")
+    apart = F.abs(F.coalesce("own_count", F.lit(0)) - F.coalesce("state_count", F.lit(0))).cast("long")
+    rows = rows.withColumns(
+        {
+            "chronic_absent_rate_gap_pct": rnd(F.col("own_rate") - F.col("state_rate"), 2),
+            "chronic_absence_comparison": F.when(better, "Better than State").when(worse, "Worse than State").otherwise("Same as State"),
+            "missing_internal_data": F.col("own_count").isNull(),
+            "missing_cde_data": F.col("state_count").isNull(),
+            "enrollment_difference": apart,
+            "large_enrollment_discrepancy": apart > 50,
+        }
+    )
     status = (
-        F.when(F.col("own_rate").isNull() | F.col("state_rate").isNull(), "Incomplete Data")
-        .when(F.abs("rate_gap") > 50, "Data Quality Issue")
-        .when(label == "Worse", "Needs Improvement")
-        .when(label == "Better", "Outperforming")
-        .otherwise("On Par")
+        F.when(F.col("missing_internal_data") | F.col("missing_cde_data"), "Incomplete Data")
+        .when(F.col("large_enrollment_discrepancy"), "Data Quality Issue")
+        .when(worse, "Needs Improvement")
+        .when(better, "Outperforming State")
+        .otherwise("On Par with State")
     )
-    return rows.withColumns({"comparison": label, "overall_status": status})
+    return rows.withColumn("overall_status", status)
 
 
 def accountability(domains: dict[str, DataFrame], grain: list[str], measures: dict[str, list[str]]) -> DataFrame:
