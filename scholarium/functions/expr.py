@@ -103,6 +103,17 @@ def mean_tenths(x: Column | str) -> Column:
     return ratio(F.sum(tenths), F.count(tenths) * 10)
 
 
+def mean_exact(x: Column | str, digits: int) -> Column:
+    """Mean of values with ``digits`` decimals at most, summed as integers so that the order of rows can't show."""
+    units = F.round(_c(x) * 10**digits).cast("long")
+    return ratio(F.sum(units), F.count(units) * 10**digits)
+
+
+def sum_if(flag: Column) -> Column:
+    """Rows for which ``flag`` holds; null over no rows."""
+    return F.sum(F.when(flag, 1).otherwise(0)).cast("long")
+
+
 def try_int(x: Column | str) -> Column:
     """Integer of a text, decimals rounded half away from zero; null where it isn't a number."""
     return F.round(F.expr(f"try_cast({x} as decimal(38,6))") if isinstance(x, str) else x.try_cast("decimal(38,6)")).cast("long")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scholarium.functions import expr as E
 from scholarium.operators import academics, attendance, batch, quality, schools, transform
-from scholarium.plans import access, metrics
+from scholarium.plans import access, contracts, metrics
 from scholarium.plans.surrogate import DAILY, GRADES, INCIDENTS, STUDENTS, count_if, daily, grades, incidents, mean_tenths, pct, r, students, t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -666,3 +666,31 @@ def rls_filter(spark, sf_dir):
 def contract_risk_distribution(spark, sf_dir):
     rows = attendance.attendance_windows(daily(spark, sf_dir), incidents(spark, sf_dir), **SHORT).where("window_type = 'term'")
     return rows.groupBy((F.floor(F.col("attendance_rate") / 10 + 0.5) * 10).alias("rate_bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# Contract queries over the views above
+
+
+def _chronic_view(spark, sf_dir):
+    s = students(spark, sf_dir).select("student_key", "grade", "school")
+    return attendance.chronic_absenteeism_risk(s, _windows(spark, sf_dir), short="7d", long="21d")
+
+
+_VIEWS = {
+    "chronic": (_chronic_view, f"SELECT x.*, c_custkey % 12 + 1 AS grade, c_nationkey::BIGINT AS school FROM ({SQL['chronic_absenteeism_risk']}) x JOIN customer ON c_custkey = student_key"),
+    "wellbeing": (wellbeing_risk_profiles, SQL["wellbeing_risk_profiles"]),
+    "equity": (equity_outcomes, SQL["equity_outcomes"]),
+    "sections": (class_section_comparison, SQL["class_section_comparison"]),
+    "correlations": (performance_correlations, SQL["performance_correlations"]),
+}
+
+
+def _contract(name: str) -> None:
+    view, ask, sql = contracts.CONTRACTS[name]
+    rows, text = _VIEWS[view]
+    QUERIES[f"cq_{name}"] = lambda spark, sf_dir: ask(rows(spark, sf_dir))
+    SQL[f"cq_{name}"] = f"WITH v AS ({text}) {sql}"
+
+
+for _name in contracts.CONTRACTS:
+    _contract(_name)

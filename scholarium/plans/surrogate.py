@@ -86,3 +86,8 @@ def count_if(flag: str) -> str:
 
 def mean_tenths(x: str = "points") -> str:
     return f"(sum(round(({x}) * 10)::BIGINT)::DOUBLE / (10 * count({x}))::DOUBLE)"
+
+
+def mean_sql(x: str, digits: int) -> str:
+    p = 10**digits
+    return f"(sum(round(({x}) * {p})::BIGINT)::DOUBLE / nullif(({p} * count({x}))::DOUBLE, 0))"
