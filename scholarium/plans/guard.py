@@ -20,13 +20,18 @@ class Refused(ValueError):
 
 
 def extract_sql(text: str) -> str:
-    """The SQL in a JSON envelope, a fenced block or the bare text, without a closing semicolon."""
+    """The SQL in a JSON envelope (also inside prose), a fenced block or the bare text, without a closing semicolon."""
     text = text.strip()
-    try:
-        got = json.loads(text)
+    decoder = json.JSONDecoder()
+    for at in (i for i, c in enumerate(text) if c == "{"):
+        try:
+            got, _ = decoder.raw_decode(text[at:])
+        except ValueError:
+            continue
         if isinstance(got, dict) and isinstance(got.get("sql"), str):
             text = got["sql"]
-    except ValueError:
+            break
+    else:
         if m := FENCE.search(text):
             text = m[1]
     return text.strip().rstrip(";").strip()
@@ -34,18 +39,34 @@ def extract_sql(text: str) -> str:
 
 def _bare(sql: str) -> str:
     """The text without comments, strings and quoted names."""
-    return re.sub(r"--[^\n]*|/\*.*?\*/|'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"", " ", sql, flags=re.S)
+    return re.sub(r"--[^\n]*|/\*.*?\*/|'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`", " ", sql, flags=re.S)
 
 
 @dataclass(frozen=True)
 class Guard:
+    """Runs queries in a session of their own, which knows the allowed relations only, without their hidden columns.
+
+    Relations are those of the parsed plan, not of the text, so quoting, TABLE
+    statements and subqueries make no difference; a hidden column does not
+    exist in the session, so no star or struct can reach it.
+    """
+
     allowed: frozenset[str]
     hidden_columns: frozenset[str] = frozenset()
     max_rows: int = 1000
     timeout_s: float = 10.0
 
-    def validate(self, spark: SparkSession, sql: str) -> str:
-        """The SQL, if it is one read-only query over allowed relations; else Refused."""
+    def session(self, spark: SparkSession) -> SparkSession:
+        """A session with a temporary view for each allowed relation."""
+        own = spark.newSession()
+        for name in self.allowed:
+            shared = f"guard_{uuid.uuid4().hex}"
+            spark.table(name).createGlobalTempView(shared)
+            own.table(f"global_temp.{shared}").drop(*self.hidden_columns).createTempView(name)
+            spark.catalog.dropGlobalTempView(shared)
+        return own
+
+    def _frame(self, spark: SparkSession, sql: str) -> DataFrame:
         if not sql:
             raise Refused("the query is empty")
         bare = _bare(sql)
@@ -53,40 +74,47 @@ class Guard:
             raise Refused("only one statement is run")
         if word := next((w for w in FORBIDDEN if re.search(rf"\b{w}\b", bare, re.I)), None):
             raise Refused(f"{word} is not allowed")
-        if not re.match(r"\s*(SELECT|WITH)\b", bare, re.I):
+        if not re.match(r"\s*\(*\s*(SELECT|WITH)\b", bare, re.I):
             raise Refused("the query must be a SELECT")
-        if re.search(r"\b(java_method|reflect|input_file_name|current_user|current_database)\s*\(|\b(csv|parquet|json|text|orc|binaryFile|delta)\s*\.\s*`", bare, re.I):
+        if re.search(r"\b(java_method|reflect|try_reflect|input_file_name|current_user|current_database|current_catalog|session_user)\b", bare, re.I):
             raise Refused("the query reaches outside the allowed relations")
-        named = {m.lower() for m in re.findall(r"\b(?:FROM|JOIN)\s+([A-Za-z_][\w.]*)", bare, re.I)}
-        named |= {m.lower() for part in re.findall(r"\bFROM\s+([^()]*?)(?:\bWHERE\b|\bGROUP\b|\bORDER\b|\bLIMIT\b|\bJOIN\b|\)|$)", bare, re.I | re.S) for m in re.findall(r"(?:^|,)\s*([A-Za-z_][\w.]*)", part)}
+        try:
+            parsed = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql).toString()
+        except Exception as e:
+            raise Refused(f"the query does not parse: {str(e).splitlines()[0]}") from e
+        named = {m.replace(", ", ".").lower() for m in re.findall(r"'UnresolvedRelation \[([^\]]*)\]", parsed)}
         local = {m.lower() for m in re.findall(r"(?:\bWITH|,)\s*([A-Za-z_]\w*)\s+AS\s*\(", bare, re.I)}
-        if strange := sorted(named - local - {a.lower() for a in self.allowed}):
+        allowed = {a.lower() for a in self.allowed}
+        if strange := sorted(n for n in named - allowed if n not in local or spark.catalog.tableExists(n)):
             raise Refused(f"not allowed: {', '.join(strange)}")
-        if hidden := sorted(c for c in self.hidden_columns if re.search(rf"\b{re.escape(c)}\b", bare, re.I)):
-            raise Refused(f"hidden columns: {', '.join(hidden)}")
+        if re.search(r"'UnresolvedTableValuedFunction \[(?!range|explode|posexplode|inline|stack)", parsed):
+            raise Refused("this table function is not allowed")
         try:
-            frame = spark.sql(sql)
+            return self.session(spark).sql(sql)
         except Exception as e:
             raise Refused(f"the query does not analyze: {str(e).splitlines()[0]}") from e
-        if seen := sorted(set(frame.columns) & self.hidden_columns):
-            raise Refused(f"hidden columns: {', '.join(seen)}")
+
+    def validate(self, spark: SparkSession, sql: str) -> str:
+        """The SQL, if it is one read-only query over allowed relations; else Refused."""
+        self._frame(spark, sql)
         return sql
 
     def frame(self, spark: SparkSession, text: str) -> DataFrame:
         """The query's rows, at most ``max_rows``, not yet run."""
-        return spark.sql(self.validate(spark, extract_sql(text))).limit(self.max_rows)
+        return self._frame(spark, extract_sql(text)).limit(self.max_rows)
 
     def execute(self, spark: SparkSession, text: str) -> list:
         """Run within ``timeout_s``; the job is cancelled beyond it."""
         frame, tag = self.frame(spark, text), f"guard-{uuid.uuid4().hex}"
-        timer = threading.Timer(self.timeout_s, lambda: spark.interruptTag(tag))
-        spark.addTag(tag)
+        own = frame.sparkSession
+        timer = threading.Timer(self.timeout_s, lambda: own.interruptTag(tag))
+        own.addTag(tag)
         timer.start()
         try:
             return frame.collect()
         finally:
             timer.cancel()
-            spark.removeTag(tag)
+            own.removeTag(tag)
 
 
 def execution_match(a: DataFrame, b: DataFrame) -> bool:
