@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Bytes of an Arrow batch between Spark and Python.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -37,6 +39,27 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, f"{BATCH_BYTES}b")
 
 
+def trim() -> None:
+    """Give freed memory back to the system."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def task(run):
+    """``run`` over a task's batches; a worker that Spark uses again keeps none of the task's freed buffers."""
+
+    @wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapped
+
+
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Cut lineage: write ``df`` as Parquet to the shared folder and read it back.
 

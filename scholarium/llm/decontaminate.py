@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, small_batches, text_bytes
+from .common import row_key, small_batches, task, text_bytes
 from .vocab import Cache
 
 #: Words of test items in a block: what is sent to tasks at a time.
@@ -192,7 +192,7 @@ def contaminated(docs: DataFrame, items: DataFrame, settings: Settings | None =
         # one block of bounded size
         own = dealt.where(F.col("_block") == k).select("item_id", "item_text").collect()
         block = Block(sorted(((r[0], r[1]) for r in own), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")), s)
-        found = source.mapInArrow(_search(sc.broadcast(block)), _OUTPUT)
+        found = source.mapInArrow(task(_search(sc.broadcast(block))), _OUTPUT)
         out = found if out is None else out.union(found)
     return out
 

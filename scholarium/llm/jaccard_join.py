@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, row_key, small_batches, text_bytes
+from .common import materialize, row_key, small_batches, task, text_bytes
 from .components import connected_components
 from .runs import pairs_and_groups
 from .shingles import shingle_set
@@ -37,6 +37,8 @@ from .shingles import shingle_set
 #: (all shingles) / threshold of them, and the threshold grows with the corpus accordingly.
 MOST_FREQUENT = 2_000_000
 LEAST_FREQUENCY = 64
+#: Shingles that a task sorts at a time to find those that repeat.
+COUNTED_AT_A_TIME = 1_500_000
 #: Boundaries that the cost model weighs, as set sizes.
 BOUNDARIES = tuple(range(3, 65))
 #: Rounds of pivots at most, and the bucket size from which they are used.
@@ -118,7 +120,7 @@ def _scan(width: int):
                     seen.add(node)
                     held.append(s)
                     n += len(s)
-                if n > 6_000_000:
+                if n > COUNTED_AT_A_TIME:
                     yield from counted()
                     held, n = [], 0
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
@@ -360,7 +362,7 @@ def similar_documents(docs: DataFrame, percent: int = 75, width: int = 5) -> Dat
     spark = docs.sparkSession
     small_batches(spark)
     source = docs.select(F.col("doc_id").cast("long"), row_key("doc_id", "text").alias("key"), text_bytes().alias("bytes"))
-    scanned = materialize(source.mapInArrow(_scan(width), "kind byte, a long, b long, c long, size long, sig binary"), "scan")
+    scanned = materialize(source.mapInArrow(task(_scan(width)), "kind byte, a long, b long, c long, size long, sig binary"), "scan")
     rows = scanned.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("key"), F.col("c").alias("node"), "size")
     totals = rows.agg(F.sum("size").alias("n")).first()["n"] or 0
     least = max(LEAST_FREQUENCY, -(-totals // MOST_FREQUENT))
@@ -375,9 +377,9 @@ def similar_documents(docs: DataFrame, percent: int = 75, width: int = 5) -> Dat
 
     def listed(hot: np.ndarray) -> DataFrame:
         frequent = spark.sparkContext.broadcast(np.sort(hot))  # MOST_FREQUENT bounds it, once for each way of counting
-        entries = source.select("bytes").mapInArrow(_emit(width, percent, boundary, frequent), "key long, node long, size int")
+        entries = source.select("bytes").mapInArrow(task(_emit(width, percent, boundary, frequent)), "key long, node long, size int")
         entries = entries.repartition(parts, "key").sortWithinPartitions("key", "node")
-        return materialize(entries.mapInArrow(pairs_and_groups(fits), "key long, node long, size int, other long"), "lists")
+        return materialize(entries.mapInArrow(task(pairs_and_groups(fits)), "key long, node long, size int, other long"), "lists")
 
     lists = listed(hot)
     # Exact counts: a shingle that stands in many tasks, but seldom in each, shows as a long list.
@@ -427,7 +429,7 @@ def _link(docs: DataFrame, rows: DataFrame, signatures: DataFrame, lists: DataFr
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
         side = lambda s: signatures.select(F.col("node").alias(s), F.col("size").alias(f"n{s}"), F.col("sig").alias(f"p{s}"))
-        close = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "pa", "na", "pb", "nb").mapInArrow(_may_link(percent), "a long, b long")
+        close = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "pa", "na", "pb", "nb").mapInArrow(task(_may_link(percent)), "a long, b long")
         close = materialize(close, "close")
         own = materialize(close.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(keys, "node"), "own")
         # repeated rows share a key; any of them has the node's text
@@ -435,7 +437,7 @@ def _link(docs: DataFrame, rows: DataFrame, signatures: DataFrame, lists: DataFr
         texts = materialize(texts, "texts")
         tb = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
         ta = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-        linked = close.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInArrow(_test(width, percent), "a long, b long, linked boolean")
+        linked = close.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInArrow(task(_test(width, percent)), "a long, b long, linked boolean")
         # pairs apart are kept too, so that no later turn tests them again
         linked = linked.where("linked").select("a", "b", "linked").distinct()
         return materialize(pairs.join(linked, ["a", "b"], "left").select("a", "b", F.coalesce("linked", F.lit(False)).alias("linked")), "tested")
@@ -495,7 +497,7 @@ def _apart(groups: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
     rows = rows.join(signatures.select("node", "sig").join(first_keys, "node"), "node").select("key", "i", "j", "side", "node", "size", "comp", "sig", "keys")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(_close(percent), "x long, y long")
+    return dealt.mapInArrow(task(_close(percent)), "x long, y long")
 
 
 def drop_similar(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:

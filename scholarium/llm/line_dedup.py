@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import row_key, shared_dir
+from .common import row_key, shared_dir, task
 
 _BLANK = " \t\n\x0b\f\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -112,7 +112,7 @@ def dropped_lines(docs: DataFrame, policy: str = "frequent", min_docs: int = 10,
     crossing = F.broadcast(crossing.select("k.h", "k.h2", "first_part"))
     counted = ranged.join(crossing, ["h", "h2"]).select("h", "h2", "doc", "first_part").distinct().groupBy("h", "h2", "first_part").agg(F.count(F.lit(1)).alias("border_docs"))
     rows = ranged.join(F.broadcast(counted), ["h", "h2"], "left").withColumn("begun", F.col("part") > F.col("first_part"))
-    return rows.select("h", "h2", "doc", "pos", "border_docs", "begun").mapInArrow(_marked(policy, min_docs), "doc long, pos int")
+    return rows.select("h", "h2", "doc", "pos", "border_docs", "begun").mapInArrow(task(_marked(policy, min_docs)), "doc long, pos int")
 
 
 def bitmap(n_lines: int, dropped) -> bytes:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vocab
-from .common import row_key, small_batches
+from .common import row_key, small_batches, task
 
 WINDOW = 1024
 END_ID = 0
@@ -100,21 +100,25 @@ def pieces(docs: DataFrame, blocks: int, ranks_path: str | None = None, window:
                     block = (key if len(part) < window else key + 1 + k // window) % blocks
                     yield doc, k, len(part), n, block, part.tobytes()
 
-        for batch in batches:
-            held, size = [], 0
-            for row in rows(batch):
-                held.append(row)
-                size += len(row[-1])
-                if size > 4 << 20:
-                    yield _batch(held)
-                    held, size = [], 0
-            yield _batch(held)
+        try:
+            for batch in batches:
+                held, size = [], 0
+                for row in rows(batch):
+                    held.append(row)
+                    size += len(row[-1])
+                    if size > 4 << 20:
+                        yield _batch(held)
+                        held, size = [], 0
+                yield _batch(held)
+        finally:
+            del bpe
+            vocab.release()
 
     def _batch(held):
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], t) for i, t in enumerate(kinds)], names)
 
-    return source.mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, block int, ids binary")
+    return source.mapInArrow(task(run), "doc_id long, start long, length long, doc_tokens long, block int, ids binary")
 
 
 def block_count(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vocab
-from .common import materialize, small_batches, text_bytes
+from .common import materialize, small_batches, task, text_bytes
 from .shingles import windows
 
 _SYMBOLS = b"#*$%&|<>"
@@ -203,23 +203,30 @@ def quality_rules(docs: DataFrame, rules: Rules | None = None, keep_text: bool =
 
     def run(batches):
         fertility = Fertility(rules)
-        for batch in batches:
-            rows = []
-            texts = batch.column("text").cast(pa.binary()) if "text" in keep else batch.column("_bytes")
-            for text, lang in zip(texts, batch.column("_lang").to_pylist(), strict=True):
-                text = text.as_py() or b""
-                c = plain_counts(text)
-                least = c.pop("least")
-                tokens, rate, fallback, entropy = fertility(text, c.pop("words"), c["word_chars"])
-                failed = c["n_words"] < rules.min_words or 100 * c["n_repeat_words"] > rules.max_repeat_percent * c["n_words"]
-                band, reason = verdict(rules, lang, text, tokens, rate, fallback, entropy)
-                rows.append((*c.values(), tokens, rate, fallback, entropy, band, reason, failed, not failed and not reason, least))
-            kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
-            columns = [pa.array([r[i] for r in rows], kinds[x.split()[1]]) for i, x in enumerate(OUTPUT.split(", "))]
-            columns.append(pa.array([r[-1] for r in rows], pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *columns], [*keep, *names, "_least"])
-
-    measured = materialize(source.mapInArrow(run, schema), "measures")
+        try:
+            for batch in batches:
+                yield judged_batch(fertility, batch)
+        finally:
+            del fertility
+            vocab.release()
+
+    def judged_batch(fertility, batch):
+        rows = []
+        texts = batch.column("text").cast(pa.binary()) if "text" in keep else batch.column("_bytes")
+        for text, lang in zip(texts, batch.column("_lang").to_pylist(), strict=True):
+            text = text.as_py() or b""
+            c = plain_counts(text)
+            least = c.pop("least")
+            tokens, rate, fallback, entropy = fertility(text, c.pop("words"), c["word_chars"])
+            failed = c["n_words"] < rules.min_words or 100 * c["n_repeat_words"] > rules.max_repeat_percent * c["n_words"]
+            band, reason = verdict(rules, lang, text, tokens, rate, fallback, entropy)
+            rows.append((*c.values(), tokens, rate, fallback, entropy, band, reason, failed, not failed and not reason, least))
+        kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
+        columns = [pa.array([r[i] for r in rows], kinds[x.split()[1]]) for i, x in enumerate(OUTPUT.split(", "))]
+        columns.append(pa.array([r[-1] for r in rows], pa.int64()))
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *columns], [*keep, *names, "_least"])
+
+    measured = materialize(source.mapInArrow(task(run), schema), "measures")
     found = group_bands(measured, rules)
     if not found:
         return measured.drop("_least")

@@ -111,3 +111,9 @@ def byte_bpe(path: str) -> ByteBpe:
 @lru_cache(maxsize=4)
 def piece_bpe(path: str) -> PieceBpe:
     return PieceBpe(path)
+
+
+def release() -> None:
+    """Drop loaded vocabularies and their caches, at the end of a task."""
+    byte_bpe.cache_clear()
+    piece_bpe.cache_clear()
