@@ -143,29 +143,32 @@ def apply_bitmap(text: pd.Series, keep: pd.Series) -> pd.Series:
     return pd.Series([one(t, k) for t, k in zip(text, keep, strict=True)])
 
 
-def keep_bitmaps(docs: DataFrame, policy: str = "frequent", min_docs: int = 10, parts: int | None = None) -> DataFrame:
+def keep_bitmaps(docs: DataFrame, policy: str = "frequent", min_docs: int = 10, parts: int | None = None, prefix: str = "") -> DataFrame:
     """``docs`` with n_lines, n_dropped and ``keep``, the compressed bitmap of its kept lines.
 
     A document is a distinct (doc_id, text); repeated rows count once and share
     a bitmap.  Null or empty text: one empty line, kept.  Lines that are blank
-    are never dropped.  Null ids are ids like any other.
+    are never dropped, and ties between documents are no matter: a key goes from
+    all of them or from none.  An empty table gives an empty table.  Null ids
+    are ids like any other.  Columns of ``docs`` with an output's name are
+    replaced, unless ``prefix`` gives the outputs other names.
     """
-    docs = docs.drop("n_lines", "n_dropped", "keep", "_doc", "_pos")
-    found = dropped_lines(docs, policy, min_docs, parts).groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("pos").alias("_pos"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    n_lines = F.size(F.split(text, "\n", -1)).cast("long")
-    joined = docs.withColumn("_key", row_key("doc_id", "text")).join(found, F.col("_key") == F.col("_doc"), "left")
+    n_lines, n_dropped, keep = (f"{prefix}{c}" for c in ("n_lines", "n_dropped", "keep"))
+    docs = docs.drop(n_lines, n_dropped, keep)
+    found = dropped_lines(docs.select("doc_id", "text"), policy, min_docs, parts).groupBy(F.col("doc").alias("_ld_doc")).agg(F.collect_set("pos").alias("_ld_pos"))
+    lines = F.size(F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)).cast("long")
+    joined = docs.withColumn("_ld_key", row_key("doc_id", "text")).join(found, F.col("_ld_key") == F.col("_ld_doc"), "left")
     return (
-        joined.withColumn("n_lines", n_lines)
-        .withColumn("n_dropped", F.when(F.col("_pos").isNull(), F.lit(0)).otherwise(F.size("_pos")).cast("long"))
-        .withColumn("keep", _bitmaps("n_lines", "_pos"))
-        .drop("_key", "_doc", "_pos")
+        joined.withColumn(n_lines, lines)
+        .withColumn(n_dropped, F.when(F.col("_ld_pos").isNull(), F.lit(0)).otherwise(F.size("_ld_pos")).cast("long"))
+        .withColumn(keep, _bitmaps(n_lines, "_ld_pos"))
+        .drop("_ld_key", "_ld_doc", "_ld_pos")
     )
 
 
 def line_dedup(docs: DataFrame, policy: str = "frequent", min_docs: int = 10) -> DataFrame:
-    """``docs`` with the text of its kept lines (null text stays null); rows all stay."""
+    """``docs`` with the text of its kept lines (null text stays null); rows and all other columns stay, whatever their names."""
     names = docs.columns
-    out = keep_bitmaps(docs, policy, min_docs)
-    text = F.when(F.col("n_dropped") > 0, apply_bitmap("text", "keep")).otherwise(F.col("text"))
+    out = keep_bitmaps(docs, policy, min_docs, prefix="_ld_")
+    text = F.when(F.col("_ld_n_dropped") > 0, apply_bitmap("text", "_ld_keep")).otherwise(F.col("text"))
     return out.withColumn("text", text).select(*names)

@@ -260,6 +260,30 @@ def test_line_dedup(spark, odd, empty):
     assert often[0] == "own 0" and often[1] == "shared 1\nown 1"
 
 
+def test_line_dedup_keeps_the_callers_columns(spark):
+    docs = spark.createDataFrame([(d, "shared\nown", "mine", 7, 8, "k", 9) for d in range(12)], "doc_id long, text string, keep string, n_lines long, n_dropped long, _key string, pos long")
+    got = line_dedup.line_dedup(docs, "frequent", 10)
+    assert got.columns == docs.columns
+    assert {tuple(r)[1:] for r in got.collect()} == {("", "mine", 7, 8, "k", 9)}
+
+
+def test_packing_ids_equal_the_named_tokenizer():
+    """White space, letters, digits and marks of many kinds in every order of three, and longer mixes."""
+    import itertools
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from scholarium.llm.vocab import byte_bpe
+
+    tokenizer, bpe = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), byte_bpe(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    kinds = [" ", "\n", "\t", "\r", "\u00a0", "\u2003", "\u3000", "a", "Z", "é", "1", "²", "'s", ".", "#", "漢", "😀", "\u0301", "\x00", "_"]
+    draw = random.Random(1)
+    texts = ["".join(p) for p in itertools.product(kinds, repeat=3)] + ["".join(draw.choices(kinds, k=draw.randint(4, 12))) for _ in range(5000)]
+    assert all(y.ids == bpe.ids(x).tolist() for x, y in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True))
+
+
 def test_packing(odd, empty):
     rows = packing.pack(odd).collect()
     assert sum(r["length"] for r in rows if r["doc_id"] in (1, 2)) == 2  # the end id alone
