@@ -43,7 +43,7 @@ def op5_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
     n_spans = F.size("spans").cast("long").alias("n_spans")
-    return found.select("doc_id", "n_bytes", "n_removed", n_spans, F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_bytes", "n_removed", n_spans, F.sha2("kept", 256).alias("kept_sha256"), "n_passages")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

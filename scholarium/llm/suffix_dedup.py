@@ -1,17 +1,18 @@
 """Removal of repeated byte strings, by a column-wise suffix order over all texts.
 
-Where two equal strings of ``length`` bytes stand, they hold the same anchor: a
+Where two equal strings of ``short`` bytes stand, they hold the same anchor: a
 gram whose hash is least in some window, chosen from the bytes alone.  Anchors
 that stand once in the corpus can't belong to a repeated string.  Around each
 other anchor a read is cut, ``length`` bytes to the right and as many to the left
-as a window may reach, and the reads of an anchor meet in a task.
+as a window may reach, and the reads of an anchor meet in a task.  Strings of
+``length`` bytes that repeat are removed, those of ``short`` are only told.
 
 There the order of all suffixes is built column by column: every round inserts
 one symbol in front of each read; a stable sort by that symbol of the previous
 order gives the new one (the symbols in this order are the column's
 Burrows-Wheeler transform), and the common prefixes of neighbours follow from
-the previous column's.  A neighbour with a common prefix of ``length`` bytes or
-more is a repeated string.  A round reads one column and the two arrays of the
+the previous column's.  A neighbour with a common prefix of ``short`` bytes or
+more is a repeated string, one of ``length`` or more a string to remove.  A round reads one column and the two arrays of the
 round before, never an older one.
 """
 
@@ -27,6 +28,10 @@ from .common import materialize, small_batches, text_bytes
 from .runs import repeated_groups
 
 LENGTH = 400
+#: Least bytes of the repeats that are told but not removed: 50 words of four bytes, blanks included.
+SHORT = 200
+#: A passage has more words than this.
+PASSAGE_WORDS = 50
 GRAM = 32
 #: Reads of one anchor up to which they are ordered in one task; more go the way of ``_hot_windows``.
 MOST_READS = 4096
@@ -121,9 +126,9 @@ def _find(length: int, gram: int):
     return run
 
 
-def _cut(length: int, gram: int):
+def _cut(length: int, short: int, gram: int):
     """Reads around the anchors of each text: ``left`` bytes before, ``length`` from the anchor on."""
-    left = length - gram
+    left = short - gram
 
     def run(batches):
         last = None
@@ -151,8 +156,8 @@ def _cut(length: int, gram: int):
     return run
 
 
-def column_order(columns: np.ndarray, bucket: np.ndarray, length: int, starts: int) -> np.ndarray:
-    """Which windows repeat: a boolean per (start column, read), for the first ``starts`` columns.
+def column_order(columns: np.ndarray, bucket: np.ndarray, lengths: tuple[int, ...], starts: int) -> list[np.ndarray]:
+    """Which windows repeat: for each of ``lengths`` a boolean per (start column, read), for the first ``starts`` columns.
 
     ``columns``: symbols by (column, read), _NONE outside the text.  ``bucket``:
     ascending numbers of groups of reads that are compared with each other.
@@ -160,7 +165,7 @@ def column_order(columns: np.ndarray, bucket: np.ndarray, length: int, starts: i
     n = columns.shape[1]
     order = np.arange(n)
     common = np.zeros(n + 1, np.int32)  # with the one before, in this order; a last 0 ends it
-    repeated = np.zeros((starts, n), bool)
+    repeated = [np.zeros((starts, n), bool) for _ in lengths]
     edge = np.ones(n, bool)
     edge[1:] = bucket[1:] != bucket[:-1]
     base = bucket.astype(np.int64) * (_NONE + 1)
@@ -184,8 +189,9 @@ def column_order(columns: np.ndarray, bucket: np.ndarray, length: int, starts: i
         new[key - base == _NONE] = 0
         common = np.append(new, np.int32(0))
         if c < starts:
-            long = common >= length
-            repeated[c, order] = long[:-1] | long[1:]
+            for length, on in zip(lengths, repeated, strict=True):
+                long = common >= length
+                on[c, order] = long[:-1] | long[1:]
     return repeated
 
 
@@ -199,8 +205,12 @@ def _spans(repeated: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndar
     return reads, first, last - 1
 
 
-def _order(length: int, gram: int):
-    left = length - gram
+def _span_batch(t: np.ndarray, start: np.ndarray, end: np.ndarray, size: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(t), pa.array(start), pa.array(end), pa.array(np.full(len(t), size, np.int32))], ["t", "start", "end", "size"])
+
+
+def _order(length: int, short: int, gram: int):
+    left = short - gram
 
     def solve(rows):
         anchor = np.array([r[0] for r in rows], np.int64)
@@ -210,12 +220,12 @@ def _order(length: int, gram: int):
         for i, r in enumerate(rows):
             at = left - r[3]
             table[i, at : at + len(r[4])] = np.frombuffer(r[4], np.uint8)
-        repeated = column_order(np.ascontiguousarray(table.T), bucket, length, left + 1)
         valid = np.arange(left + 1)[:, None] >= (left - before)[None, :]
-        reads, first, last = _spans(repeated, valid)
         t, pos = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
-        begin = pos[reads] - left + first
-        return pa.RecordBatch.from_arrays([pa.array(t[reads]), pa.array(begin), pa.array(begin + (last - first) + length)], ["t", "start", "end"])
+        for size, repeated in zip((length, short), column_order(np.ascontiguousarray(table.T), bucket, (length, short), left + 1), strict=True):
+            reads, first, last = _spans(repeated, valid)
+            begin = pos[reads] - left + first
+            yield _span_batch(t[reads], begin, begin + (last - first) + size, size)
 
     def run(batches):
         held = []
@@ -225,26 +235,27 @@ def _order(length: int, gram: int):
                     continue
                 if held and held[-1][0] != row[0]:
                     if len(held) >= BLOCK_READS:
-                        yield solve(held)
+                        yield from solve(held)
                         held = []
                 held.append(row)
         if held:
-            yield solve(held)
+            yield from solve(held)
 
     return run
 
 
-def _hot_windows(length: int, gram: int):
+def _hot_windows(length: int, short: int, gram: int):
     """For anchors with very many reads: the windows whose least gram is such an anchor, to be grouped by Spark.
 
     Rows with ``end`` are spans that repeat already within the texts of a task's
-    block; the others are one window of each two hashes in the block.
+    block; the others are one window of each two hashes in the block.  ``size``
+    tells windows of ``length`` from those of ``short``.
     """
-    w = length - gram + 1
-    names = ["w", "w2", "t", "start", "end"]
+    w = short - gram + 1
+    names = ["w", "w2", "t", "start", "end", "size"]
 
     def blocks(batches):
-        """Windows of whole texts, each text once in a block: t, start and two hashes of each."""
+        """Windows of whole texts, each text once in a block: t, start, two hashes and size of each."""
         grams, held, seen, n = Grams(), [], set(), 0
         for batch in batches:
             for t, text, places in zip(*(batch.column(c).to_pylist() for c in ("t", "bytes", "places")), strict=True):
@@ -253,12 +264,14 @@ def _hot_windows(length: int, gram: int):
                 seen.add(t)
                 raw = np.frombuffer(text, np.uint8)
                 hot = np.unique(np.array([p["anchor"] for p in places], np.int64)).view(np.uint64)
-                for begin in range(0, len(raw) - length + 1, CHUNK):
+                for begin in range(0, len(raw) - short + 1, CHUNK):
                     part = raw[begin : begin + CHUNK + length - 1]
-                    on = np.flatnonzero(np.isin(_sliding(grams(part, gram), w, True), hot))
-                    if len(on):
-                        held.append((np.full(len(on), t, np.int64), on + begin, grams(part, length)[on], grams(part, length, 1000)[on]))
-                        n += len(on)
+                    starts = np.flatnonzero(np.isin(_sliding(grams(part, gram), w, True)[:CHUNK], hot))
+                    for size in (length, short):
+                        on = starts[starts <= len(part) - size]
+                        if len(on):
+                            held.append((np.full(len(on), t, np.int64), on + begin, grams(part, size)[on], grams(part, size, 1000)[on], np.full(len(on), size, np.int32)))
+                            n += len(on)
                 if n >= BLOCK_WINDOWS:
                     yield [np.concatenate(x) for x in zip(*held, strict=True)]
                     held, seen, n = [], set(), 0
@@ -266,26 +279,26 @@ def _hot_windows(length: int, gram: int):
             yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
     def run(batches):
-        for t, start, one, two in blocks(batches):
-            order = np.lexsort((two, one))
-            same = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
+        for t, start, one, two, size in blocks(batches):
+            order = np.lexsort((two, one, size))
+            same = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1]) & (size[order][1:] == size[order][:-1])
             again = np.zeros(len(t), bool)
             again[order[1:][same]] = True
             again[order[:-1][same]] = True
             first = order[np.concatenate([[True], ~same])]
             on = np.flatnonzero(again)
             fresh = np.ones(len(on), bool)
-            fresh[1:] = (t[on][1:] != t[on][:-1]) | (start[on][1:] != start[on][:-1] + 1)
+            fresh[1:] = (t[on][1:] != t[on][:-1]) | (start[on][1:] != start[on][:-1] + 1) | (size[on][1:] != size[on][:-1])
             begin = on[fresh]
             last = on[np.append(fresh[1:], True)] if len(on) else on
             nothing = pa.nulls(len(first), pa.int64())
-            yield from pa.table([pa.array(one[first].view(np.int64)), pa.array(two[first].view(np.int64)), pa.array(t[first]), pa.array(start[first]), nothing], names).to_batches(max_chunksize=200_000)
-            yield pa.RecordBatch.from_arrays([pa.array(t[begin] ^ start[begin]), pa.array(np.zeros(len(begin), np.int64)), pa.array(t[begin]), pa.array(start[begin]), pa.array(start[last] + length)], names)
+            yield from pa.table([pa.array(one[first].view(np.int64)), pa.array(two[first].view(np.int64)), pa.array(t[first]), pa.array(start[first]), nothing, pa.array(size[first])], names).to_batches(max_chunksize=200_000)
+            yield pa.RecordBatch.from_arrays([pa.array(t[begin] ^ start[begin]), pa.array(np.zeros(len(begin), np.int64)), pa.array(t[begin]), pa.array(start[begin]), pa.array(start[last] + size[begin]), pa.array(size[begin])], names)
 
     return run
 
 
-def _hot_spans(length: int):
+def _hot_spans():
     """Spans of windows that stand in several blocks, and the spans that the blocks found themselves."""
 
     def run(batches):
@@ -294,14 +307,14 @@ def _hot_spans(length: int):
         def windows():
             for batch in batches:
                 own = batch.column("end").is_null()
-                ready.append(batch.filter(batch.column("end").is_valid()).select(["t", "start", "end"]))
-                yield batch.filter(own).select(["w", "w2", "t", "start"])
+                ready.append(batch.filter(batch.column("end").is_valid()).select(["t", "start", "end", "size"]))
+                yield batch.filter(own).select(["size", "w", "w2", "t", "start"])
 
-        for batch in repeated_groups(("w", "w2"), ("t", "start"))(windows()):
+        for batch in repeated_groups(("w", "w2", "size"), ("t", "start"))(windows()):
             yield from ready
             ready.clear()
-            start = batch.column("start").to_numpy()
-            yield pa.RecordBatch.from_arrays([batch.column("t"), batch.column("start"), pa.array(start + length)], ["t", "start", "end"])
+            start, size = batch.column("start").to_numpy(), batch.column("size")
+            yield pa.RecordBatch.from_arrays([batch.column("t"), batch.column("start"), pa.array(start + size.to_numpy()), size], ["t", "start", "end", "size"])
         yield from ready
 
     return run
@@ -319,74 +332,89 @@ def _with_places(texts: DataFrame, places: DataFrame, kind: str) -> DataFrame:
     return texts.join(places.where(F.size(kind) > 0).select("t", F.col(kind).alias("places")), "t")
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(t, copies, spans): per distinct text, by its hash, how often it stands and which bytes repeat.
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, short: int = SHORT) -> DataFrame:
+    """(t, copies, spans, passages): per distinct text, by its hash, how often it stands and which bytes repeat.
 
-    A text of ``length`` bytes or more that stands twice repeats as a whole;
-    its spans then tell only what other texts share with it.
+    ``spans`` cover what repeats over ``length`` bytes, ``passages`` over ``short``.
+    A text of that many bytes that stands twice repeats as a whole; its spans
+    then tell only what other texts share with it.
     """
+    if not gram <= short <= length:
+        raise ValueError("gram <= short <= length must hold")
     spark = docs.sparkSession
     small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.xxhash64(text_bytes()).alias("t"), text_bytes().alias("bytes"))
-    long = source.where(F.octet_length("bytes") >= length)
-    found = long.mapInArrow(_find(length, gram), "anchor long, t long, pos long")
+    long = source.where(F.octet_length("bytes") >= short)
+    found = long.mapInArrow(_find(short, gram), "anchor long, t long, pos long")
     found = found.repartition(parts, "anchor").sortWithinPartitions("anchor", "t", "pos")
     found = materialize(found.mapInArrow(repeated_groups("anchor", ("t", "pos")), "anchor long, t long, pos long"), "anchors")
     many = found.groupBy("anchor").agg(F.count("t").alias("n")).where(F.col("n") > MOST_READS).select("anchor")
     many = materialize(many, "many")
     places = _places(found, many)
-    few = _with_places(long, places, "few").mapInArrow(_cut(length, gram), "anchor long, t long, pos long, before int, read binary")
+    few = _with_places(long, places, "few").mapInArrow(_cut(length, short, gram), "anchor long, t long, pos long, before int, read binary")
     few = few.repartition(parts, "anchor").sortWithinPartitions("anchor", "t", "pos")
-    spans = few.mapInArrow(_order(length, gram), "t long, start long, end long")
+    spans = few.mapInArrow(_order(length, short, gram), "t long, start long, end long, size int")
     if not many.isEmpty():
-        hot = _with_places(long, places, "hot").mapInArrow(_hot_windows(length, gram), "w long, w2 long, t long, start long, end long")
-        hot = hot.repartition(parts, "w").sortWithinPartitions("w", "w2", "t", "start")
-        spans = spans.union(hot.mapInArrow(_hot_spans(length), "t long, start long, end long"))
-    by_text = spans.groupBy("t").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+        hot = _with_places(long, places, "hot").mapInArrow(_hot_windows(length, short, gram), "w long, w2 long, t long, start long, end long, size int")
+        hot = hot.repartition(parts, "w").sortWithinPartitions("w", "w2", "size", "t", "start")
+        spans = spans.union(hot.mapInArrow(_hot_spans(), "t long, start long, end long, size int"))
+    of = lambda size: F.collect_set(F.when(F.col("size") == size, F.struct("start", "end")))
+    by_text = spans.groupBy("t").agg(of(length).alias("spans"), of(short).alias("passages"))
     copies = long.groupBy("t").agg(F.count(F.lit(1)).alias("copies"))
     return copies.join(by_text, "t", "left").where("copies > 1 or spans is not null")
 
 
-def remove(text: bytes, copies: int, spans, length: int) -> tuple[list[tuple[int, int]], bytes]:
-    """Maximal removed runs, and what is left."""
-    if copies > 1 and len(text) >= length:
-        return [(0, len(text))], b""
+def runs_of(size: int, copies: int, spans, length: int) -> list[tuple[int, int]]:
+    """Maximal runs of repeated bytes in a text of ``size`` bytes that stands ``copies`` times."""
+    if copies > 1 and size >= length:
+        return [(0, size)]
     runs: list[list[int]] = []
     for s, e in sorted((x["start"], x["end"]) for x in spans or ()):
         if runs and s <= runs[-1][1]:
             runs[-1][1] = max(runs[-1][1], e)
         else:
             runs.append([s, e])
+    return [tuple(r) for r in runs]
+
+
+def remove(text: bytes, runs: list[tuple[int, int]]) -> bytes:
+    """What is left of a text."""
     left, at = [], 0
     for s, e in runs:
         left.append(text[at:s])
         at = e
-    return [tuple(r) for r in runs], b"".join([*left, text[at:]])
+    return b"".join([*left, text[at:]])
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_removed, spans (array of start, end), kept (binary).
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, short: int = SHORT) -> DataFrame:
+    """One row per input row: doc_id, n_bytes, n_removed, spans (array of start, end), kept (binary), n_passages.
 
     Removed is each byte inside a string of ``length`` bytes that starts
     anywhere else too, in the same text or another; judged on the input.  Null,
     empty or shorter texts lose nothing.  Equal texts of ``length`` bytes or
     more, repeated rows included, lose all.  Null ids are ids like any other.
+    n_passages counts the maximal runs of more than PASSAGE_WORDS words that
+    strings of ``short`` bytes cover which start elsewhere too; such runs stay
+    unless they are removed as above.  Very long texts are read in pieces of
+    CHUNK bytes; an empty table gives an empty table; other columns are not read.
     """
-    repeated = materialize(repeated_spans(docs, length, gram), "spans")
+    repeated = materialize(repeated_spans(docs, length, gram, short), "spans")
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text_bytes()).alias("t"), text_bytes().alias("bytes")).join(repeated, "t", "left")
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
         for batch in batches:
-            spans, kept, removed, sizes = [], [], [], []
-            for text, copies, found in zip(*(batch.column(c).to_pylist() for c in ("bytes", "copies", "spans")), strict=True):
-                r, k = remove(text, copies or 1, found, length)
+            spans, kept, removed, sizes, passages = [], [], [], [], []
+            for text, copies, found, told in zip(*(batch.column(c).to_pylist() for c in ("bytes", "copies", "spans", "passages")), strict=True):
+                r = runs_of(len(text), copies or 1, found, length)
+                k = remove(text, r)
                 spans.append([{"start": s, "end": e} for s, e in r])
                 kept.append(k)
                 sizes.append(len(text))
                 removed.append(len(text) - len(k))
-            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
+                passages.append(sum(len(text[s:e].split()) > PASSAGE_WORDS for s, e in runs_of(len(text), copies or 1, told, short)))
+            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()), pa.array(passages, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "spans", "kept", "n_passages"])
 
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary, n_passages long")

@@ -72,6 +72,23 @@ def components(docs: list[tuple[int, str | None]], percent: int = 75) -> list[tu
     return sorted((d, len(s), root(d)) for d, s in sets)
 
 
+def repeated_passages(docs: list[tuple[int, str | None]], short: int = 200, words: int = 50) -> list[tuple]:
+    """(doc_id, n_passages): maximal runs of over ``words`` words that repeated strings of ``short`` bytes cover."""
+    raw = [(d, (t or "").encode()) for d, t in docs]
+    often = Counter(b[i : i + short] for _, b in raw for i in range(len(b) - short + 1))
+    out = []
+    for d, b in raw:
+        runs: list[list[int]] = []
+        for i in range(len(b) - short + 1):
+            if often[b[i : i + short]] > 1:
+                if runs and i <= runs[-1][1]:
+                    runs[-1][1] = i + short
+                else:
+                    runs.append([i, i + short])
+        out.append((d, sum(len(b[s:e].split()) > words for s, e in runs)))
+    return sorted(out, key=repr)
+
+
 def suffix_removed(docs: list[tuple[int, str | None]], length: int = 400) -> list[tuple]:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) by counting every string of ``length`` bytes."""
     raw = [(d, (t or "").encode()) for d, t in docs]

@@ -65,6 +65,7 @@ def test_suffix_removal(spark, docs, monkeypatch, most_reads, block_windows):
     got = Q.op6_suffix_dedup(spark, SF).collect()
     rows = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got]
     assert sorted(rows, key=repr) == brute.suffix_removed(docs)
+    assert sorted(((r["doc_id"], r["n_passages"]) for r in got), key=repr) == brute.repeated_passages(docs)
 
 
 def test_frequent_lines(spark, docs):
