@@ -6,12 +6,13 @@ import numpy as np
 import pyarrow as pa
 
 
-def repeated_groups(key: str | tuple[str, ...], member: tuple[str, ...]):
+def repeated_groups(key: str | tuple[str, ...], member: tuple[str, ...], aside=None):
     """A function for mapInArrow over rows sorted by ``key``, then ``member``.
 
     Repeats of a member in a group fall away, then groups with one member.
     Only the last row of a batch waits for the next, so memory stays small
-    however large a group is.
+    however large a group is.  ``aside`` parts a batch into rows to be grouped
+    and rows that go out as they are.
     """
 
     keys = (key,) if isinstance(key, str) else key
@@ -19,6 +20,10 @@ def repeated_groups(key: str | tuple[str, ...], member: tuple[str, ...]):
     def run(batches):
         last, sent = None, False  # the row that may still begin a group; whether it went out already
         for batch in batches:
+            if aside is not None:
+                batch, through = aside(batch)
+                if through.num_rows:
+                    yield through
             if not batch.num_rows:
                 continue
             t = pa.table(batch) if last is None else pa.concat_tables([last, pa.table(batch)]).combine_chunks()

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +40,8 @@ MOST_READS = 4096
 BLOCK_READS = 8192
 #: Windows of hot anchors that a task compares with each other before the shuffle.
 BLOCK_WINDOWS = 500_000
+#: Times an anchor stands in a batch from which on its rows are known to repeat and are dealt at random.
+HOT_IN_BATCH = 64
 #: Bytes of a text that are hashed at a time.
 CHUNK = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -104,7 +107,21 @@ def anchors(raw: np.ndarray, grams: Grams, length: int, gram: int) -> tuple[np.n
     return at, np.concatenate(found)[index]
 
 
+def _known(anchor: np.ndarray, hot_in_batch: int) -> np.ndarray:
+    """Rows of very common anchors of a batch, but for the first two of each, which tell other tasks of it."""
+    _, group, count = np.unique(anchor, return_inverse=True, return_counts=True)
+    hot = np.flatnonzero(count[group] >= hot_in_batch)
+    hot = hot[np.argsort(group[hot], kind="stable")]
+    begin = np.flatnonzero(np.append(True, group[hot][1:] != group[hot][:-1])) if len(hot) else hot
+    rank = np.arange(len(hot)) - np.repeat(begin, np.diff(np.append(begin, len(hot))))
+    known = np.zeros(len(anchor), bool)
+    known[hot[rank >= 2]] = True
+    return known
+
+
 def _find(length: int, gram: int):
+    """Anchors of each distinct text of a task.  ``again``: the anchor repeats for certain; ``deal`` spreads such rows."""
+
     def run(batches):
         grams, seen = Grams(), set()
         for batch in batches:
@@ -120,12 +137,25 @@ def _find(length: int, gram: int):
                 texts.append(np.full(len(at), key, np.int64))
                 places.append(at)
             if keys:
-                columns = [pa.array(np.concatenate(x)) for x in (keys, texts, places)]
-                yield from pa.table(columns, ["anchor", "t", "pos"]).to_batches(max_chunksize=200_000)
+                anchor, t, pos = (np.concatenate(x) for x in (keys, texts, places))
+                again = _known(anchor, HOT_IN_BATCH)
+                deal = np.where(again, t ^ (pos * np.int64(0x9E3779B1)), anchor)
+                columns = [pa.array(x) for x in (anchor, t, pos, again, deal)]
+                yield from pa.table(columns, ["anchor", "t", "pos", "again", "deal"]).to_batches(max_chunksize=200_000)
 
     return run
 
 
+def _aside(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+    """Rows whose anchor may stand once, and those known to repeat, each once."""
+    names, again = ["anchor", "t", "pos"], batch.column("again")
+    known = batch.filter(again).select(names)
+    v = [known.column(c).to_numpy() for c in names]
+    fresh = np.ones(known.num_rows, bool)
+    fresh[1:] = np.any([x[1:] != x[:-1] for x in v], axis=0)
+    return batch.filter(pc.invert(again)).select(names), known.filter(pa.array(fresh))
+
+
 def _cut(length: int, short: int, gram: int):
     """Reads around the anchors of each text: ``left`` bytes before, ``length`` from the anchor on."""
     left = short - gram
@@ -346,9 +376,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shor
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.xxhash64(text_bytes()).alias("t"), text_bytes().alias("bytes"))
     long = source.where(F.octet_length("bytes") >= short)
-    found = long.mapInArrow(_find(short, gram), "anchor long, t long, pos long")
-    found = found.repartition(parts, "anchor").sortWithinPartitions("anchor", "t", "pos")
-    found = materialize(found.mapInArrow(repeated_groups("anchor", ("t", "pos")), "anchor long, t long, pos long"), "anchors")
+    found = long.mapInArrow(_find(short, gram), "anchor long, t long, pos long, again boolean, deal long")
+    found = found.repartition(parts, "deal").sortWithinPartitions("anchor", "t", "pos")
+    found = materialize(found.mapInArrow(repeated_groups("anchor", ("t", "pos"), _aside), "anchor long, t long, pos long"), "anchors")
     many = found.groupBy("anchor").agg(F.count("t").alias("n")).where(F.col("n") > MOST_READS).select("anchor")
     many = materialize(many, "many")
     places = _places(found, many)

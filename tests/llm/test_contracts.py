@@ -58,8 +58,9 @@ def test_quality_classifier_held_out(spark):
     assert area > 0.9
 
 
-@pytest.mark.parametrize(("most_reads", "block_windows"), [(4096, 500_000), (1, 500_000), (1, 2000)])
-def test_suffix_removal(spark, docs, monkeypatch, most_reads, block_windows):
+@pytest.mark.parametrize(("most_reads", "block_windows", "hot_in_batch"), [(4096, 500_000, 64), (1, 500_000, 3), (1, 2000, 64)])
+def test_suffix_removal(spark, docs, monkeypatch, most_reads, block_windows, hot_in_batch):
+    monkeypatch.setattr(suffix_dedup, "HOT_IN_BATCH", hot_in_batch)
     monkeypatch.setattr(suffix_dedup, "MOST_READS", most_reads)
     monkeypatch.setattr(suffix_dedup, "BLOCK_WINDOWS", block_windows)
     got = Q.op6_suffix_dedup(spark, SF).collect()
