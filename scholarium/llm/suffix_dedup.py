@@ -274,34 +274,51 @@ def _order(length: int, short: int, gram: int):
     return run
 
 
-def _hot_windows(length: int, short: int, gram: int):
-    """For anchors with very many reads: the windows whose least gram is such an anchor, to be grouped by Spark.
-
-    Rows with ``end`` are spans that repeat already within the texts of a task's
-    block; the others are one window of each two hashes in the block.  ``size``
-    tells windows of ``length`` from those of ``short``.
+def _starts(runs, least: int) -> np.ndarray:
+    """First and last of the runs of at least ``least`` neighbouring starts that a list of such runs makes together."""
+    on = np.array(sorted((r["start"], r["last"]) for r in runs), np.int64).reshape(-1, 2)
+    last = np.maximum.accumulate(on[:, 1])
+    fresh = np.append(True, on[1:, 0] > last[:-1] + 1)[: len(on)]
+    joined = np.stack([on[fresh, 0], last[np.append(fresh[1:], True)[: len(on)]]], 1)
+    return joined[joined[:, 1] - joined[:, 0] + 1 >= least]
+
+
+def _hot_windows(size: int, short: int, gram: int):
+    """For anchors with very many reads: windows of ``size`` bytes whose first ``short`` have such an anchor as least gram.
+
+    Spark groups them.  Rows with ``end`` are spans that repeat already within
+    the texts of a task's block; the others are one window of each two hashes in
+    the block.  With a column ``runs``, the starts of repeated strings of
+    ``short`` bytes, only windows are taken whose every such string repeats: no
+    other can repeat as a whole.
     """
     w = short - gram + 1
     names = ["w", "w2", "t", "start", "end", "size"]
 
     def blocks(batches):
-        """Windows of whole texts, each text once in a block: t, start, two hashes and size of each."""
+        """Windows of whole texts, each text once in a block: t, start and two hashes of each."""
         grams, held, seen, n = Grams(), [], set(), 0
         for batch in batches:
-            for t, text, places in zip(*(batch.column(c).to_pylist() for c in ("t", "bytes", "places")), strict=True):
+            runs = batch.column("runs").to_pylist() if "runs" in batch.schema.names else [None] * batch.num_rows
+            for t, text, places, within in zip(*(batch.column(c).to_pylist() for c in ("t", "bytes", "places")), runs, strict=True):
                 if t in seen:
                     continue
                 seen.add(t)
                 raw = np.frombuffer(text, np.uint8)
                 hot = np.unique(np.array([p["anchor"] for p in places], np.int64)).view(np.uint64)
-                for begin in range(0, len(raw) - short + 1, CHUNK):
-                    part = raw[begin : begin + CHUNK + length - 1]
-                    starts = np.flatnonzero(np.isin(_sliding(grams(part, gram), w, True)[:CHUNK], hot))
-                    for size in (length, short):
-                        on = starts[starts <= len(part) - size]
-                        if len(on):
-                            held.append((np.full(len(on), t, np.int64), on + begin, grams(part, size)[on], grams(part, size, 1000)[on], np.full(len(on), size, np.int32)))
-                            n += len(on)
+                open_ = None if within is None else _starts(within, size - short + 1)
+                for begin in range(0, len(raw) - size + 1, CHUNK):
+                    if open_ is not None and not ((open_[:, 0] < begin + CHUNK) & (open_[:, 1] - (size - short) >= begin)).any():
+                        continue
+                    part = raw[begin : begin + CHUNK + size - 1]
+                    on = np.flatnonzero(np.isin(_sliding(grams(part, gram), w, True)[:CHUNK], hot))
+                    on = on[on <= len(part) - size]
+                    if open_ is not None:
+                        run = np.searchsorted(open_[:, 0], on + begin, side="right") - 1
+                        on = on[(run >= 0) & (on + begin + size - short <= open_[run, 1])]
+                    if len(on):
+                        held.append((np.full(len(on), t, np.int64), on + begin, grams(part, size)[on], grams(part, size, 1000)[on]))
+                        n += len(on)
                 if n >= BLOCK_WINDOWS:
                     yield [np.concatenate(x) for x in zip(*held, strict=True)]
                     held, seen, n = [], set(), 0
@@ -309,21 +326,21 @@ def _hot_windows(length: int, short: int, gram: int):
             yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
     def run(batches):
-        for t, start, one, two, size in blocks(batches):
-            order = np.lexsort((two, one, size))
-            same = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1]) & (size[order][1:] == size[order][:-1])
+        for t, start, one, two in blocks(batches):
+            order = np.lexsort((two, one))
+            same = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
             again = np.zeros(len(t), bool)
             again[order[1:][same]] = True
             again[order[:-1][same]] = True
             first = order[np.concatenate([[True], ~same])]
             on = np.flatnonzero(again)
             fresh = np.ones(len(on), bool)
-            fresh[1:] = (t[on][1:] != t[on][:-1]) | (start[on][1:] != start[on][:-1] + 1) | (size[on][1:] != size[on][:-1])
+            fresh[1:] = (t[on][1:] != t[on][:-1]) | (start[on][1:] != start[on][:-1] + 1)
             begin = on[fresh]
             last = on[np.append(fresh[1:], True)] if len(on) else on
-            nothing = pa.nulls(len(first), pa.int64())
-            yield from pa.table([pa.array(one[first].view(np.int64)), pa.array(two[first].view(np.int64)), pa.array(t[first]), pa.array(start[first]), nothing, pa.array(size[first])], names).to_batches(max_chunksize=200_000)
-            yield pa.RecordBatch.from_arrays([pa.array(t[begin] ^ start[begin]), pa.array(np.zeros(len(begin), np.int64)), pa.array(t[begin]), pa.array(start[begin]), pa.array(start[last] + size[begin]), pa.array(size[begin])], names)
+            nothing, sizes = pa.nulls(len(first), pa.int64()), np.full(max(len(first), len(begin)), size, np.int32)
+            yield from pa.table([pa.array(one[first].view(np.int64)), pa.array(two[first].view(np.int64)), pa.array(t[first]), pa.array(start[first]), nothing, pa.array(sizes[: len(first)])], names).to_batches(max_chunksize=200_000)
+            yield pa.RecordBatch.from_arrays([pa.array(t[begin] ^ start[begin]), pa.array(np.zeros(len(begin), np.int64)), pa.array(t[begin]), pa.array(start[begin]), pa.array(start[last] + size), pa.array(sizes[: len(begin)])], names)
 
     return run
 
@@ -362,6 +379,13 @@ def _with_places(texts: DataFrame, places: DataFrame, kind: str) -> DataFrame:
     return texts.join(places.where(F.size(kind) > 0).select("t", F.col(kind).alias("places")), "t")
 
 
+def _hot_repeats(texts: DataFrame, size: int, short: int, gram: int, parts: int) -> DataFrame:
+    """Spans of repeated strings of ``size`` bytes at the very common anchors of ``texts``."""
+    hot = texts.mapInArrow(_hot_windows(size, short, gram), "w long, w2 long, t long, start long, end long, size int")
+    hot = hot.repartition(parts, "w").sortWithinPartitions("w", "w2", "size", "t", "start")
+    return hot.mapInArrow(_hot_spans(), "t long, start long, end long, size int")
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, short: int = SHORT) -> DataFrame:
     """(t, copies, spans, passages): per distinct text, by its hash, how often it stands and which bytes repeat.
 
@@ -386,9 +410,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shor
     few = few.repartition(parts, "anchor").sortWithinPartitions("anchor", "t", "pos")
     spans = few.mapInArrow(_order(length, short, gram), "t long, start long, end long, size int")
     if not many.isEmpty():
-        hot = _with_places(long, places, "hot").mapInArrow(_hot_windows(length, short, gram), "w long, w2 long, t long, start long, end long, size int")
-        hot = hot.repartition(parts, "w").sortWithinPartitions("w", "w2", "size", "t", "start")
-        spans = spans.union(hot.mapInArrow(_hot_spans(), "t long, start long, end long, size int"))
+        spans = materialize(spans, "few_spans")
+        texts = _with_places(long, places, "hot")
+        told = materialize(_hot_repeats(texts, short, short, gram, parts), "hot_spans")
+        spans = spans.union(told)
+        if length > short:
+            # a string of ``length`` bytes repeats only where all its strings of ``short`` do
+            starts = spans.where(F.col("size") == short).select("t", "start", (F.col("end") - short).alias("last"))
+            runs = starts.groupBy("t").agg(F.collect_set(F.struct("start", "last")).alias("runs"), F.sum(F.expr("last - start + 1")).alias("n"))
+            runs = runs.where(F.col("n") > length - short).drop("n")
+            spans = spans.union(_hot_repeats(texts.join(runs, "t"), length, short, gram, parts))
     of = lambda size: F.collect_set(F.when(F.col("size") == size, F.struct("start", "end")))
     by_text = spans.groupBy("t").agg(of(length).alias("spans"), of(short).alias("passages"))
     copies = long.groupBy("t").agg(F.count(F.lit(1)).alias("copies"))
