@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, line_crf, line_dedup, packing, pii, quality_rules, sharding, suffix_dedup, warc
+from . import decontaminate, jaccard_join, line_crf, line_dedup, packing, pii, prefix_trie, quality_rules, resampling, sharding, suffix_dedup, topk_search, warc
 from .common import shared_dir, table, text_bytes
 
 
@@ -80,6 +80,20 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.sequences(table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt(turns))
+
+
+def op12_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5, min_words=20)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -94,6 +108,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_packing,
             op9_warc,
             op10_sharding,
+            op11_prefix_trie,
+            op12_topk_search,
+            op13_resampling,
         )
     }
 
@@ -143,5 +160,92 @@ FROM documents d JOIN reach ON reach.a = d.doc_id LEFT JOIN sizes ON sizes.doc_i
 GROUP BY d.doc_id
 """
 
+
+#: The nibble table of CRC-32, and its step over the hex digits of a text's bytes.
+_CRC_TABLE = """nibble AS (
+  SELECT list(x ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i, 1, 2, 3, 4], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS x
+    FROM (SELECT unnest(range(16)) AS i))
+)"""
+_CRC = """xor(4294967295, list_reduce([4294967295] || range(2 * strlen({text})),
+      lambda c, i: xor(t[(xor(c, strpos('0123456789ABCDEF', substr(hex(encode({text})), xor(i, 1) + 1, 1)) - 1) & 15) + 1], c >> 4)))"""
+
+_OP11 = f"""
+WITH {_CRC_TABLE}, turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+           sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || ':' || coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, {_CRC.format(text="conv_id::VARCHAR")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM turns), nibble
+), kept AS (
+  SELECT c.conv_id, 0 AS own, b.pos, b.role, b.text FROM convs c JOIN turns b ON b.conv_id = c.conv_id - c.conv_id % 20 AND b.pos <= c.h
+  UNION ALL SELECT c.conv_id, 1, o.pos, o.role, o.text FROM convs c JOIN turns o ON o.conv_id = c.conv_id AND o.pos > c.h
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY own, pos) AS d FROM kept
+), paths AS (
+  SELECT conv_id, d, text, list(sha256(length(role) || ':' || role || ':' || text)) OVER (PARTITION BY conv_id ORDER BY d) AS path FROM numbered
+  UNION ALL SELECT conv_id, 0, '', [] FROM convs
+), lengths AS (
+  SELECT conv_id, max(d) AS n FROM paths GROUP BY conv_id
+), nodes AS (
+  SELECT path, p.d AS depth, min(p.conv_id) AS conv_id, count(*) AS n_convs, len(regexp_extract_all(any_value(text), '[^\\x20\\x09-\\x0D]+')) AS words,
+         sha256(coalesce(string_agg(p.conv_id, ',' ORDER BY p.conv_id) FILTER (WHERE l.n = p.d), '')) AS ends_sha256
+  FROM paths p JOIN lengths l ON l.conv_id = p.conv_id GROUP BY path, p.d
+), children AS (
+  SELECT list_slice(path, 1, depth - 1) AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1
+), below AS (
+  SELECT list_slice(x.path, 1, a.depth) AS path, sum((x.n_convs - 1) * x.words) AS saved, count(*) FILTER (WHERE c.n IS NULL) AS leaves
+  FROM nodes x LEFT JOIN children c ON c.path = x.path, LATERAL (SELECT unnest(range(0, x.depth + 1)) AS depth) a GROUP BY 1
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children, b.leaves AS n_leaves,
+       b.saved::BIGINT AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN below b ON b.path = n.path LEFT JOIN children c ON c.path = n.path
+LEFT JOIN nodes p ON n.depth > 0 AND p.path = list_slice(n.path, 1, n.depth - 1)
+"""
+
+_OP12 = """
+WITH v AS (
+  SELECT row_number() OVER () AS place, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), ranked AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.q, b.q)::BIGINT AS score, a.place
+  FROM v a JOIN v b ON a.place <> b.place WHERE a.vec_id % 20 = 0
+  QUALIFY row_number() OVER (PARTITION BY a.place ORDER BY list_dot_product(a.q, b.q) DESC, b.vec_id) <= 20
+)
+SELECT query_id, (row_number() OVER (PARTITION BY place ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM ranked
+"""
+
+_OP13 = f"""
+WITH {_CRC_TABLE}, texts AS (
+  SELECT 1 AS corpus, row_number() OVER () AS place, doc_id, text FROM documents
+  UNION ALL SELECT 0, -row_number() OVER (), NULL, text FROM benchmark
+), words AS (
+  SELECT corpus, place, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                            '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM texts
+), features AS (
+  SELECT corpus, place, array_to_string(list_slice(w, i, i + n - 1), ' ') AS f
+  FROM words, (SELECT unnest([1, 2, 3]) AS n), LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS i)
+), bucket AS (
+  SELECT f, {_CRC.format(text="f")} % 10000 AS b FROM (SELECT DISTINCT f FROM features), nibble
+), counted AS (
+  SELECT b, count(*) FILTER (WHERE corpus = 1) AS s, count(*) FILTER (WHERE corpus = 0) AS t
+  FROM features JOIN bucket USING (f) GROUP BY b
+), gains AS (
+  SELECT b, floor(1000 * ln(((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE) / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM counted
+), weights AS (
+  SELECT place, count(*) AS n_features, sum(gain)::BIGINT AS weight
+  FROM features JOIN bucket USING (f) JOIN gains USING (b) WHERE corpus = 1 GROUP BY place
+), scored AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM words LEFT JOIN weights USING (place) WHERE corpus = 1
+)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN n_words >= 20 AND row_number() OVER w <= 5 * (count(*) FILTER (WHERE n_words >= 20) OVER ()) // 100 THEN row_number() OVER w END AS rank
+FROM scored WINDOW w AS (ORDER BY n_words < 20, score DESC, doc_id NULLS FIRST)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_jaccard_join": _OP4, "op7_line_dedup": _OP7}
+    return {"op4_jaccard_join": _OP4, "op7_line_dedup": _OP7, "op11_prefix_trie": _OP11, "op12_topk_search": _OP12, "op13_resampling": _OP13}
