@@ -11,6 +11,7 @@ from scholarium.plans.guard import Guard, Refused, execution_match, extract_sql
 def guarded(spark):
     spark.createDataFrame([(1, "a", "111"), (2, "b", "222"), (3, "a", "333")], "id long, name string, ssn string").createOrReplaceTempView("students")
     spark.createDataFrame([(1, "x")], "id long, secret string").createOrReplaceTempView("restricted")
+    spark.createDataFrame([(1, "x")], "id long, secret string").write.mode("overwrite").saveAsTable("stored")
     return Guard(frozenset({"students"}), frozenset({"ssn"}), max_rows=2)
 
 
@@ -23,6 +24,12 @@ def guarded(spark):
         "SELECT name FROM students WHERE name <> 'DROP TABLE x; --' -- a comment",
         "SELECT a.id FROM students a JOIN students b ON a.id = b.id WHERE a.id IN (SELECT max(id) FROM students)",
         "SELECT `name` FROM `students`",
+        "SELECT * FROM IDENTIFIER('students')",
+        "SELECT id, x FROM students LATERAL VIEW explode(array(1, 2)) t AS x",
+        "SELECT r.id FROM range(3) r JOIN students s ON r.id = s.id",
+        "SELECT * FROM (VALUES (1), (2)) v(x)",
+        "WITH RECURSIVE n(k) AS (SELECT 1 UNION ALL SELECT k + 1 FROM n WHERE k < 2) SELECT id FROM students JOIN n ON id = k",
+        "SELECT id FROM students |> WHERE id > 1",
     ],
 )
 def test_runs(spark, guarded, sql):
@@ -51,6 +58,25 @@ def test_runs(spark, guarded, sql):
         "SELECT java_method('java.lang.System', 'getenv') FROM students",
         "SELECT id FROM",
         "SELECT nothing FROM students",
+        "SELECT * FROM IDENTIFIER('restricted')",
+        "SELECT * FROM IDENTIFIER('stored')",
+        "SELECT * FROM IDENTIFIER('sto' || 'red')",
+        "SELECT * FROM IDENTIFIER('default.stored')",
+        "SELECT id FROM students WHERE id IN (SELECT id FROM IDENTIFIER('stored'))",
+        "SELECT (SELECT max(id) FROM IDENTIFIER('stored')) AS m FROM students",
+        "SELECT id FROM students WHERE EXISTS (SELECT 1 FROM IDENTIFIER('stored') s WHERE s.id = students.id)",
+        "SELECT id FROM students |> UNION ALL (SELECT id FROM IDENTIFIER('stored'))",
+        "WITH x AS (SELECT * FROM IDENTIFIER('stored')) SELECT * FROM x",
+        "WITH x AS (SELECT 1 AS id) SELECT id FROM x UNION ALL SELECT id FROM stored",
+        "SELECT s.id FROM students, LATERAL (SELECT id FROM stored) s",
+        "SELECT * FROM IDENTIFIER('parquet.`/root/testdata/sf0.001/region.parquet`')",
+        "SELECT * FROM read_files('/root/testdata/sf0.001/region.parquet')",
+        "SELECT IDENTIFIER('java_method')('java.lang.System', 'getenv', 'HOME') FROM students",
+        "SELECT IDENTIFIER('input_file_name')() FROM students",
+        "SELECT current_user() FROM students",
+        "SELECT `reflect`('java.lang.System', 'getenv', 'HOME') FROM students",
+        "SELECT _metadata.file_path FROM students",
+        "SELECT * FROM IDENTIFIER('students') JOIN IDENTIFIER('restricted')",
     ],
 )
 def test_refuses(spark, guarded, sql):
