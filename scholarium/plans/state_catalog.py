@@ -1,9 +1,11 @@
-"""Registered queries over state files: accountability of schools."""
+"""Registered queries over state files: accountability of schools, metrics views of the dashboard indicators."""
 
 from __future__ import annotations
 
 from scholarium.functions import expr as E
 from scholarium.operators import accountability as A
+from scholarium.operators import state
+from scholarium.plans import dashboards
 from scholarium.plans import state_surrogate as S
 from scholarium.plans.catalog import case, query
 
@@ -29,3 +31,53 @@ SELECT *, {case("reporting_category", E.REPORTING_LABELS, "reporting_category")}
 )
 def school_accountability(spark, sf_dir):
     return A.school_accountability(S.staged(spark, sf_dir), S.schools(spark, sf_dir))
+
+
+# Metrics views, asked in SQL
+
+_COLOR_SQL = ", ".join(f"sum(CASE WHEN performance_color = '{c}' THEN 1 ELSE 0 END)::BIGINT AS {c.lower()}_count" for c in dashboards.COLORS)
+
+
+def _board(spark, sf_dir, name):
+    return dashboards.dashboard_view(state.dashboard_export(S.raw_board(spark, sf_dir, name), name), name)
+
+
+@query(
+    f"""WITH {S.board_sql()} SELECT student_group, academic_year, avg(status_value) AS status_value, avg(prior_status_value) AS prior_status_value, avg(change_value) AS change_value, sum(curr_denominator)::BIGINT AS curr_denominator,
+  sum(curr_numerator)::BIGINT AS curr_numerator, count(DISTINCT cds_code) AS school_count, {_COLOR_SQL} FROM board WHERE aggregate_level = 'School' AND is_charter GROUP BY 1, 2"""
+)
+def metrics_chronic_absenteeism(spark, sf_dir):
+    return _board(spark, sf_dir, "chronic_absenteeism").sql(
+        """SELECT student_group, academic_year, status_value, prior_status_value, change_value, curr_denominator, curr_numerator, school_count,
+           red_count, orange_count, yellow_count, green_count, blue_count FROM metrics_view WHERE aggregate_level = 'School' AND is_charter"""
+    )
+
+
+@query(
+    f"""WITH {S.board_sql()} SELECT district_name, status_level, avg(change_value) AS change, sum(curr_numerator)::BIGINT + sum(curr_denominator)::BIGINT AS students, sum(CASE WHEN performance_color = 'Red' THEN 1 ELSE 0 END)::BIGINT AS red_count
+  FROM board WHERE student_group_type <> 'race_ethnicity' GROUP BY 1, 2 HAVING sum(CASE WHEN performance_color = 'Red' THEN 1 ELSE 0 END) > 1 AND avg(status_value) >= 20"""
+)
+def metrics_suspension(spark, sf_dir):
+    return _board(spark, sf_dir, "suspension").sql(
+        """SELECT district_name, status_level, change_value AS change, curr_numerator + curr_denominator AS students, red_count FROM metrics_view
+           WHERE student_group_type <> 'race_ethnicity' AND red_count > 1 AND status_value >= 20"""
+    )
+
+
+@query(
+    f"""WITH {S.board_sql()} SELECT county_name, avg(status_value) AS status_value, avg(status_value_without_prloss) AS status_value_without_prloss, avg(curr_participation_rate) AS curr_participation_rate, count(DISTINCT cds_code) AS school_count
+  FROM board WHERE student_group IN ('All Students', 'English Learners') OR is_dass GROUP BY 1 ORDER BY school_count DESC, county_name LIMIT 20"""
+)
+def metrics_ela(spark, sf_dir):
+    return _board(spark, sf_dir, "ela").sql(
+        """SELECT county_name, status_value, status_value_without_prloss, curr_participation_rate, school_count FROM metrics_view
+           WHERE student_group IN ('All Students', 'English Learners') OR is_dass ORDER BY school_count DESC, county_name LIMIT 20"""
+    )
+
+
+@query(
+    f"""WITH {S.board_sql()} SELECT change_level, performance_color, sum(curr_progressed)::BIGINT AS curr_progressed, sum(curr_maintain_pl4)::BIGINT AS curr_maintain_pl4, sum(curr_declined)::BIGINT AS curr_declined,
+  sum(curr_numerator)::DOUBLE / sum(curr_denominator)::DOUBLE AS per_taker FROM board GROUP BY 1, 2"""
+)
+def metrics_elpac(spark, sf_dir):
+    return _board(spark, sf_dir, "elpac").sql("SELECT change_level, performance_color, curr_progressed, curr_maintain_pl4, curr_declined, curr_numerator / curr_denominator AS per_taker FROM metrics_view GROUP BY change_level, performance_color")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scholarium.functions import expr as E
 from scholarium.operators import accountability as A
 from scholarium.operators import state
 from scholarium.plans.surrogate import t
@@ -103,3 +104,54 @@ def domain_sql(name: str) -> str:
     rows = f"(SELECT school, y, max(n) AS n FROM base WHERE {_held(k)} GROUP BY 1, 2)" if name == "frpm" else "base"
     keys = f"{CDS} AS cds_code, {YEAR} AS academic_year" + (", category AS reporting_category" if name != "frpm" else "")
     return f"{name} AS (SELECT {keys}, {columns} FROM {rows} WHERE {'true' if name == 'frpm' else _held(k)}{' AND school % 10 <> 9' if s.level else ''})"
+
+
+GROUPS = ["ALL", "AA", "AS", "HI", "WH", "EL", "SWD", "ZZ"]
+
+
+def raw_board(spark: SparkSession, sf_dir: str, board: str) -> DataFrame:
+    """The raw file of a dashboard indicator."""
+    rows = t(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("school"), F.year("l_shipdate").cast("long").alias("y"), (F.col("l_partkey") % len(GROUPS)).alias("g")).agg(F.count(F.lit(1)).alias("n"))
+    text = lambda x: F.expr(f"cast({x} as string)")
+    part = lambda m, w: F.lpad(text(f"school % {m}"), w, "0")
+    flag = lambda m: F.when(F.col("school") % m == 0, "Y").otherwise("N")
+    level = F.when(F.col("school") % 10 == 9, "X").when(F.col("school") % 10 == 8, "D").otherwise("S")
+    columns = {
+        "cds": F.concat(part(58, 2), part(1000, 5), part(10_000_000, 7)),
+        "schoolname": F.concat(F.lit("School "), text("school")),
+        "districtname": F.concat(F.lit("District "), text("school % 40")),
+        "countyname": F.concat(F.lit("County "), text("school % 58")),
+        "rtype": level,
+        "studentgroup": F.element_at(F.array(*map(F.lit, GROUPS)), (F.col("g") + 1).cast("int")),
+        "reportingyear": text("y"),
+        "currdenom": F.when(F.col("n") % 7 == 0, "*").otherwise(text("n * 3")),
+        "currnumer": text("n"),
+        "currstatus": text("(n * 7 + school) % 100"),
+        "priorstatus": text("(n * 5 + y) % 100"),
+        "change": text("(n * 7 + school) % 100 - (n * 5 + y) % 100"),
+        "statuslevel": text("n % 6"),
+        state.BOARDS[board].change_level: text("(n + 1) % 6"),
+        "color": text("(n + 2) % 6"),
+        "charter_flag": flag(4),
+        "dass_flag": flag(6),
+        "currstatus_without_prloss": text("(n * 7 + school) % 90"),
+        "currprate": text("90 + n % 10"),
+        "currprogressed": text("n * 2"),
+        "currmaintain_pl4": text("n + 1"),
+        "currdeclined": text("n % 4"),
+    }
+    return rows.select(*(c.alias(n) for n, c in columns.items()))
+
+
+def board_sql() -> str:
+    """A CTE ``board`` with the columns of a dashboard export that the metrics views use."""
+    label = lambda x, names, other: f"CASE {x} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items()) + f" ELSE {other} END"
+    group = f"({GROUPS!r})[g + 1]"
+    status, prior = "((n * 7 + school) % 100)", "((n * 5 + y) % 100)"
+    return f"""board AS (SELECT {CDS} AS cds_code, 'School ' || school AS school_name, 'District ' || (school % 40) AS district_name, 'County ' || (school % 58) AS county_name,
+  CASE WHEN school % 10 = 8 THEN 'District' ELSE 'School' END AS aggregate_level, y::VARCHAR AS academic_year, {label(group, E.GROUP_LABELS, group)} AS student_group,
+  CASE WHEN g = 0 THEN 'all' WHEN g < 5 THEN 'race_ethnicity' WHEN g < 7 THEN 'program' ELSE 'unknown' END AS student_group_type, {label("(n + 2) % 6", E.COLORS, "'No Performance Color'")} AS performance_color,
+  {label("n % 6", E.STATUS_LEVELS, "'No Data'")} AS status_level, {label("(n + 1) % 6", E.CHANGE_LEVELS, "'No Data'")} AS change_level, school % 4 = 0 AS is_charter, school % 6 = 0 AS is_dass,
+  {status}::DOUBLE AS status_value, {prior}::DOUBLE AS prior_status_value, ({status} - {prior})::DOUBLE AS change_value, CASE WHEN n % 7 <> 0 THEN n * 3 END AS curr_denominator, n AS curr_numerator,
+  ((n * 7 + school) % 90)::DOUBLE AS status_value_without_prloss, (90 + n % 10)::DOUBLE AS curr_participation_rate, n * 2 AS curr_progressed, n + 1 AS curr_maintain_pl4, n % 4 AS curr_declined
+  FROM (SELECT l_suppkey AS school, year(l_shipdate)::BIGINT AS y, l_partkey % {len(GROUPS)} AS g, count(*) AS n FROM lineitem GROUP BY 1, 2, 3) WHERE school % 10 <> 9)"""
