@@ -65,34 +65,6 @@ def student_wide(students: DataFrame, attendance: DataFrame, incidents: DataFram
     return rows.withColumn("risk_level", level)
 
 
-def fuzzy_match(left: DataFrame, right: DataFrame, lkey: str, lname: str, rkey: str, rname: str, most: int = 5, least: float = 0.8, gram: int = 2) -> DataFrame:
-    """Best match of each left name: edit distance up to ``most`` and similarity of ``least`` or more.
-
-    Candidates come from an equi-join, not a cross join: names within ``most``
-    edits of each other share a piece when one is cut into ``most`` + 1 pieces,
-    and the other holds that piece close to its place.
-    """
-    norm = lambda c: F.upper(F.trim(F.col(c)))
-    pieces = most + 1
-    length = F.length("_r")
-    cut = lambda i: (F.floor(length * i / pieces)).cast("int")
-    right = right.select(F.col(rkey), F.col(rname), norm(rname).alias("_r"))
-    parts = F.array(*[F.struct(F.lit(i).alias("i"), cut(i).alias("at"), F.substring(F.col("_r"), cut(i) + 1, cut(i + 1) - cut(i)).alias("p")) for i in range(pieces)])
-    held = right.withColumn("s", F.explode(parts)).select("*", "s.p", "s.at", F.length("s.p").alias("n")).drop("s")
-    widths = held.select("n", "at", "p").select("n", "at").distinct()
-    left = left.select(F.col(lkey), F.col(lname), norm(lname).alias("_l"))
-    # every piece of a left name that stands within ``most`` places of where a right name's piece would
-    at = F.explode(F.sequence(F.greatest(F.col("at") - most, F.lit(0)), F.col("at") + most)).alias("place")
-    places = left.crossJoin(F.broadcast(widths)).select("*", at)  # widths: at most (longest name) x pieces rows
-    probes = places.select(lkey, lname, "_l", "n", "at", F.substring(F.col("_l"), F.col("place") + 1, F.col("n")).alias("p")).where(F.length("p") == F.col("n")).distinct()
-    pairs = probes.join(held, ["p", "n", "at"]).select(lkey, lname, rkey, rname, "_l", "_r").distinct()
-    d = F.levenshtein("_l", "_r")
-    scored = pairs.withColumn("distance", d.cast("long")).where(F.col("distance") <= most)
-    scored = scored.withColumn("similarity", rnd(F.lit(1.0) - F.col("distance") / F.greatest(F.length("_l"), F.length("_r")), 4))
-    best = Window.partitionBy(lkey).orderBy("distance", rkey)
-    return scored.withColumn("_n", F.row_number().over(best)).where("_n = 1").where(F.col("similarity") >= least).select(lkey, lname, rkey, rname, "distance", "similarity")
-
-
 def mapping_union(keys: DataFrame, manual: DataFrame, fuzzy: DataFrame, key: str, code: str) -> DataFrame:
     """Manual matches, then fuzzy ones of the rest, then what is unmapped."""
     by_hand = manual.select(key, code, F.lit("manual").alias("match_method"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholarium.functions import expr as E
-from scholarium.operators import academics, attendance, batch, quality, schools, transform
+from scholarium.operators import academics, attendance, batch, matching, quality, schools, transform
 from scholarium.plans import access, contracts, metrics
 from scholarium.plans.surrogate import DAILY, GRADES, INCIDENTS, STUDENTS, count_if, daily, grades, incidents, mean_tenths, pct, r, students, t
 
@@ -358,28 +358,56 @@ def analytics_wide(spark, sf_dir):
     return schools.student_wide(*_outcomes(spark, sf_dir))
 
 
-@query(
-    f"""WITH p AS (SELECT p_partkey AS part_id, p_name || ' ' || p_brand AS name FROM part WHERE p_partkey % 5 = 0), s AS (SELECT n_nationkey::BIGINT AS nation_id, n_name FROM nation),
- l AS (SELECT n_nationkey::BIGINT AS left_id, 'NATIOM_' || n_nationkey AS left_name FROM nation),
- c AS (SELECT left_id, left_name, nation_id, n_name, levenshtein(upper(trim(left_name)), upper(trim(n_name)))::BIGINT AS distance FROM l, s),
- k AS (SELECT *, {r("1.0::DOUBLE - distance::DOUBLE / greatest(length(left_name), length(n_name))", 4)} AS similarity, row_number() OVER (PARTITION BY left_id ORDER BY distance, nation_id) AS n FROM c WHERE distance <= 5)
-SELECT left_id, left_name, nation_id, n_name, distance, similarity FROM k WHERE n = 1 AND similarity >= 0.8"""
+def _fuzzy_sql(left: str, right: str, l: str, r_: str) -> str:
+    """All pairs of distinct names, the nearest by distance and then key; the names' rows back again."""
+    return f"""l AS ({left}), k AS ({right}), ln AS (SELECT DISTINCT upper(trim({l}_name)) AS a FROM l), kn AS (SELECT upper(trim({r_}_name)) AS b, min({r_}_id) AS id FROM k GROUP BY 1),
+ c AS (SELECT a, id, b, levenshtein(a, b)::BIGINT AS distance FROM ln, kn WHERE abs(length(a) - length(b)) <= 5),
+ n AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY distance, id) AS n FROM c WHERE distance <= 5),
+ matched AS (SELECT {l}_id, {l}_name, {r_}_id, {r_}_name, distance, {r("1.0::DOUBLE - distance::DOUBLE / greatest(length(a), length(b))", 4)} AS similarity
+  FROM n JOIN l ON upper(trim({l}_name)) = a JOIN k ON {r_}_id = id WHERE n = 1)"""
+
+
+#: Names as another system may hold them: with a letter more, less or changed, by the row's number.
+_TYPOS = """CASE {k} % 6 WHEN 0 THEN {x} WHEN 1 THEN ' ' || lower({x}) WHEN 2 THEN substr({x}, 1, 3) || substr({x}, 5) WHEN 3 THEN substr({x}, 1, 4) || 'QQ' || substr({x}, 5)
+  WHEN 4 THEN replace({x}, 'l', 'xyz') ELSE 'QQQ' || {x} || 'W' END"""
+
+
+_SUPPLIERS = (
+    f"SELECT s_suppkey AS left_id, {_TYPOS.format(k='s_suppkey', x='s_name')} AS left_name FROM supplier WHERE s_suppkey % 5 <> 0",
+    "SELECT s_suppkey AS school_id, s_name AS school_name FROM supplier WHERE s_suppkey % 4 <> 3",
+)
+_PARTS = (
+    f"SELECT p_partkey AS left_id, {_TYPOS.format(k='p_partkey', x='(p_name || p_brand)')} AS left_name FROM part",
+    "SELECT p_partkey AS part_id, p_name || p_brand AS part_name FROM part WHERE p_partkey % 3 = 0",
 )
+
+
+def _fuzzy(spark, sf_dir, table: str, queries: tuple[str, str], key: str):
+    rows = t(spark, sf_dir, table)
+    left, right = (spark.sql(q.replace(f"FROM {table}", "FROM {rows}"), rows=rows) for q in queries)
+    return matching.fuzzy_match(left, right, "left_id", "left_name", f"{key}_id", f"{key}_name")
+
+
+@query(f"WITH {_fuzzy_sql(*_SUPPLIERS, 'left', 'school')} SELECT * FROM matched WHERE similarity >= 0.8")
 def fuzzy_school_match(spark, sf_dir):
-    nation = t(spark, sf_dir, "nation")
-    left = nation.select(F.col("n_nationkey").cast("long").alias("left_id"), F.concat(F.lit("NATIOM_"), F.col("n_nationkey").cast("string")).alias("left_name"))
-    right = nation.select(F.col("n_nationkey").cast("long").alias("nation_id"), "n_name")
-    return schools.fuzzy_match(left, right, "left_id", "left_name", "nation_id", "n_name")
+    return _fuzzy(spark, sf_dir, "supplier", _SUPPLIERS, "school")
+
+
+@query(f"WITH {_fuzzy_sql(*_PARTS, 'left', 'part')} SELECT * FROM matched WHERE similarity >= 0.8")
+def fuzzy_part_match(spark, sf_dir):
+    return _fuzzy(spark, sf_dir, "part", _PARTS, "part")
 
 
 @query(
-    """SELECT n_nationkey::BIGINT AS school, CASE WHEN n_nationkey < 5 THEN 'M' || n_nationkey WHEN n_nationkey < 15 THEN 'F' || n_nationkey END AS code,
-  CASE WHEN n_nationkey < 5 THEN 'manual' WHEN n_nationkey < 15 THEN 'fuzzy' ELSE 'unmapped' END AS match_method FROM nation"""
+    f"""WITH {_fuzzy_sql(*_SUPPLIERS, "left", "school")}, m AS (SELECT s_suppkey AS school, 'M' || s_suppkey AS code, 'manual' AS match_method FROM supplier WHERE s_suppkey % 9 = 0),
+ f AS (SELECT left_id AS school, 'S' || school_id AS code, 'fuzzy' AS match_method FROM matched WHERE similarity >= 0.8 AND NOT EXISTS (SELECT 1 FROM m WHERE m.school = left_id)), known AS (SELECT * FROM m UNION ALL SELECT * FROM f)
+SELECT * FROM known UNION ALL SELECT s_suppkey, NULL, 'unmapped' FROM supplier WHERE s_suppkey NOT IN (SELECT school FROM known)"""
 )
 def school_mapping(spark, sf_dir):
-    keys = t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("school"))
-    code = lambda p: F.concat(F.lit(p), F.col("school").cast("string")).alias("code")
-    return schools.mapping_union(keys, keys.where("school < 5").select("school", code("M")), keys.where("school < 15").select("school", code("F")), "school", "code")
+    keys = t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("school"))
+    manual = keys.where("school % 9 = 0").select("school", F.concat(F.lit("M"), F.col("school").cast("string")).alias("code"))
+    close = _fuzzy(spark, sf_dir, "supplier", _SUPPLIERS, "school").select(F.col("left_id").alias("school"), F.concat(F.lit("S"), F.col("school_id").cast("string")).alias("code"))
+    return schools.mapping_union(keys, manual, close, "school", "code")
 
 
 @query(
