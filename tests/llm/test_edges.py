@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import time
 
 import numpy as np
 import pytest
@@ -143,6 +144,19 @@ def test_pii_long_texts(spark):
         assert [(s["kind"], s["start"], s["end"]) for s in got[k] if s["kind"] in pii.BASE] == want
 
 
+def test_pii_takes_time_in_proportion(spark):
+    """A megabyte of what a pattern could start anew in; what used to take minutes to hours."""
+    n = 1 << 20
+    texts = ["x@b." + "a" * n + "1", "x@b." + "a1" * (n // 2), "x@" + "1" * n, "1" * n, "." * n, "a" * n, "AB12" * (n // 4), "x@b." + "a" * n, "@" * n]
+    find = lambda t: pii.find_pii(spark.createDataFrame([(1, t)], "doc_id long, text string")).collect()[0]["spans"]
+    find("warm@up.org")
+    for t in texts:
+        began = time.perf_counter()
+        spans = [(s["kind"], s["start"], s["end"]) for s in find(t) if s["kind"] in pii.BASE]
+        assert time.perf_counter() - began < 15
+        assert spans == brute.personal(t)
+
+
 def test_pii_recall_by_kind(spark):
     """Spans of each added kind among words; none in the words alone."""
     said = {
