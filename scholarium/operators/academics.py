@@ -123,18 +123,48 @@ def section_comparison(effectiveness: DataFrame, course: str = "course", term: s
     )
 
 
-def correlations(rows: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
-    """One row per pair of measures: coefficient, strength, direction and sample size, in one aggregation."""
+def correlations(rows: DataFrame, pairs: dict[str, tuple[Column, Column, str]]) -> DataFrame:
+    """One row per pair of measures: coefficient, the direction it is expected to have, number of rows with both, and strength, in one aggregation."""
     aggregates = []
-    for name, (x, y) in pairs.items():
-        both = F.col(x).isNotNull() & F.col(y).isNotNull()
-        aggregates.append(F.struct(F.lit(name).alias("pair"), rnd(corr(x, y), 3).alias("coefficient"), _n(both).alias("n")).alias(name))
+    for i, (name, (x, y, expected)) in enumerate(pairs.items()):
+        both = x.isNotNull() & y.isNotNull()
+        aggregates.append(
+            F.struct(
+                F.lit(name).alias("correlation_pair"), rnd(corr(x, y), 3).alias("correlation_coefficient"), F.lit(expected).alias("expected_direction"), F.coalesce(_n(both), F.lit(0)).cast("long").alias("data_points")
+            ).alias(f"p{i}")
+        )
     one = rows.agg(*aggregates)
-    out = one.select(F.inline(F.array(*pairs)))
-    size = F.abs("coefficient")
-    strength = F.when(size >= 0.7, "Strong").when(size >= 0.4, "Moderate").when(size >= 0.1, "Weak").otherwise("Negligible")
-    direction = F.when(F.col("coefficient") > 0, "Positive").when(F.col("coefficient") < 0, "Negative").otherwise("None")
-    return out.withColumns({"strength": strength, "direction": direction})
+    out = one.select(F.inline(F.array(*[f"p{i}" for i in range(len(pairs))])))
+    size = F.coalesce(F.abs("correlation_coefficient"), F.lit(0.0))
+    return out.withColumn("strength", F.when(size >= 0.7, "Strong").when(size >= 0.4, "Moderate").when(size >= 0.1, "Weak").otherwise("Negligible"))
+
+
+# Names of the pairs.
+ATTENDANCE_GPA, DISCIPLINE_GRADES, ATTENDANCE_ENGAGEMENT = "Attendance ↔ GPA", "Discipline ↔ Grades", "Attendance ↔ Engagement"
+
+
+def performance_correlations(attendance: DataFrame, discipline: DataFrame, performance: DataFrame, key: str = "student_key") -> DataFrame:
+    """How attendance goes with grades, incidents with grades, and attendance with engagement (100 less 10 for each incident), over the term.
+
+    ``attendance`` and ``discipline`` are windows as rows, ``performance`` has
+    grade_numeric; each has one row per student.  They are joined once, so a
+    student missing from one is left out of its pairs only.
+    """
+    term = F.col("window_type") == "term"
+    a = attendance.where(term).select(key, F.col("attendance_rate").alias("_rate"), F.lit(True).alias("_attends"))
+    d = discipline.where(term).select(key, F.col("incident_count").alias("_incidents"))
+    g = performance.select(key, F.coalesce("grade_numeric", F.lit(0.0)).alias("_grade"))
+    rows = a.join(g, key, "full").join(d, key, "full")
+    engaged = F.when(F.col("_attends"), F.lit(100.0) - F.coalesce("_incidents", F.lit(0)) * 10)
+    pairs = {
+        ATTENDANCE_GPA: (F.col("_rate"), F.col("_grade"), "Positive"),
+        DISCIPLINE_GRADES: (F.col("_incidents"), F.col("_grade"), "Negative"),
+        ATTENDANCE_ENGAGEMENT: (F.col("_rate"), engaged, "Positive"),
+    }
+    out = correlations(rows, pairs)
+    # the first pair alone has 0 where there is no coefficient
+    first = F.when(F.col("correlation_pair") == ATTENDANCE_GPA, F.coalesce("correlation_coefficient", F.lit(0.0))).otherwise(F.col("correlation_coefficient"))
+    return out.withColumn("correlation_coefficient", first)
 
 
 def outcome_distribution(grades: DataFrame, keys: list[str]) -> DataFrame:

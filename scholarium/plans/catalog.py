@@ -246,16 +246,23 @@ def class_section_comparison(spark, sf_dir):
     return academics.section_comparison(classes)
 
 
+_STRENGTH_SQL = "CASE WHEN abs(coalesce(correlation_coefficient, 0)) >= 0.7 THEN 'Strong' WHEN abs(coalesce(correlation_coefficient, 0)) >= 0.4 THEN 'Moderate' WHEN abs(coalesce(correlation_coefficient, 0)) >= 0.1 THEN 'Weak' ELSE 'Negligible' END AS strength"
+
+
 @query(
-    f"""WITH {GRADES}, x AS (SELECT student_key, avg(points) AS gpa, count(*) AS n, sum(CASE WHEN passing THEN 1 ELSE 0 END) AS passed FROM grades GROUP BY 1),
- y AS (SELECT 'gpa_courses' AS pair, {r("corr(gpa, n)", 3)} AS coefficient, count(gpa) AS n FROM x UNION ALL
-  SELECT 'gpa_passed', {r("corr(gpa, passed)", 3)}, count(gpa) FROM x UNION ALL SELECT 'courses_passed', {r("corr(n, passed)", 3)}, count(n) FROM x)
-SELECT pair, coefficient, n::BIGINT AS n, CASE WHEN abs(coefficient) >= 0.7 THEN 'Strong' WHEN abs(coefficient) >= 0.4 THEN 'Moderate' WHEN abs(coefficient) >= 0.1 THEN 'Weak' ELSE 'Negligible' END AS strength,
-  CASE WHEN coefficient > 0 THEN 'Positive' WHEN coefficient < 0 THEN 'Negative' ELSE 'None' END AS direction FROM y"""
+    f"""WITH {DAILY}, {INCIDENTS}, {GRADES}, {WINDOWS_SQL}, {DISCIPLINE_SQL},
+ performance AS (SELECT student_key, {r(mean_tenths(), 2)} AS grade_numeric FROM grades GROUP BY 1),
+ pairs AS (SELECT '{academics.ATTENDANCE_GPA}' AS correlation_pair, coalesce({r("corr(attendance_rate, coalesce(grade_numeric, 0))", 3)}, 0) AS correlation_coefficient, 'Positive' AS expected_direction, count(*) AS data_points
+   FROM windows a JOIN performance p ON a.student_key = p.student_key WHERE a.window_type = 'term'
+  UNION ALL SELECT '{academics.DISCIPLINE_GRADES}', {r("corr(incident_count, coalesce(grade_numeric, 0))", 3)}, 'Negative', count(*) FROM discipline d JOIN performance p ON d.student_key = p.student_key WHERE d.window_type = 'term'
+  UNION ALL SELECT '{academics.ATTENDANCE_ENGAGEMENT}', {r("corr(attendance_rate, 100.0::DOUBLE - coalesce(incident_count, 0) * 10)", 3)}, 'Positive', count(*)
+   FROM windows a LEFT JOIN discipline d ON a.student_key = d.student_key AND a.window_type = d.window_type WHERE a.window_type = 'term')
+SELECT *, {_STRENGTH_SQL} FROM pairs"""
 )
 def performance_correlations(spark, sf_dir):
-    rows = grades(spark, sf_dir).groupBy("student_key").agg(F.avg("points").alias("gpa"), F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("passing"), 1).otherwise(0)).alias("passed"))
-    return academics.correlations(rows, {"gpa_courses": ("gpa", "n"), "gpa_passed": ("gpa", "passed"), "courses_passed": ("n", "passed")})
+    windows = attendance.attendance_windows(daily(spark, sf_dir), incidents(spark, sf_dir), **SHORT)
+    performance = grades(spark, sf_dir).groupBy("student_key").agg(E.rnd(E.mean_tenths("points"), 2).alias("grade_numeric"))
+    return academics.performance_correlations(windows, _discipline(spark, sf_dir), performance)
 
 
 @query(
