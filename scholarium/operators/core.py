@@ -19,6 +19,63 @@ def _date(c: str) -> Column:
     return F.nullif(F.col(c).cast("string"), F.lit("")).try_cast("date")
 
 
+def stage_students(raw: DataFrame, as_of: Column, year: str = "2024-2025") -> DataFrame:
+    """Students as text, dates and flags; what the source lacks is null, typed."""
+    text = lambda c, o=None: F.col(c).cast("string").alias(o or c)
+    flag = lambda c, o: F.col(c).try_cast("boolean").alias(o)
+    none = lambda kind, *names: [F.lit(None).cast(kind).alias(n) for n in names]
+    born = _date("date_of_birth")
+    return raw.select(
+        text("student_id", "student_id_raw"),
+        text("first_name", "first_name_raw"),
+        text("last_name", "last_name_raw"),
+        born.alias("date_of_birth_raw"),
+        text("gender"),
+        text("ethnicity"),
+        *none("string", *(f"race_code_{k}" for k in range(1, 6))),
+        E.try_int("grade_level").cast("int").alias("grade_level"),
+        text("school_id"),
+        F.lit(year).alias("academic_year"),
+        E.age_years(born, as_of).cast("int").alias("age"),
+        E.grade_band(E.try_int("grade_level")).alias("grade_level_category"),
+        *none("string", "attendance_program_code"),
+        F.coalesce(F.col("ell_status").cast("string").isin("True", "true"), F.lit(False)).alias("ell_status"),
+        flag("special_education", "special_education_flag"),
+        flag("free_reduced_lunch", "free_reduced_lunch_flag"),
+        flag("homeless", "homeless_flag"),
+        flag("foster_care", "foster_care_flag"),
+        flag("section_504", "section_504_flag"),
+        F.lit(False).alias("gate_flag"),
+        F.lit(False).alias("ell_program_flag"),
+        F.coalesce(F.col("home_language").cast("string"), F.lit("E")).alias("home_language"),
+        _date("enrollment_date").alias("enrollment_date"),
+        *none("date", "withdrawal_date"),
+        F.lit(True).alias("is_currently_enrolled"),
+    )
+
+
+# Points of whole letters in staging; the finer scale of performance is expr.GRADE_POINTS.
+STAGED_POINTS = {"A": 4.0, "B": 3.0, "C": 2.0, "D": 1.0}
+
+
+def stage_academic_records(raw: DataFrame) -> DataFrame:
+    """Course records; letters other than A, B, C and D count 0 points and don't pass."""
+    grade = F.col("grade").cast("string")
+    texts = [F.col(c).cast("string").alias(o) for c, o in (("student_id", "student_id_raw"), ("school_id", "school_id"), ("course_id", "course_id"), ("section_id", "section_id"), ("teacher_id", "teacher_id"))]
+    points = F.create_map(*(F.lit(x) for pair in STAGED_POINTS.items() for x in pair))
+    return raw.select(
+        *texts,
+        grade.alias("grade"),
+        E.try_double("score").alias("score"),
+        F.col("term").cast("string").alias("term"),
+        F.col("school_year").cast("string").alias("school_year"),
+        F.col("record_id").cast("string").alias("academic_record_sk"),
+        F.lit(1.0).alias("credit_earned"),
+        F.coalesce(F.try_element_at(points, grade), F.lit(0.0)).alias("gpa_points"),
+        F.coalesce(grade.isin(*STAGED_POINTS), F.lit(False)).alias("is_passing"),
+    )
+
+
 def stage_discipline(raw: DataFrame, year: str = "2024-2025") -> DataFrame:
     severity = F.when(F.col("severity").isin(*SEVERITIES), F.col("severity")).otherwise("Unknown")
     texts = [F.col(c).cast("string").alias(o) for c, o in (("student_id", "student_id_raw"), ("school_id", "school_id"), ("incident_id", "incident_id"), ("incident_type", "incident_type"), ("severity", "severity"), ("resolution", "resolution"))]

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholarium.functions.expr import ratio, rnd, share
+from scholarium.functions.expr import mean_exact, ratio, rnd, share, sum_if
 
 
 def demographics(students: DataFrame, keys: list[str], k: int = 5, key: str = "student_key") -> DataFrame:
@@ -43,22 +43,63 @@ def equity_outcomes(students: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def group_summary(students: DataFrame, keys: list[str], key: str = "student_key") -> DataFrame:
-    """Students, subgroup shares, attendance, incidents and grades by ``keys``."""
-    return students.groupBy(*keys).agg(
-        F.count_distinct(key).alias("students"),
-        *[share(F.col(f)).alias(f"pct_{f}") for f in ("ell", "sped", "frl")],
-        rnd(F.avg("attendance_rate"), 2).alias("avg_attendance"),
-        share(F.col("attendance_rate") < 90).alias("pct_chronic"),
-        F.sum(F.coalesce("incidents", F.lit(0))).alias("incidents"),
-        rnd(F.avg("avg_gpa"), 2).alias("avg_gpa"),
-        share(F.col("avg_gpa") < 2.0).alias("pct_failing"),
+def _share(flag: Column) -> Column:
+    return share(flag, 1)
+
+
+def _mean(column: str, decimals: int, digits: int) -> Column:
+    return rnd(mean_exact(column, decimals), digits)
+
+
+def equity_by_race(wide: DataFrame, keys: list[str], key: str = "student_key") -> DataFrame:
+    """Sizes, needs, attendance, discipline, grades and risk by group, from a row per student."""
+    flags = {"special_ed_count": "sped", "frl_count": "frl", "ell_count": "ell", "homeless_count": "homeless"}
+    rate, gpa, risk = F.col("attendance_rate"), F.col("avg_gpa"), F.col("risk_level")
+    return wide.groupBy(*keys).agg(
+        F.count_distinct(key).alias("student_count"),
+        *(sum_if(F.col(c)).alias(o) for o, c in flags.items()),
+        _mean("attendance_rate", 2, 1).alias("avg_attendance_rate"),
+        _share(rate >= 90).alias("pct_good_attendance"),
+        _mean("days_absent", 0, 1).alias("avg_days_absent"),
+        _mean("incidents", 0, 2).alias("avg_discipline_incidents"),
+        _share(F.col("incidents") == 0).alias("pct_no_discipline"),
+        _share(F.col("suspensions") > 0).alias("pct_suspended"),
+        _mean("avg_gpa", 2, 2).alias("avg_gpa"),
+        _share(gpa >= 2.5).alias("pct_gpa_2_5_plus"),
+        _share(gpa < 2.0).alias("pct_below_c"),
+        *(_share(risk == level).alias(f"pct_{level.lower()}_risk") for level in ("High", "Moderate", "Low")),
     )
 
 
-def student_wide(students: DataFrame, attendance: DataFrame, incidents: DataFrame, gpa: DataFrame, key: str = "student_key") -> DataFrame:
-    """A row per student with outcomes and a three-level risk."""
-    rows = students.join(attendance, key, "left").join(incidents, key, "left").join(gpa, key, "left")
+def school_summary(wide: DataFrame, races: dict[str, str], key: str = "student_key", school: str = "school") -> DataFrame:
+    """Enrollment, needs, races (output name by value of ``ethnicity``), grade levels, outcomes and risk of each school."""
+    return wide.groupBy(school).agg(
+        F.count_distinct(key).alias("student_count"),
+        *(_share(F.col(c)).alias(o) for o, c in (("pct_special_ed", "sped"), ("pct_frl", "frl"), ("pct_ell", "ell"))),
+        *(_share(F.col("ethnicity") == value).alias(f"pct_{name}") for name, value in races.items()),
+        _share(F.col("multi")).alias("pct_multi_racial"),
+        _mean("grade", 0, 1).alias("avg_grade_level"),
+        _mean("attendance_rate", 2, 1).alias("avg_attendance_rate"),
+        _share(F.col("attendance_rate") >= 90).alias("pct_good_attendance"),
+        _mean("incidents", 0, 2).alias("avg_discipline_incidents"),
+        _mean("avg_gpa", 2, 2).alias("avg_gpa"),
+        _share(F.col("risk_level") == "High").alias("pct_high_risk"),
+    )
+
+
+def student_events(daily: DataFrame, incidents: DataFrame, key: str = "student_key") -> DataFrame:
+    """attendance_rate, days_absent, incidents and suspensions of each student: days and incidents stacked and grouped once."""
+    no = F.lit(False)
+    days = daily.select(key, "absent", F.lit(True).alias("_day"), no.alias("_incident"), no.alias("_serious"))
+    rows = days.unionAll(incidents.select(key, no, no, F.lit(True), F.col("serious")))
+    n = lambda flag: F.sum(F.when(flag, 1).otherwise(0)).cast("long")
+    present = n(F.col("_day") & ~F.col("absent"))
+    return rows.groupBy(key).agg(rnd(ratio(present, n(F.col("_day")), 100.0), 2).alias("attendance_rate"), n(F.col("absent")).alias("days_absent"), n(F.col("_incident")).alias("incidents"), n(F.col("_serious")).alias("suspensions"))
+
+
+def student_wide(students: DataFrame, *outcomes: DataFrame, key: str = "student_key") -> DataFrame:
+    """A row per student with outcomes (attendance_rate, incidents, avg_gpa among them) and a three-level risk."""
+    rows = reduce(lambda a, b: a.join(b, key, "left"), outcomes, students)
     rows = rows.withColumn("incidents", F.coalesce("incidents", F.lit(0)))
     rate, n, g = F.col("attendance_rate"), F.col("incidents"), F.col("avg_gpa")
     level = F.when((rate < 90) | (n > 2) | (g < 2), "High").when((rate < 95) | (n > 0) | (g < 2.5), "Moderate").otherwise("Low")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from scholarium.functions import expr as E
 from scholarium.operators import academics, attendance, batch, matching, quality, schools, transform
 from scholarium.plans import access, contracts, metrics
-from scholarium.plans.surrogate import DAILY, GRADES, INCIDENTS, STUDENTS, count_if, daily, grades, incidents, mean_tenths, pct, r, students, t
+from scholarium.plans.surrogate import DAILY, GRADES, INCIDENTS, STUDENTS, count_if, daily, grades, incidents, mean_sql, mean_tenths, pct, r, students, t
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -313,22 +313,14 @@ def k_anonymity_violations(spark, sf_dir):
     return schools.k_anonymity_violations(students(spark, sf_dir), ["ethnicity", "school", "grade"])
 
 
-OUTCOMES_SQL = f"""outcomes AS (SELECT s.*, a.attendance_rate, i.incidents, g.avg_gpa FROM students s
-  LEFT JOIN (SELECT student_key, {r("100.0::DOUBLE * sum(CASE WHEN absent THEN 0 ELSE 1 END)::DOUBLE / count(*)", 2)} AS attendance_rate FROM daily GROUP BY 1) a USING (student_key)
-  LEFT JOIN (SELECT student_key, count(*) AS incidents FROM incidents GROUP BY 1) i USING (student_key) LEFT JOIN gpa g USING (student_key))"""
+OUTCOMES_SQL = f"""outcomes AS (SELECT s.*, a.attendance_rate, a.days_absent, i.incidents, i.suspensions, g.avg_gpa FROM students s
+  LEFT JOIN (SELECT student_key, {r("100.0::DOUBLE * sum(CASE WHEN absent THEN 0 ELSE 1 END)::DOUBLE / count(*)", 2)} AS attendance_rate, {count_if("absent")} AS days_absent FROM daily GROUP BY 1) a USING (student_key)
+  LEFT JOIN (SELECT student_key, count(*) AS incidents, {count_if("serious")} AS suspensions FROM incidents GROUP BY 1) i USING (student_key) LEFT JOIN gpa g USING (student_key))"""
 
 
-def _outcomes(spark, sf_dir):
-    rate = daily(spark, sf_dir).groupBy("student_key").agg(E.rnd(E.ratio(F.sum(F.when(F.col("absent"), 0).otherwise(1)), F.count(F.lit(1)), 100.0), 2).alias("attendance_rate"))
-    n = incidents(spark, sf_dir).groupBy("student_key").agg(F.count(F.lit(1)).alias("incidents"))
-    return students(spark, sf_dir), rate, n, _gpa(spark, sf_dir)
-
-
-def _outcome_rows(spark, sf_dir):
-    s, *rest = _outcomes(spark, sf_dir)
-    for x in rest:
-        s = s.join(x, "student_key", "left")
-    return s
+def _wide(spark, sf_dir):
+    events = schools.student_events(daily(spark, sf_dir), incidents(spark, sf_dir))
+    return schools.student_wide(students(spark, sf_dir), events, _gpa(spark, sf_dir))
 
 
 PRE = f"WITH {DAILY}, {INCIDENTS}, {STUDENTS}, {GRADES}, {GPA_SQL}, {OUTCOMES_SQL}"
@@ -339,30 +331,52 @@ PRE = f"WITH {DAILY}, {INCIDENTS}, {STUDENTS}, {GRADES}, {GPA_SQL}, {OUTCOMES_SQ
   {r("avg(avg_gpa)", 2)} AS avg_gpa, {pct("avg_gpa >= 2.5")} AS pct_gpa_2_5, {pct("avg_gpa < 2.0")} AS pct_gpa_below_2 FROM outcomes GROUP BY 1, 2, 3, 4"""
 )
 def equity_outcomes(spark, sf_dir):
-    return schools.equity_outcomes(_outcome_rows(spark, sf_dir), ["ethnicity", "ell", "sped", "frl"])
+    return schools.equity_outcomes(_wide(spark, sf_dir), ["ethnicity", "ell", "sped", "frl"])
+
+
+# days, incidents and suspensions of a student without any are 0 where the student has other events, else null but for incidents
+WIDE_SQL = f"""{PRE}, wide AS (SELECT * REPLACE (coalesce(incidents, 0) AS incidents, CASE WHEN attendance_rate IS NOT NULL OR incidents IS NOT NULL THEN coalesce(days_absent, 0) END AS days_absent,
+    CASE WHEN attendance_rate IS NOT NULL OR incidents IS NOT NULL THEN coalesce(suspensions, 0) END AS suspensions),
+  CASE WHEN attendance_rate < 90 OR coalesce(incidents, 0) > 2 OR avg_gpa < 2 THEN 'High' WHEN attendance_rate < 95 OR coalesce(incidents, 0) > 0 OR avg_gpa < 2.5 THEN 'Moderate' ELSE 'Low' END AS risk_level,
+  student_key % 11 = 0 AS multi, student_key % 25 = 0 AS homeless FROM outcomes)"""
+
+
+def _wide_flagged(spark, sf_dir):
+    key = F.col("student_key")
+    return _wide(spark, sf_dir).withColumns({"multi": key % 11 == 0, "homeless": key % 25 == 0})
+
 
+def _mean_sql(x: str, decimals: int, digits: int) -> str:
+    return r(mean_sql(x, decimals), digits)
 
-def _group_sql(key: str) -> str:
-    return f"""{PRE} SELECT {key}, count(DISTINCT student_key) AS students, {pct("ell")} AS pct_ell, {pct("sped")} AS pct_sped, {pct("frl")} AS pct_frl, {r("avg(attendance_rate)", 2)} AS avg_attendance,
-  {pct("attendance_rate < 90")} AS pct_chronic, sum(coalesce(incidents, 0))::BIGINT AS incidents, {r("avg(avg_gpa)", 2)} AS avg_gpa, {pct("avg_gpa < 2.0")} AS pct_failing FROM outcomes GROUP BY 1"""
 
+_OUTCOME_MEANS = f"{_mean_sql('attendance_rate', 2, 1)} AS avg_attendance_rate, {pct('attendance_rate >= 90', 1)} AS pct_good_attendance, {_mean_sql('incidents', 0, 2)} AS avg_discipline_incidents, {_mean_sql('avg_gpa', 2, 2)} AS avg_gpa"
 
-@query(_group_sql("ethnicity"))
+
+@query(
+    f"""{WIDE_SQL} SELECT ethnicity, multi, count(DISTINCT student_key) AS student_count, {count_if("sped")} AS special_ed_count, {count_if("frl")} AS frl_count, {count_if("ell")} AS ell_count, {count_if("homeless")} AS homeless_count,
+  {_OUTCOME_MEANS}, {_mean_sql("days_absent", 0, 1)} AS avg_days_absent, {pct("incidents = 0", 1)} AS pct_no_discipline, {pct("suspensions > 0", 1)} AS pct_suspended, {pct("avg_gpa >= 2.5", 1)} AS pct_gpa_2_5_plus,
+  {pct("avg_gpa < 2.0", 1)} AS pct_below_c, {pct("risk_level = 'High'", 1)} AS pct_high_risk, {pct("risk_level = 'Moderate'", 1)} AS pct_moderate_risk, {pct("risk_level = 'Low'", 1)} AS pct_low_risk FROM wide GROUP BY 1, 2"""
+)
 def equity_by_race(spark, sf_dir):
-    return schools.group_summary(_outcome_rows(spark, sf_dir), ["ethnicity"])
+    return schools.equity_by_race(_wide_flagged(spark, sf_dir), ["ethnicity", "multi"])
 
 
-@query(_group_sql("school"))
-def school_summary(spark, sf_dir):
-    return schools.group_summary(_outcome_rows(spark, sf_dir), ["school"])
+SEGMENTS = {"building": "BUILDING", "automobile": "AUTOMOBILE", "machinery": "MACHINERY", "household": "HOUSEHOLD"}
 
 
 @query(
-    f"""{PRE} SELECT * REPLACE (coalesce(incidents, 0) AS incidents), CASE WHEN attendance_rate < 90 OR coalesce(incidents, 0) > 2 OR avg_gpa < 2 THEN 'High'
-  WHEN attendance_rate < 95 OR coalesce(incidents, 0) > 0 OR avg_gpa < 2.5 THEN 'Moderate' ELSE 'Low' END AS risk_level FROM outcomes"""
+    f"""{WIDE_SQL} SELECT school, count(DISTINCT student_key) AS student_count, {pct("sped", 1)} AS pct_special_ed, {pct("frl", 1)} AS pct_frl, {pct("ell", 1)} AS pct_ell,
+  {", ".join(f"{pct(f"ethnicity = '{v}'", 1)} AS pct_{k}" for k, v in SEGMENTS.items())}, {pct("multi", 1)} AS pct_multi_racial, {_mean_sql("grade", 0, 1)} AS avg_grade_level, {_OUTCOME_MEANS},
+  {pct("risk_level = 'High'", 1)} AS pct_high_risk FROM wide GROUP BY 1"""
 )
+def school_summary(spark, sf_dir):
+    return schools.school_summary(_wide_flagged(spark, sf_dir), SEGMENTS)
+
+
+@query(f"{WIDE_SQL} SELECT * EXCLUDE (multi, homeless) FROM wide")
 def analytics_wide(spark, sf_dir):
-    return schools.student_wide(*_outcomes(spark, sf_dir))
+    return _wide(spark, sf_dir)
 
 
 def _fuzzy_sql(left: str, right: str, l: str, r_: str) -> str:
