@@ -48,28 +48,65 @@ def scorecard(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
 
 
 def profile(rows: DataFrame, cols: list[str], high: float = 10.0) -> DataFrame:
-    """Nulls, distinct values, least and greatest of each column as text; one row per column, one aggregation."""
-    one = rows.agg(
-        F.count(F.lit(1)).alias("_all"),
-        *[F.count(c).alias(f"n_{c}") for c in cols],
-        *[F.min(F.col(c)).cast("string").alias(f"lo_{c}") for c in cols],
-        *[F.max(F.col(c)).cast("string").alias(f"hi_{c}") for c in cols],
-    )
-    distinct = reduce(
-        DataFrame.unionByName,
-        [rows.select(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in cols],
-    )
-    # distinct values by an aggregation per value, so that no task holds a column's values
-    distinct = distinct.where("v is not null").groupBy("column", "v").agg(F.lit(1).alias("x")).groupBy("column").agg(F.count(F.lit(1)).alias("distinct_values"))
-    fields = F.array(
-        *[F.struct(F.lit(c).alias("column"), F.col(f"n_{c}").alias("filled"), F.col(f"lo_{c}").alias("least"), F.col(f"hi_{c}").alias("greatest")) for c in cols]
-    )
-    out = one.select("_all", F.inline(fields)).join(distinct, "column", "left")
-    pct = rnd(ratio(F.col("_all") - F.col("filled"), F.col("_all"), 100.0), 2)
-    out = out.select("column", F.col("_all").alias("rows"), (F.col("_all") - F.col("filled")).alias("nulls"), pct.alias("null_pct"), F.coalesce("distinct_values", F.lit(0)).alias("distinct_values"), "least", "greatest")
+    """Nulls, distinct values, least and greatest of each column as text; one row per column, one scan.
+
+    Cells become (column, value) pairs, counted before they are shuffled; all
+    figures follow from the distinct pairs, so no task holds a column's values.
+    """
+    kinds = dict(rows.dtypes)
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in cols])
+    pairs = rows.select(F.explode(cells).alias("x")).groupBy("x.column", "x.v").agg(F.count(F.lit(1)).alias("n"))
+    typed = lambda c: F.when(F.col("column") == c, F.col("v").cast(kinds[c]))
+    ends = [f(typed(c)).cast("string").alias(f"{o}_{i}") for i, c in enumerate(cols) for o, f in (("lo", F.min), ("hi", F.max))]
+    by = pairs.groupBy("column").agg(F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("nulls"), F.count("v").alias("distinct_values"), *ends)
+    own = lambda o: F.coalesce(*[F.col(f"{o}_{i}") for i in range(len(cols))])  # noqa: E731  a column has its own ends only
+    empty = rows.sparkSession.createDataFrame([(c,) for c in cols], "column string")
+    out = empty.join(by, "column", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    pct = rnd(ratio(F.col("nulls"), F.col("rows"), 100.0), 2)
+    out = out.select("column", zero("rows"), zero("nulls"), pct.alias("null_pct"), zero("distinct_values"), own("lo").alias("least"), own("hi").alias("greatest"))
     return out.withColumn("severity", F.when(F.col("null_pct") > high, "HIGH").otherwise("OK"))
 
 
+def summaries(rows: DataFrame, ids: list[str] | None = None, quantiles: tuple[float, ...] = (0.25, 0.5, 0.75), accuracy: int = 10_000) -> DataFrame:
+    """One row per column from one scan: missing share, constant and all-null marks, and for numbers mean, deviation, ends and quantiles.
+
+    Quantiles come from a mergeable sketch whose rank is off by one part in
+    ``accuracy`` of the rows at most, so they are exact up to that many rows.
+    Columns of ``ids`` are marked as having duplicates where their distinct
+    values, by a sketch of 1 % error beyond a few thousand, are fewer than the
+    filled cells by more than that error; ``unique_combination`` lists them
+    exactly.
+    """
+    numbers = {c for c, kind in rows.dtypes if kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal")}
+    flat = [c for c, kind in rows.dtypes if not kind.startswith(("array", "map", "struct", "variant"))]
+
+    def row(c: str) -> Column:
+        x = F.col(f"`{c}`")
+        none = F.lit(None).cast("double")
+        value = x.cast("double")
+        number = c in numbers
+        same = F.coalesce(F.min(x) == F.max(x), F.lit(False)) if c in flat else F.lit(False)
+        parts = {
+            "column": F.lit(c),
+            "rows": F.count(F.lit(1)),
+            "missing": F.count(F.lit(1)) - F.count(x),
+            "missing_pct": rnd(ratio(F.count(F.lit(1)) - F.count(x), F.count(F.lit(1)), 100.0), 2),
+            "all_null": F.count(x) == 0,
+            "constant": same,
+            "mean": F.avg(value) if number else none,
+            "deviation": F.stddev_samp(value) if number else none,
+            "least": F.min(value) if number else none,
+            "greatest": F.max(value) if number else none,
+            "quantiles": F.percentile_approx(value, list(quantiles), accuracy) if number else F.lit(None).cast("array<double>"),
+            "duplicated": F.approx_count_distinct(x, 0.01) < F.count(x) * 0.97 if c in (ids or ()) else F.lit(None).cast("boolean"),
+        }
+        return F.struct(*(v.alias(k) for k, v in parts.items()))
+
+    one = rows.agg(*(row(c).alias(f"c{i}") for i, c in enumerate(rows.columns)))
+    return one.select(F.inline(F.array(*[f"c{i}" for i in range(len(rows.columns))])))
+
+
 def top_values(rows: DataFrame, col: str, k: int = 20) -> DataFrame:
     return rows.groupBy(col).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), F.col(col).asc_nulls_last()).limit(k)
 

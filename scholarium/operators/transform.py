@@ -125,3 +125,38 @@ def pseudonymize_lookup(rows: DataFrame, col: str, salt: str) -> tuple[DataFrame
     """Rows with ``<col>_hashed`` in place of ``col``, and the lookup table."""
     hashed = rows.withColumn(f"{col}_hashed", hash_pii(col, salt))
     return hashed.drop(col), hashed.select(f"{col}_hashed", col).distinct()
+
+
+def json_object(rows: DataFrame, key: str, value: Column, by: list[str] | None = None) -> DataFrame:
+    """One JSON object per group of ``by`` (or of all rows): ``value``, an aggregate, by ``key``, keys ascending; null keys are left out.
+
+    Values are aggregated by key first, so an object is built from one entry a
+    key, however many rows there are; an object must fit in a row.
+    """
+    by = by or []
+    entries = rows.where(F.col(key).isNotNull()).groupBy(*by, key).agg(value.alias("_value"))
+    pairs = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col("_value").alias("v"))))
+    whole = entries.groupBy(*by).agg(pairs.alias("_pairs"))
+    return whole.select(*by, F.to_json(F.map_from_entries(F.transform("_pairs", lambda p: F.struct(p["k"].cast("string"), p["v"])))).alias("json"))
+
+
+def district_summary(students: DataFrame, attendance: DataFrame, courses: DataFrame, enrollment: DataFrame, key: str = "student_key") -> DataFrame:
+    """One row for a district: students by status, grade and programme, mean grade and attendance, courses, enrollments.
+
+    ``students`` has status, grade, sped, ell, frl and gpa; ``attendance`` has
+    attendance_rate and chronic; ``courses`` course; ``enrollment`` enrollment_id.
+    A student counts once for each status and programme it has anywhere.  Each
+    table is read once for all its figures.
+    """
+    number = lambda flag: F.sum(F.when(flag, 1).otherwise(0)).cast("long")
+    kinds = {f"{s.lower()}_students": F.col("status") == s for s in ("Active", "Graduated", "Withdrawn")}
+    kinds |= {"special_ed_count": F.col("sped"), "english_learner_count": F.col("ell"), "frpl_count": F.col("frl")}
+    own = students.groupBy(key).agg(*(F.max(F.coalesce(c, F.lit(False))).alias(n) for n, c in kinds.items()), F.sum(F.round(F.col("gpa") * 100).cast("long")).alias("_sum"), F.count("gpa").alias("_n"))
+    people = own.agg(*(number(F.col(n)).alias(n) for n in kinds), rnd(ratio(F.sum("_sum"), F.sum("_n") * 100), 2).alias("district_avg_gpa"))
+    grades = json_object(students, "grade", F.count_distinct(key)).withColumnRenamed("json", "students_by_grade")
+    days = attendance.groupBy(key).agg(F.max(F.coalesce("chronic", F.lit(False))).alias("_chronic"), F.sum(F.round(F.col("attendance_rate") * 10_000).cast("long")).alias("_sum"), F.count("attendance_rate").alias("_n"))
+    present = days.agg(rnd(ratio(F.sum("_sum"), F.sum("_n") * 10_000), 4).alias("district_avg_attendance_rate"), number(F.col("_chronic")).alias("chronically_absent_count"))
+    total = lambda df, c, o: df.agg(F.count_distinct(c).alias(o))
+    # one row each
+    out = people.join(grades, how="left").crossJoin(present)
+    return out.crossJoin(total(courses, "course", "total_courses")).crossJoin(total(enrollment, "enrollment_id", "total_enrollments"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from scholarium.functions import expr as E
 from scholarium.operators import accountability as A
-from scholarium.operators import state
+from scholarium.operators import state, transform
 from scholarium.plans import dashboards
 from scholarium.plans import state_surrogate as S
 from scholarium.plans.catalog import case, query
+from scholarium.plans.surrogate import DAILY, GRADES, STUDENTS, daily, grades, mean_sql, mean_tenths, r, students, t
 
 _DOMAINS = list(A.SOURCES)
 _GRAINS = [d for d in _DOMAINS if A.SOURCES[d].anchors]
@@ -81,3 +84,27 @@ def metrics_ela(spark, sf_dir):
 )
 def metrics_elpac(spark, sf_dir):
     return _board(spark, sf_dir, "elpac").sql("SELECT change_level, performance_color, curr_progressed, curr_maintain_pl4, curr_declined, curr_numerator / curr_denominator AS per_taker FROM metrics_view GROUP BY change_level, performance_color")
+
+
+# A district in one row
+
+
+@query(
+    f"""WITH {STUDENTS}, {DAILY}, {GRADES}, s AS (SELECT *, CASE student_key % 10 WHEN 0 THEN 'Graduated' WHEN 1 THEN 'Withdrawn' ELSE 'Active' END AS status FROM students),
+ gpa AS (SELECT student_key, {r(mean_tenths(), 2)} AS gpa FROM grades GROUP BY 1),
+ a AS (SELECT student_key, {r("sum(CASE WHEN absent THEN 0 ELSE 1 END)::DOUBLE / count(*)", 4)} AS attendance_rate FROM daily GROUP BY 1)
+SELECT (SELECT count(DISTINCT student_key) FROM s WHERE status = 'Active') AS active_students, (SELECT count(DISTINCT student_key) FROM s WHERE status = 'Graduated') AS graduated_students,
+  (SELECT count(DISTINCT student_key) FROM s WHERE status = 'Withdrawn') AS withdrawn_students,
+  (SELECT '{{' || string_agg('"' || grade || '":' || n, ',' ORDER BY grade) || '}}' FROM (SELECT grade, count(DISTINCT student_key) AS n FROM s GROUP BY 1)) AS students_by_grade,
+  (SELECT count(DISTINCT student_key) FROM s WHERE sped) AS special_ed_count, (SELECT count(DISTINCT student_key) FROM s WHERE ell) AS english_learner_count, (SELECT count(DISTINCT student_key) FROM s WHERE frl) AS frpl_count,
+  (SELECT {r(mean_sql("gpa", 2), 2)} FROM s JOIN gpa USING (student_key)) AS district_avg_gpa, (SELECT {r(mean_sql("attendance_rate", 4), 4)} FROM a) AS district_avg_attendance_rate,
+  (SELECT count(DISTINCT student_key) FROM a WHERE attendance_rate < 0.7) AS chronically_absent_count, (SELECT count(DISTINCT course) FROM grades) AS total_courses, (SELECT count(DISTINCT o_orderkey) FROM orders) AS total_enrollments"""
+)
+def district_summary(spark, sf_dir):
+    rows = grades(spark, sf_dir)
+    gpa = rows.groupBy("student_key").agg(E.rnd(E.mean_tenths("points"), 2).alias("gpa"))
+    status = F.when(F.col("student_key") % 10 == 0, "Graduated").when(F.col("student_key") % 10 == 1, "Withdrawn").otherwise("Active")
+    people = students(spark, sf_dir).withColumn("status", status).join(gpa, "student_key", "left")
+    days = daily(spark, sf_dir).groupBy("student_key").agg(E.rnd(E.ratio(F.sum(F.when(F.col("absent"), 0).otherwise(1)), F.count(F.lit(1))), 4).alias("attendance_rate"))
+    orders = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("enrollment_id"))
+    return transform.district_summary(people, days.withColumn("chronic", F.col("attendance_rate") < 0.7), rows, orders)
