@@ -71,6 +71,7 @@ def _years(*names: str) -> str:
 _ABSENT = "excused_absences unexcused_absences out_of_school_suspension_absences incomplete_independent_study_absences".split()
 _HOUSING = "temporarily_doubled_up temporary_shelters hotels_motels temporarily_unsheltered missing_unknown".split()
 
+# Columns of the domains.
 DOMAINS = {
     d.name: d
     for d in (
@@ -113,7 +114,7 @@ DOMAINS = {
         Domain("class_assignment", _years("pimel", "pinc"), **_SARC),
         Domain("enrollment", "cumulative_enrollment", texts=f"{_PLACE} charter>charter_school", year=_BOTH, suppressed=("cumulative_enrollment",), small="cumulative_enrollment"),
         Domain("enrollment_by_grade", "kdgn " + " ".join(f"gr{k}" for k in range(1, 13)) + " enrtotal>enr_total", **_SARC),
-        Domain("enrollment_by_subgroup", rates=" ".join(f"per{x}>per_{x}" for x in "gf gm gx ai as aa fi hi pi multi wh el fy h mig>mig sd di".replace("mig>mig", "mig").split()), **_SARC),
+        Domain("enrollment_by_subgroup", rates=" ".join(f"per{x}>per_{x}" for x in "gf gm gx ai as aa fi hi pi multi wh el fy h mig sd di".split()), **_SARC),
         Domain("expulsion", **_conduct("expulsion", "expelled")),
         Domain("suspension", **_conduct("suspension", "suspended")),
         Domain(
@@ -256,6 +257,7 @@ def _both(text: str) -> str:
     return " ".join(f"{when}{s}>{when}_{o}" for when in ("curr", "prior") for o, s in _pairs(text).items())
 
 
+# Columns of the indicators.
 BOARDS = {
     b.name: b
     for b in (

@@ -9,7 +9,7 @@ from scholarium.operators import accountability as A
 from scholarium.operators import state, transform
 from scholarium.plans import dashboards
 from scholarium.plans import state_surrogate as S
-from scholarium.plans.catalog import case, query
+from scholarium.plans.catalog import QUERIES, SQL, case, query
 from scholarium.plans.surrogate import DAILY, GRADES, STUDENTS, daily, grades, mean_sql, mean_tenths, r, students, t
 
 _DOMAINS = list(A.SOURCES)
@@ -108,3 +108,15 @@ def district_summary(spark, sf_dir):
     days = daily(spark, sf_dir).groupBy("student_key").agg(E.rnd(E.ratio(F.sum(F.when(F.col("absent"), 0).otherwise(1)), F.count(F.lit(1))), 4).alias("attendance_rate"))
     orders = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("enrollment_id"))
     return transform.district_summary(people, days.withColumn("chronic", F.col("attendance_rate") < 0.7), rows, orders)
+
+
+# Staging models
+
+
+def _stage(name: str) -> None:
+    QUERIES[f"stg_{name}"] = lambda spark, sf_dir: state.stage(S.raw_file(spark, sf_dir, name), name)
+    SQL[f"stg_{name}"] = S.stage_sql(name)
+
+
+for _name in state.DOMAINS:
+    _stage(_name)

@@ -155,3 +155,67 @@ def board_sql() -> str:
   {status}::DOUBLE AS status_value, {prior}::DOUBLE AS prior_status_value, ({status} - {prior})::DOUBLE AS change_value, CASE WHEN n % 7 <> 0 THEN n * 3 END AS curr_denominator, n AS curr_numerator,
   ((n * 7 + school) % 90)::DOUBLE AS status_value_without_prloss, (90 + n % 10)::DOUBLE AS curr_participation_rate, n * 2 AS curr_progressed, n + 1 AS curr_maintain_pl4, n % 4 AS curr_declined
   FROM (SELECT l_suppkey AS school, year(l_shipdate)::BIGINT AS y, l_partkey % {len(GROUPS)} AS g, count(*) AS n FROM lineitem GROUP BY 1, 2, 3) WHERE school % 10 <> 9)"""
+
+
+# Whole raw files of the staging models.  Both engines run the same text for them.
+
+
+def raw_columns(name: str) -> dict[str, str]:
+    """Text columns of a domain's raw file over ``base``: numbers, suppressed, empty, missing and fractional ones."""
+    d, k = state.DOMAINS[name], list(state.DOMAINS).index(name)
+    year = "concat(cast(y as string), '-', cast(y + 1 as string))" if d.short_years else "concat(cast(y as string), '-', lpad(cast((y + 1) % 100 as string), 2, '0'))"
+    out = {c: f"CASE WHEN n % 3 = 0 THEN NULL ELSE {year} END" if i + 1 < len(d.year) else year for i, c in enumerate(d.year)}
+    places = [("school % 58", 2), ("school % 1000", 5), ("school", 7)]
+    if len(d.cds) == 1:
+        out[d.cds[0]] = "concat(" + ", ".join(f"lpad(cast({x} as string), {w}, '0')" for x, w in places) + ")"
+    else:
+        out |= {c: f"CASE WHEN school % 31 = {w} THEN NULL ELSE cast({x} as string) END" for c, (x, w) in zip(d.cds, places, strict=True)}
+    if d.level:
+        out[d.level] = "CASE school % 5 WHEN 0 THEN 'T' WHEN 1 THEN 'C' WHEN 2 THEN 'D' ELSE 'S' END"
+    if d.category and not d.category.startswith("="):
+        out[d.category] = "CASE WHEN n % 29 = 0 THEN NULL ELSE category END"
+    numbers = {**dict.fromkeys(state._pairs(d.counts).values(), False), **dict.fromkeys(state._pairs(d.rates).values(), True), **dict.fromkeys(d.suppressed, False)}
+    for j, (c, fraction) in enumerate(numbers.items()):
+        v = f"n * {j + 1} + {k}"
+        value = f"concat(cast({v} as string), '.', cast(n % 10 as string))" if fraction else f"cast({v} as string)"
+        out.setdefault(c, f"CASE WHEN (n + {j + k}) % 13 = 0 THEN '*' WHEN (n + {j}) % 17 = 0 THEN '' WHEN (n + {j}) % 19 = 0 THEN NULL WHEN (n + {j}) % 23 = 0 THEN concat(cast({v} as string), '.5') ELSE {value} END")
+    for j, c in enumerate(state._pairs(d.texts).values()):
+        out.setdefault(c, f"CASE WHEN (n + {j}) % 11 = 0 THEN NULL ELSE concat('t{j} ', cast(n % 5 as string)) END")
+    return out
+
+
+def raw_file(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return base(spark, sf_dir).select(*(F.expr(x).alias(c) for c, x in raw_columns(name).items()))
+
+
+def stage_sql(name: str) -> str:
+    """The staging model of a domain as SQL over its raw file."""
+    d = state.DOMAINS[name]
+    raw = "raw AS (SELECT " + ", ".join(f'{x} AS "{c}"' for c, x in raw_columns(name).items()) + " FROM base)"
+    label = lambda x, names, other: f"CASE {x} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in names.items()) + f" ELSE {other} END"
+    year = "coalesce(" + ", ".join(f'"{y}"' for y in d.year) + ")"
+    short = f"CASE WHEN regexp_matches({year}, '^[0-9]{{4}}-[0-9]{{4}}$') THEN substr({year}, 1, 5) || substr({year}, 8, 2) ELSE {year} END"
+    out = {"academic_year": short if d.short_years else year}
+    out["cds_code"] = f'"{d.cds[0]}"' if len(d.cds) == 1 else " || ".join(f"lpad(coalesce(\"{c}\", ''), {w}, '0')" for c, w in zip(d.cds, (2, 5, 7), strict=True))
+    if d.level:
+        out |= {"aggregate_level": f'"{d.level}"', "aggregate_level_label": label(f'"{d.level}"', E.LEVEL_LABELS, f'"{d.level}"')}
+    if d.category:
+        x = f"'{d.category[1:]}'" if d.category.startswith("=") else f'"{d.category}"'
+        programs = ", ".join(f"'{c}'" for c in E.PROGRAM_CODES)
+        out |= {
+            "reporting_category": x,
+            "reporting_category_label": label(x, E.REPORTING_LABELS, x),
+            "is_race_ethnicity_subgroup": f"coalesce({x} LIKE 'R%', false)",
+            "is_gender_subgroup": f"coalesce({x} IN ('GM', 'GF', 'GX', 'GZ'), false)",
+            "is_atrisk_subgroup": f"coalesce({x} IN ({programs}), false)",
+        }
+    out |= {o: f'"{c}"' for o, c in state._pairs(d.texts).items()}
+    out |= {o: f'TRY_CAST("{c}" AS BIGINT)' for o, c in state._pairs(d.counts).items()}
+    out |= {o: f'TRY_CAST("{c}" AS DOUBLE)' for o, c in state._pairs(d.rates).items()}
+    if d.suppressed:
+        out["is_suppressed"] = " OR ".join(f"coalesce(\"{c}\" = '*', false)" for c in d.suppressed)
+    if d.small:
+        out["is_small_n"] = f'coalesce(TRY_CAST("{d.small}" AS BIGINT) < 11, false)'
+    if d.grade_groups:
+        out["grade_level_group"] = label(f'"{d.category}"', state.GRADE_GROUPS, "NULL")
+    return f"WITH {BASE}, {raw} SELECT " + ", ".join(f'{x} AS "{o}"' for o, x in out.items()) + " FROM raw"

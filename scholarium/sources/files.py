@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Marks of a missing cell.
 MISSING = ["", "NULL", "N/A", "NA", "None", " "]
 
 
