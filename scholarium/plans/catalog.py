@@ -737,8 +737,9 @@ _VIEWS = {
 def _contract(name: str) -> None:
     view, ask, sql = contracts.CONTRACTS[name]
     rows, text = _VIEWS[view]
-    QUERIES[f"cq_{name}"] = lambda spark, sf_dir: ask(rows(spark, sf_dir))
-    SQL[f"cq_{name}"] = f"WITH v AS ({text}) {sql}"
+    name = name if name.startswith("dash_") else f"cq_{name}"
+    QUERIES[name] = lambda spark, sf_dir: ask(rows(spark, sf_dir))
+    SQL[name] = f"WITH v AS ({text}) {sql}"
 
 
 for _name in contracts.CONTRACTS:

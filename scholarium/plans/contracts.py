@@ -155,3 +155,50 @@ def wellbeing_caseload(v):
 def wellbeing_resource_allocation(v):
     mean = lambda d: rnd(mean_exact(f"{d}_risk_score", 1), 1).alias(d)
     return v.groupBy("wellbeing_risk_level").agg(F.count(F.lit(1)).alias("students"), mean("attendance"), mean("discipline"), mean("academic")).orderBy(F.desc("wellbeing_risk_level"))
+
+
+# The dashboards' load queries
+
+_RISKY = "risk_level IN ('High', 'Critical')"
+
+
+@contract("chronic", f"SELECT count(DISTINCT student_key) AS count FROM v WHERE {_RISKY}")
+def dash_at_risk_count(v):
+    return v.where(_RISKY).agg(F.count_distinct("student_key").alias("count"))
+
+
+@contract("chronic", f"SELECT {r('count(CASE WHEN risk_level <> ' + chr(39) + 'Low' + chr(39) + ' THEN 1 END) * 100.0::DOUBLE / count(DISTINCT student_key)', 1)} AS rate FROM v")
+def dash_chronic_rate(v):
+    return v.agg(rnd(F.count(F.when(F.col("risk_level") != "Low", 1)) * 100.0 / F.nullif(F.count_distinct("student_key"), F.lit(0)), 1).alias("rate"))
+
+
+@contract("chronic", "SELECT risk_level, count(DISTINCT student_key) AS count FROM v GROUP BY 1")
+def dash_risk_distribution(v):
+    return v.groupBy("risk_level").agg(F.count_distinct("student_key").alias("count"))
+
+
+@contract("chronic", f"SELECT student_key, risk_level, attendance_rate_30d FROM v WHERE {_RISKY} ORDER BY chronic_absenteeism_risk_score DESC, student_key LIMIT 50")
+def dash_top_at_risk(v):
+    """Fifty students; equal scores go by student."""
+    return v.where(_RISKY).orderBy(F.desc("chronic_absenteeism_risk_score"), "student_key").limit(50).select("student_key", "risk_level", "attendance_rate_30d")
+
+
+@contract("chronic", "SELECT grade, count(DISTINCT student_key) AS total, count(CASE WHEN risk_level = 'High' THEN 1 END) AS high_count FROM v GROUP BY 1")
+def dash_by_grade(v):
+    return v.groupBy("grade").agg(F.count_distinct("student_key").alias("total"), F.count(F.when(F.col("risk_level") == "High", 1)).alias("high_count"))
+
+
+@contract("wellbeing", "SELECT count(*) AS count FROM v")
+def dash_wellbeing_count(v):
+    return v.agg(F.count(F.lit(1)).alias("count"))
+
+
+@contract("wellbeing", "SELECT * FROM v ORDER BY student_key LIMIT 100")
+def dash_wellbeing_sample(v):
+    """The first hundred by student, so that the sample is always the same."""
+    return v.orderBy("student_key").limit(100)
+
+
+@contract("equity", "SELECT count(*) AS count FROM v")
+def dash_equity_load(v):
+    return v.agg(F.count(F.lit(1)).alias("count"))
