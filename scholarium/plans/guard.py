@@ -9,6 +9,9 @@ import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scholarium.functions.expr import rnd
 
 FENCE = re.compile(r"```(?:sql)?\s*\n?(.*?)```", re.S | re.I)
 # What a read-only query never holds as a word.
@@ -138,6 +141,30 @@ class Guard:
         """The query's rows, at most ``max_rows``, not yet run."""
         return self._frame(spark, extract_sql(text)).limit(self.max_rows)
 
+    def schema(self, spark: SparkSession) -> dict[str, list[tuple[str, str]]]:
+        """Column names and types of the allowed relations, hidden columns left out, for prompts and pickers."""
+        own = self.session(spark)
+        return {name: own.table(name).dtypes for name in sorted(self.allowed)}
+
+    def validate_pairs(self, spark: SparkSession, pairs: list[tuple[str, str]], rows: int = 10) -> DataFrame:
+        """(question, sql, valid, message) of each pair: whether its SQL passes the guard, names an allowed relation and runs.
+
+        A query is run for at most ``rows`` rows; one without any is valid.
+        """
+        names = [a.lower() for a in self.allowed]
+        out = []
+        for question, text in pairs:
+            try:
+                sql = extract_sql(text)
+                frame = self._frame(spark, sql)
+                if not any(re.search(rf"\b{re.escape(n)}\b", sql, re.I) for n in names):
+                    raise Refused("no known relation is named")
+                found = len(frame.limit(rows).collect())
+                out.append((question, sql, True, f"{found} rows returned" if found else "no rows"))
+            except Exception as e:  # what fails in running is a finding too
+                out.append((question, text, False, str(e).splitlines()[0][:200]))
+        return spark.createDataFrame(out, "question string, sql string, valid boolean, message string")
+
     def execute(self, spark: SparkSession, text: str) -> list:
         """Run within ``timeout_s``; the job is cancelled beyond it."""
         frame, tag = self.frame(spark, text), f"guard-{uuid.uuid4().hex}"
@@ -152,6 +179,32 @@ class Guard:
             own.removeTag(tag)
 
 
+def is_percent(name: str) -> bool:
+    name = name.lower()
+    return "percent" in name or "%" in name or name.endswith(("_pct", "_rate", "_ratio"))
+
+
+def format_result(df: DataFrame) -> DataFrame:
+    """``df`` for display: fractions with two decimals; numbers named as a percentage as text with a '%'.
+
+    Of these, values from 0 to 1 are proportions and scaled, others percentages
+    already.  Integers that are no percentage, and all that is no number, stay.
+    """
+    out = []
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        whole = kind in ("tinyint", "smallint", "int", "bigint")
+        if not whole and kind not in ("float", "double") and not kind.startswith("decimal"):
+            pass
+        elif is_percent(name):
+            v = c.cast("double")
+            c = F.when(v.isNull() | F.isnan(v), None).otherwise(F.format_string("%.2f%%", rnd(F.when(v.between(0, 1), v * 100).otherwise(v), 2)))
+        elif not whole:
+            c = rnd(c, 2)
+        out.append(c.alias(name))
+    return df.select(*out)
+
+
 def execution_match(a: DataFrame, b: DataFrame) -> bool:
     """Whether two results hold the same rows, as multisets, whatever their column names."""
     if len(a.columns) != len(b.columns):

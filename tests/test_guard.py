@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from scholarium.plans.guard import Guard, Refused, execution_match, extract_sql
+from scholarium.plans.guard import Guard, Refused, execution_match, extract_sql, format_result
 
 
 @pytest.fixture(scope="module")
@@ -106,3 +106,20 @@ def test_execution_match(spark):
     a = spark.createDataFrame([(1, "x"), (1, "x"), (2, "y")], "a int, b string")
     b = spark.createDataFrame([(2, "y"), (1, "x"), (1, "x")], "c long, d string")
     assert execution_match(a, b) and not execution_match(a, b.distinct()) and not execution_match(a, b.select("c"))
+
+
+def test_schema_hides_columns(spark, guarded):
+    assert guarded.schema(spark) == {"students": [("id", "bigint"), ("name", "string")]}
+
+
+def test_pairs(spark, guarded):
+    pairs = [("all", "SELECT * FROM students"), ("none", "SELECT id FROM students WHERE id < 0"), ("fenced", "```sql\nSELECT count(*) FROM students\n```"), ("other", "SELECT * FROM restricted"), ("constant", "SELECT 1"), ("fails", "SELECT raise_error(name) FROM students"), ("broken", "SELEC"), ("drop", "DROP TABLE students")]
+    got = {r["question"]: (r["valid"], r["message"]) for r in guarded.validate_pairs(spark, pairs).collect()}
+    assert got["all"] == (True, "3 rows returned") and got["none"] == (True, "no rows") and got["fenced"] == (True, "1 rows returned")
+    assert not any(got[q][0] for q in ("other", "constant", "fails", "broken", "drop")) and got["constant"][1] == "no known relation is named"
+
+
+def test_format_result(spark):
+    rows = spark.createDataFrame([(1, 0.1, 10.0, 2.345, "x", 1, None), (2, None, -0.5, None, None, 3, 0.123456)], "n int, attendance_rate double, gpa_pct double, mean double, name_rate string, percent_done int, v double")
+    got = [tuple(r) for r in format_result(rows).collect()]
+    assert got == [(1, "10.00%", "10.00%", 2.35, "x", "100.00%", None), (2, None, "-0.50%", None, None, "3.00%", 0.12)]
