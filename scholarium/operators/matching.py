@@ -68,22 +68,18 @@ def fuzzy_match(left: DataFrame, right: DataFrame, lkey: str, lname: str, rkey:
         raise ValueError("least must lie above 0 and up to 1")
     names = left.select(normal(lname).alias("_l")).where("_l is not null").distinct()
     known = right.select(normal(rname).alias("_r"), F.col(rkey).alias("_key")).where("_r is not null").groupBy("_r").agg(F.min("_key").alias("_key"))
-    known, waiting, found = cut_lineage(known), names, []
+    known, names = cut_lineage(known), cut_lineage(names)
+    empty = names.limit(0).select("_l", F.lit(None).cast(right.schema[rkey].dataType).alias("_key"), F.lit(0).cast("long").alias("distance"))
+    matched, waiting = empty, names.count()
     for d in range(most + 1):
-        # a longer name than the left one has d more characters at most
-        enough = d if least == 1 and d == 0 else math.inf if least == 1 else d / (1 - least) - d - 1e-9
-        if enough == math.inf:
-            break
-        waiting = cut_lineage(waiting.where(F.length("_l") >= enough))
-        if waiting.isEmpty():
+        # a right name has d characters more than the left one at most
+        enough = 0 if d == 0 else math.inf if least == 1 else d / (1 - least) - d - 1e-9
+        if enough == math.inf or not waiting:
             break
-        best = candidates(waiting, known, d).groupBy("_l").agg(F.min("_key").alias("_key")).withColumn("distance", F.lit(d).cast("long"))
+        rest = names.where(F.length("_l") >= enough).join(matched.select("_l"), "_l", "left_anti")
+        best = candidates(rest, known, d).groupBy("_l").agg(F.min("_key").alias("_key")).withColumn("distance", F.lit(d).cast("long"))
         best = cut_lineage(best)
-        found.append(best)
-        waiting = waiting.join(best, "_l", "left_anti")
-    empty = names.limit(0).select("_l", F.lit(None).cast(right.schema[rkey].dataType).alias("_key"), F.lit(0).cast("long").alias("distance"))
-    matched = empty
-    for best in found:
+        waiting -= best.count()
         matched = matched.unionAll(best)
     rows = left.select(lkey, lname, normal(lname).alias("_l")).join(matched, "_l")
     rows = rows.join(right.select(F.col(rkey), F.col(rname), normal(rname).alias("_r")), F.col("_key") == F.col(rkey))
