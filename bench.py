@@ -36,6 +36,7 @@ def main() -> None:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # no call sites for each expression
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
