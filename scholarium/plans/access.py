@@ -7,8 +7,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The column that bounds each role, and who may export.
+# The column that bounds each role, who may open each dashboard, and who may export.
 SCOPE = {"admin": None, "analyst": "district_id", "principal": "school_id", "teacher": "class_id", "student": "student_key", "parent": "student_key"}
+DASHBOARDS = {
+    "chronic_absenteeism": ("admin", "principal", "analyst"),
+    "wellbeing": ("admin", "principal", "analyst"),
+    "equity_outcomes": ("admin", "principal", "analyst"),
+    "class_effectiveness": ("admin", "principal", "teacher"),
+    "performance_correlations": ("admin", "principal", "analyst"),
+}
 EXPORTERS = frozenset({"admin", "analyst", "principal"})
 
 
@@ -32,3 +39,8 @@ def secured(rows: DataFrame, user: User) -> DataFrame:
 
 def may_export(user: User) -> bool:
     return user.role in EXPORTERS
+
+
+def may_open(user: User, dashboard: str) -> bool:
+    """Whether a role may open a dashboard; no one may open one that is not known."""
+    return user.role in DASHBOARDS.get(dashboard, ())

@@ -6,8 +6,9 @@ import json
 import re
 import threading
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,14 +76,19 @@ class Guard:
     hidden_columns: frozenset[str] = frozenset()
     max_rows: int = 1000
     timeout_s: float = 10.0
+    #: Relations by name, where they are not tables or views of the session.
+    frames: dict[str, DataFrame] | None = field(default=None, compare=False)
+    #: Settings of the guarded session.
+    settings: dict[str, str] = field(default_factory=dict, compare=False)
 
     def session(self, spark: SparkSession) -> SparkSession:
         """A session with a temporary view for each allowed relation."""
         own = spark.newSession()
-        own.conf.set("spark.sql.runSQLOnFiles", "false")
+        for k, v in {**self.settings, "spark.sql.runSQLOnFiles": "false"}.items():
+            own.conf.set(k, v)
         for name in self.allowed:
             shared = f"guard_{uuid.uuid4().hex}"
-            spark.table(name).createGlobalTempView(shared)
+            (self.frames[name] if self.frames is not None else spark.table(name)).createGlobalTempView(shared)
             own.table(f"global_temp.{shared}").drop(*self.hidden_columns).createTempView(name)
             spark.catalog.dropGlobalTempView(shared)
         return own
@@ -121,14 +127,10 @@ class Guard:
     def _frame(self, spark: SparkSession, sql: str) -> DataFrame:
         self._check_text(sql)
         own = self.session(spark)
-        try:
-            own._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-        except Exception as e:
-            raise Refused(f"the query does not parse: {str(e).splitlines()[0]}") from e
         try:
             frame = own.sql(sql)
         except Exception as e:
-            raise Refused(f"the query does not analyze: {str(e).splitlines()[0]}") from e
+            raise Refused(f"the query does not {'parse' if isinstance(e, ParseException) else 'analyze'}: {next(filter(None, str(e).splitlines()), '')}") from e
         self._check_plan(frame._jdf.queryExecution().analyzed())
         return frame
 
