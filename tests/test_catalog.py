@@ -13,7 +13,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from scholarium.plans import catalog, district_catalog, state_catalog  # noqa: F401
+from scholarium.plans import catalog, district_catalog, normal_catalog, state_catalog  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 REPO = Path(__file__).resolve().parents[1]
