@@ -1,10 +1,11 @@
-"""Registered normalisers over the orders seen as raw school tables, each with SQL of its own."""
+"""Registered normalisers, refined tables and their views over the orders seen as raw school tables, each with SQL of its own."""
 
 from __future__ import annotations
 
 from scholarium.operators import normalize as N
+from scholarium.operators import refine as R
 from scholarium.plans.catalog import QUERIES, SQL
-from scholarium.plans.surrogate import r, t
+from scholarium.plans.surrogate import mean_sql, r, t
 
 
 def raw_columns(name: str) -> dict[str, str]:
@@ -89,3 +90,68 @@ def _counts(name: str) -> str:
 
 QUERIES["normal_completeness"] = lambda spark, sf_dir: N.completeness({n: _raw(spark, sf_dir, n) for n in N.ENTITIES})
 SQL["normal_completeness"] = f"SELECT *, {r('100.0::DOUBLE * normalized_count::DOUBLE / nullif(source_count::DOUBLE, 0)', 1)} AS percent_transformed FROM ({' UNION ALL '.join(map(_counts, N.ENTITIES))}) z"
+
+
+# Refined tables and views
+
+SALT = "example-salt"
+
+
+def _refined(spark, sf_dir: str, name: str):
+    return R.refine(N.normalize(_raw(spark, sf_dir, name), name), name, SALT)
+
+
+def _mask_sql(x: str, shown: int = 1) -> str:
+    return f"CASE WHEN {x} IS NULL THEN NULL WHEN length({x}) <= {shown} THEN '*' ELSE substr({x}, 1, {shown}) || repeat('*', length({x}) - {shown}) END"
+
+
+def refined_sql(name: str) -> str:
+    hash_ = lambda x: f"CASE WHEN {x} IS NOT NULL THEN sha256({x}::VARCHAR || '{SALT}') END"
+    hashed, masked = N.pairs(R.HASHED[name]), R.MASKED.get(name, {})
+    out = {o: hash_(s) for o, s in hashed.items()} | {f"{s}_masked": _mask_sql(s, n) for s, n in masked.items()}
+    gone = {*hashed.values(), *masked, *R.DROPPED.get(name, "created_date updated_date").split()}
+    if e := R.EMAILS.get(name):
+        local, domain = f"(substr({e}, 1, strpos({e}, '@') - 1))", f"(substr({e}, strpos({e}, '@') + 1))"
+        out[f"{e}_masked"] = f"CASE WHEN {e} IS NULL THEN NULL WHEN {e} NOT LIKE '%@%' THEN {_mask_sql(e, 2)} ELSE ({_mask_sql(local, 2)}) || '@' || ({_mask_sql(domain, 2)}) END"
+        gone.add(e)
+    if p := R.PHONES.get(name):
+        out[f"{p}_masked"] = f"CASE WHEN {p} IS NULL THEN NULL WHEN length(regexp_replace({p}, '[^0-9]', '', 'g')) >= 10 THEN substr({p}, 1, strpos({p}, '-') + 3) || '****' ELSE {_mask_sql(p, 1)} END"
+        gone.add(p)
+    if name == "students":
+        out |= {"birth_year_generalized": "birth_year", "withdrawn_flag": "withdrawal_date IS NOT NULL"}
+        gone.add("birth_year")
+    if name == "attendance":
+        x = "reason_description"
+        out["reason_category"] = f"CASE WHEN {x} LIKE '%medical%' OR {x} LIKE '%doctor%' THEN 'Health-related' WHEN {x} LIKE '%appointment%' THEN 'Medical appointment' WHEN {x} LIKE '%family%' THEN 'Family matter' WHEN {x} <> '' THEN 'Absence notification' ELSE 'Unknown' END"
+        gone.add(x)
+    return f"SELECT {', '.join(f'{x} AS {o}' for o, x in out.items())}, n.* EXCLUDE ({', '.join(sorted(gone))}), 'FERPA Compliant' AS privacy_classification FROM ({normal_sql(name)}) n"
+
+
+def _register_refined(name: str) -> None:
+    QUERIES[f"refined_{name}"] = lambda spark, sf_dir: _refined(spark, sf_dir, name)
+    SQL[f"refined_{name}"] = refined_sql(name)
+
+
+for _name in N.ENTITIES:
+    _register_refined(_name)
+
+
+def _with(names: str) -> str:
+    return "WITH " + ", ".join(f"{n} AS ({refined_sql(n)})" for n in names.split())
+
+
+_N = "count(CASE WHEN {} THEN 1 END)"
+QUERIES["student_enrollment_view"] = lambda spark, sf_dir: R.student_enrollment(*(_refined(spark, sf_dir, n) for n in ("students", "enrollment", "courses", "attendance")))
+SQL["student_enrollment_view"] = f"""{_with("students enrollment courses attendance")} SELECT sr.student_id_hashed, er.enrollment_id_hashed, er.student_id_hashed AS enr_student_id_hashed, cr.course_id, cr.course_name, cr.department, er.term, er.letter_grade,
+  er.final_grade_percent, sr.grade_level, sr.special_education, sr.gpa, ar.attendance_rate, ar.chronically_absent, ar.warning_level
+  FROM students sr LEFT JOIN enrollment er ON sr.student_id_hashed = er.student_id_hashed LEFT JOIN courses cr ON er.course_id = cr.course_id
+  LEFT JOIN (SELECT student_id_hashed, term, {mean_sql("attendance_rate", 4)} AS attendance_rate, max(chronically_absent) AS chronically_absent, max(warning_level) AS warning_level FROM attendance GROUP BY 1, 2) ar
+  ON sr.student_id_hashed = ar.student_id_hashed AND er.term = ar.term"""
+QUERIES["course_performance_summary"] = lambda spark, sf_dir: R.course_performance(_refined(spark, sf_dir, "enrollment"), _refined(spark, sf_dir, "courses"))
+SQL["course_performance_summary"] = f"""{_with("enrollment courses")} SELECT cr.course_id, cr.course_name, cr.department, er.term, count(DISTINCT er.student_id_hashed) AS enrollment_count, {r(mean_sql("final_grade_percent", 1), 1)} AS avg_grade_percent,
+  {r(mean_sql("gpa_contribution", 2), 2)} AS avg_gpa_contribution, {_N.format("letter_grade IN ('A', 'A-', 'B+')")} AS high_achiever_count, {_N.format("letter_grade IN ('D', 'D-', 'F')")} AS struggling_count,
+  {r("100.0::DOUBLE * count(CASE WHEN flag_for_intervention THEN 1 END)::DOUBLE / count(*)::DOUBLE", 1)} AS intervention_flag_percent FROM enrollment er LEFT JOIN courses cr ON er.course_id = cr.course_id GROUP BY 1, 2, 3, 4"""
+QUERIES["privacy_verification"] = lambda spark, sf_dir: R.verification({n: _refined(spark, sf_dir, n) for n in N.ENTITIES})
+SQL["privacy_verification"] = f"""{_with(" ".join(N.ENTITIES))} SELECT 'students' AS entity, count(*) AS total_records, count(student_id_hashed) AS hashed_pii, count(first_name_masked) AS masked_pii FROM students
+  UNION ALL SELECT 'courses', count(*), count(DISTINCT instructor_id_hashed), count(instructor_name_masked) FROM courses UNION ALL SELECT 'enrollment', count(*), count(enrollment_id_hashed), count(student_id_hashed) FROM enrollment
+  UNION ALL SELECT 'attendance', count(*), count(attendance_id_hashed), count(student_id_hashed) FROM attendance UNION ALL SELECT 'academic_records', count(*), count(record_id_hashed), count(student_id_hashed) FROM academic_records"""
