@@ -25,7 +25,7 @@ def normal(name: str) -> Column:
 
 
 def candidates(left: DataFrame, right: DataFrame, d: int) -> DataFrame:
-    """(_l, _r, _key): pairs of a left and a right name at distance ``d`` exactly; d = 0 is equality.
+    """(_l, _r, _key): pairs of a left and a right name at distance ``d`` exactly, some repeated; d = 0 is equality.
 
     A right name of ``d`` characters or less can't be cut into d + 1 pieces; it
     pairs by length alone.  ``fuzzy_match`` has such pairs only where it takes
@@ -49,8 +49,9 @@ def candidates(left: DataFrame, right: DataFrame, d: int) -> DataFrame:
     low = F.greatest(at - i, at + moved - (d - i), F.lit(0))
     high = F.least(at + i, at + moved + (d - i), F.col("_m") - (end - at))
     probes = probes.select("*", low.alias("_low"), high.alias("_high"), (end - at).alias("_w")).where("_low <= _high")
-    probes = probes.select("_l", "_n", "_i", F.explode(F.sequence("_low", "_high")).alias("_p"), "_w").select("_l", "_n", "_i", F.substring(F.col("_l"), F.col("_p") + 1, F.col("_w")).alias("_piece")).distinct()
-    near = probes.join(cut, ["_n", "_i", "_piece"]).select("_l", "_r", "_key").unionAll(short).distinct()
+    probes = probes.select("_l", "_n", "_i", F.explode(F.sequence("_low", "_high")).alias("_p"), "_w").select("_l", "_n", "_i", F.substring(F.col("_l"), F.col("_p") + 1, F.col("_w")).alias("_piece"))
+    # a pair that meets in several pieces is compared as often, which costs less than another shuffle
+    near = probes.join(cut, ["_n", "_i", "_piece"]).select("_l", "_r", "_key").unionAll(short)
     return near.where(F.levenshtein("_l", "_r", d) == d)
 
 
