@@ -90,8 +90,8 @@ DISCIPLINE_SQL = """discipline AS (
   SELECT student_key, window_start_date::DATE AS window_start_date, window_type, incident_count, incident_count AS incident_frequency_rate FROM combined WHERE student_key IS NOT NULL)"""
 
 
-def _discipline(spark, sf_dir):
-    return attendance.discipline_windows(incidents(spark, sf_dir), F.to_date(F.lit("2024-01-20")), windows=(("7d", 7), ("14d", 14)))
+def _discipline(spark, sf_dir, windows=(("7d", 7), ("14d", 14))):
+    return attendance.discipline_windows(incidents(spark, sf_dir), F.to_date(F.lit("2024-01-20")), windows=windows)
 
 
 @query(f"WITH {INCIDENTS}, {DISCIPLINE_SQL} SELECT * FROM discipline")
@@ -168,7 +168,7 @@ SELECT *, CASE WHEN wellbeing_risk_score <= 30 THEN 'Low' WHEN wellbeing_risk_sc
 )
 def wellbeing_risk_profiles(spark, sf_dir):
     windows = attendance.student_windows(daily(spark, sf_dir), incidents(spark, sf_dir), windows=WINDOWS[:1])
-    return attendance.wellbeing_profiles(students(spark, sf_dir).select("student_key"), windows, _discipline(spark, sf_dir), _gpa(spark, sf_dir), window="7d")
+    return attendance.wellbeing_profiles(students(spark, sf_dir).select("student_key"), windows, _discipline(spark, sf_dir, WINDOWS[:1]), _gpa(spark, sf_dir), window="7d")
 
 
 # Academics
@@ -260,9 +260,10 @@ _STRENGTH_SQL = "CASE WHEN abs(coalesce(correlation_coefficient, 0)) >= 0.7 THEN
 SELECT *, {_STRENGTH_SQL} FROM pairs"""
 )
 def performance_correlations(spark, sf_dir):
-    windows = attendance.attendance_windows(daily(spark, sf_dir), incidents(spark, sf_dir), **SHORT)
+    # the term alone is asked for
+    windows = attendance.attendance_windows(daily(spark, sf_dir), incidents(spark, sf_dir), windows=WINDOWS[-1:])
     performance = grades(spark, sf_dir).groupBy("student_key").agg(E.rnd(E.mean_tenths("points"), 2).alias("grade_numeric"))
-    return academics.performance_correlations(windows, _discipline(spark, sf_dir), performance)
+    return academics.performance_correlations(windows, _discipline(spark, sf_dir, ()), performance)
 
 
 @query(
