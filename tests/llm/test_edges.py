@@ -8,6 +8,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from scholarium.llm import decontaminate, jaccard_join, line_crf, line_dedup, packing, pii, quality_rules, sharding, suffix_dedup, warc
@@ -100,6 +101,70 @@ def test_decontaminate_finds_copies_edited_every_few_words(spark, every):
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(16, 16), (-16, 16), (59, 59), (-59, 59)}
 
 
+@pytest.mark.parametrize("percent", [5, 10, 20])
+def test_decontaminate_recall_of_edited_copies(spark, percent):
+    r = np.random.default_rng(percent)
+    own = np.array(words(70, 4000).split())
+    usual = own[:40]  # half of all words, so many n-grams are common
+    draw = lambda n: [r.choice(usual) if r.random() < 0.5 else r.choice(own) for _ in range(n)]
+    items = [(k, draw(int(r.integers(20, 60)))) for k in range(100)]
+    docs = [(k, " ".join(draw(80) + [w if r.random() >= percent / 100 else r.choice(own) for w in item] + draw(80))) for k, item in items]
+    docs += [(1000 + k, " ".join(draw(200))) for k in range(400)]
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(i)) for k, i in items], "item_id long, text string")).collect()
+    pairs = {(x["doc_id"], x["item_id"]) for x in got}
+    assert sum((k, k) in pairs for k, _ in items) >= 95
+    assert all(d == i for d, i in pairs)
+
+
+def test_decontaminate_equals_alignment_of_all_pairs(spark):
+    """Whole documents against whole items, for all pairs that share a rare n-gram."""
+    r = np.random.default_rng(9)
+    s = decontaminate.Settings()
+    own = np.array(words(71, 300).split())
+    items = [(k, list(r.choice(own, r.integers(6, 40)))) for k in range(12)]
+    docs = []
+    for d in range(60):
+        item = items[d % 12][1]
+        copy = [w if r.random() >= 0.15 else r.choice(own) for w in item]
+        docs.append((d, list(r.choice(own, r.integers(0, 1500))) + copy + list(r.choice(own, r.integers(0, 1500)))))
+    spans = lambda ws: {tuple(ws[k : k + s.gram]) for k in range(len(ws) - s.gram + 1)}
+    number = {w: k for k, w in enumerate(own)}
+    ids = lambda ws: np.array([number[w] for w in ws], np.int64)
+    want = {}
+    for d, text in docs:
+        for k, item in items:
+            if spans(text) & spans(item):
+                score = decontaminate.align(ids(item), ids(text), s)[0] / (s.match * len(item))
+                if score >= s.min_score:
+                    want[d, k] = score
+    got = decontaminate.contaminated(spark.createDataFrame([(d, " ".join(t)) for d, t in docs], "doc_id long, text string"), spark.createDataFrame([(k, " ".join(i)) for k, i in items], "item_id long, text string")).collect()
+    assert {(x["doc_id"], x["item_id"]): x["score"] for x in got} == want
+    assert len(want) >= 50
+
+
+def test_decontaminate_leaves_out_common_grams(spark):
+    usual, item = "it is one of the best of", words(72, 30)
+    docs = [(k, words(100 + k, 40) + " " + usual) for k in range(50)] + [(99, usual + " " + item)]
+    seeds = spark.createDataFrame([(1, " ".join([usual, item]))], "item_id long, text string")
+    s = decontaminate.Settings()
+    grams = seeds.select("item_id", F.col("text").cast("binary")).mapInArrow(decontaminate._prepared(s), "item_id long, item long, n int, words binary, grams array<long>")
+    grams = grams.select("item", F.posexplode("grams").alias("place", "gram"))
+    texts = spark.createDataFrame(docs, "doc_id long, text string").select(F.col("text").cast("binary"))
+    assert sorted(r["place"] for r in decontaminate.rare_seeds(spark, grams, texts, s).collect()) == list(range(5, 35))
+
+
+def test_decontaminate_of_unspaced_scripts_and_long_texts(spark):
+    item = "我們在測試一個沒有空格的句子"
+    long = words(73, 150_000)
+    docs = [(1, "前文" + item + "後文"), (2, "別的文字與此無關"), (3, long + " " + words(74, 30)), (3, long + " " + words(74, 30)), (4, long)]
+    items = spark.createDataFrame([(1, item), (2, words(74, 30))], "item_id long, text string")
+    docs = spark.createDataFrame([(d, t, "x", 1, 2) for d, t in docs], "doc_id long, text string, _key string, key long, item_id long")
+    got = sorted((r["doc_id"], r["item_id"], r["score"], r["start"]) for r in decontaminate.contaminated(docs, items).collect())
+    assert got == [(1, 1, 1.0, 2), (3, 2, 1.0, 150_000), (3, 2, 1.0, 150_000)]
+    left = decontaminate.decontaminate(docs, items)
+    assert left.columns == docs.columns and sorted((r["doc_id"], r["_key"], r["key"], r["item_id"]) for r in left.collect()) == [(2, "x", 1, 2), (4, "x", 1, 2)]
+
+
 def test_bound_never_hides_an_alignment():
     r = np.random.default_rng(6)
     s = decontaminate.Settings()
