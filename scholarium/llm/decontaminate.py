@@ -24,13 +24,16 @@ from .common import fresh, materialize, row_key, small_batches, task, text_bytes
 from .shingles import windows
 from .vocab import Cache
 
-#: Bits of the n-gram filter at most (8 MB); a fuller one lets more passages through, and the join drops them.
-FILTER_BITS = 1 << 26
+#: Bits of the n-gram filter: so many an n-gram, and at most (16 MB); a fuller one lets more passages through, and the join drops them.
+BITS_A_GRAM, FILTER_BITS = 1024, 1 << 27
 #: Words of a passage beside its margins, which the longest item sets.
 PASSAGE_WORDS = 1024
 #: N-grams that a task counts at a time.
 COUNTED_AT_A_TIME = 1_500_000
 _OTHER = re.compile(r"[\W_]+")
+#: ASCII in lower case, and its marks, which \\W and _ mean there.
+_LOWER = bytes(range(256)).lower()
+_MARKS = bytes(c for c in range(128) if not chr(c).isalnum() and c not in b" \t\n\x0b\x0c\r")
 #: Characters of scripts without spaces between words: each is a word.
 _UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\U00020000-\U0003134f])")
 
@@ -103,7 +106,10 @@ def _number(word: bytes) -> int:
 
 def word_numbers(text: bytes, read: Cache) -> np.ndarray:
     """63-bit hashes of the words of a text, marks and case aside."""
-    words = text.split()
+    words = text.translate(_LOWER, _MARKS).split()
+    if text.isascii():
+        ids = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) >> np.uint64(1)
+        return np.maximum(ids, 1).view(np.int64)
     ids = np.fromiter(map(read.__getitem__, words), np.int64, len(words))
     if (ids == -1).any():
         ids = np.array([h for w, k in zip(words, ids.tolist(), strict=True) for h in (_hashed(w) if k == -1 else (k,))], np.int64)
@@ -133,21 +139,27 @@ def _prepared(s: Settings):
 
 
 class GramFilter:
-    """Bits of n-grams; holds all of a table's and few others."""
+    """Two bits for each n-gram; holds all of a table's and few others."""
 
     def __init__(self, grams: DataFrame, distinct: int):
-        self.bits = min(FILTER_BITS, max(1 << 15, 1 << (16 * distinct).bit_length()))
-        place = F.pmod(F.col("gram"), F.lit(self.bits))
-        cells = grams.select(F.shiftright(place, 15).alias("cell"), place.bitwiseAND(F.lit((1 << 15) - 1).cast("long")).alias("at"))
+        self.bits = min(FILTER_BITS, max(1 << 15, 1 << (BITS_A_GRAM * distinct).bit_length()))
+        places = grams.select(F.explode(F.array("gram", F.shiftright("gram", 32))).alias("g")).select(F.pmod("g", F.lit(self.bits)).alias("place"))
+        cells = places.select(F.shiftright("place", 15).alias("cell"), F.col("place").bitwiseAND(F.lit((1 << 15) - 1).cast("long")).alias("at"))
         cells = cells.groupBy("cell").agg(F.bitmap_construct_agg("at").alias("part"))
         self.table = np.zeros(self.bits >> 3, np.uint8)
         for r in cells.collect():  # FILTER_BITS bound it
             self.table[r["cell"] << 12 : (r["cell"] + 1) << 12] = np.frombuffer(r["part"], np.uint8)
 
-    def __call__(self, grams: np.ndarray) -> np.ndarray:
-        at = grams & (self.bits - 1)
+    def _set(self, places: np.ndarray) -> np.ndarray:
+        at = places & (self.bits - 1)
         return (self.table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
+    def __call__(self, grams: np.ndarray) -> np.ndarray:
+        out = self._set(grams)
+        hit = np.flatnonzero(out)
+        out[hit] = self._set(grams[hit] >> 32)
+        return out
+
 
 def _count(s: Settings, shared):
     """Rows (gram, documents of the task that hold it), and (null, documents)."""
