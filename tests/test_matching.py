@@ -5,7 +5,9 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from scholarium.operators.matching import fuzzy_match
+from pyspark.sql import functions as F
+
+from scholarium.operators.matching import _by_prefix, candidates, fuzzy_match
 
 
 def distance(a: str, b: str) -> int:
@@ -52,3 +54,38 @@ def test_against_all_pairs(spark, most, least, letters, longest):
 def test_empty_sides(spark):
     a, b = spark.createDataFrame([(1, "x")], "i long, a string"), spark.createDataFrame([], "j long, b string")
     assert fuzzy_match(a, b, "i", "a", "j", "b").count() == 0 and fuzzy_match(b, a, "j", "b", "i", "a").count() == 0
+
+
+@pytest.mark.parametrize(("most", "least", "letters"), [(5, 0.8, "01"), (5, 0.5, "012"), (3, 0.25, "01")])
+def test_pieces_that_very_many_names_share(spark, most, least, letters):
+    """With at most four names compared one by one, nearly all pairs come from the search by prefixes."""
+    r = np.random.default_rng(most + len(letters))
+    word = lambda n: "".join(r.choice(list(letters), n))
+    right = [(k, "school#00" + word(r.integers(1, 7)) + "x" * int(r.integers(0, 3))) for k in range(150)]
+    left = []
+    for k in range(150):
+        name = list(right[r.integers(150)][1])
+        for _ in range(r.integers(0, 7)):
+            at, what = r.integers(0, len(name) + 1), r.integers(3)
+            name[at : at + (what > 0)] = [str(r.choice(list(letters + "S")))] * int(what < 2)
+        left.append((k, "".join(name)))
+    a, b = spark.createDataFrame(left, "i long, a string"), spark.createDataFrame(right, "j long, b string")
+    got = fuzzy_match(a, b, "i", "a", "j", "b", most, least, most_sharing=4).collect()
+    assert sorted((x["i"], x["j"], x["distance"]) for x in got) == all_pairs(left, right, most, least)
+
+
+def test_nearest_counts_though_a_longer_one_is_similar(spark):
+    """At distance 4 no length is similar enough, at 5 one is; the name at distance 4 is the nearest."""
+    a = spark.createDataFrame([(1, "abcdefghijklmno")], "i long, a string")
+    b = spark.createDataFrame([(1, "abcdefghijkWXYZ"), (2, "abcdefghijklmno12345")], "j long, b string")
+    assert fuzzy_match(a, b, "i", "a", "j", "b", 5, 0.75).count() == 0
+
+
+def test_no_pairs_of_all_for_numbered_names(spark):
+    """Names that differ in their last digits: pairs compared grow with the names, not with their square."""
+    name = F.format_string("SUPPLIER#%09d", "id")
+    right = spark.range(4000).select(name.alias("_r"), F.col("id").alias("_key"))
+    left = spark.range(0, 4000, 8).select(F.concat(F.lit("QQQ"), name, F.lit("W")).alias("_l"), F.lit(18).alias("_n"))
+    shared = right.select("_r", "_key", F.length("_r").alias("_n"), F.lit("").alias("_class"))
+    assert candidates(left, right, 4).count() == 500
+    assert _by_prefix(left.withColumn("_class", F.lit("")), shared, 4).count() <= 500 * 400
