@@ -14,8 +14,9 @@ against a pivot; what is linked falls into one component; large buckets that
 still hold several components test other pivots.  What is then left of a bucket
 is compared inside tasks, in cells of bounded size, by signatures of two to four
 bits a shingle, which tell a lower bound of how many shingles two sets do not
-share; only pairs that may still link, and whose ends lie in different
-components, leave the task and are tested on their texts.
+share.  Members with a pair that may still link, and whose ends lie in different
+components, get their texts and meet in their cell again; links that join two
+components leave it, so no step has a row for each pair.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ PIVOT_ROUNDS, PIVOT_FROM = 4, 9
 #: Comparisons a bucket member that the closing step may take; while there are more, pivots go on.
 CLOSING_COST = 1000
 #: Members of a bucket that meet each other in one cell of the closing step.
-CELL = 2048
+CELL = 1024
 #: Keys of a node, the least ones, that a cell looks at to tell whether another cell has the same pair.
 FIRST_KEYS = 64
 #: Lists longer than this have a shingle that no single task saw often; it then counts as frequent too.
@@ -279,9 +280,11 @@ def close_pairs(a: dict, b: dict, percent: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def _close(percent: int):
-    """Over rows sorted by cell (key, i, j): pairs of members of side 0 with those of side 1, or with each other where there is no side 1.
+    """Over rows sorted by cell (key, i, j): the members that may link to one of another component.
 
-    A pair that stands in several buckets leaves that of the least key, as far as FIRST_KEYS tell.
+    Members of side 0 meet those of side 1, or each other where there is no side
+    1.  A pair that stands in several buckets counts in that of the least key, as
+    far as FIRST_KEYS tell.
     """
     columns = ["node", "size", "comp", "side"]
 
@@ -293,7 +296,7 @@ def _close(percent: int):
         for w in np.unique(words).tolist():
             own = np.flatnonzero(words == w)
             sigs[w] = own, np.frombuffer(b"".join(sig[i] for i in own.tolist()), np.uint64).reshape(len(own), w)
-        return {c: t.column(c).to_numpy()[at] for c in columns} | {"sigs": sigs, "keys": t.column("keys").take(pa.array(at)).to_pylist()}
+        return {c: t.column(c).to_numpy()[at] for c in columns} | {"at": at, "sigs": sigs, "keys": t.column("keys").take(pa.array(at)).to_pylist()}
 
     def solve(held):
         t = pa.concat_tables(held).combine_chunks()
@@ -302,33 +305,87 @@ def _close(percent: int):
         a = side(t, ~second)
         b = side(t, second) if second.any() else a
         i, k = close_pairs(a, b, percent)
-        # the bucket of the least key that two members share sends them out
+        # two members count in the bucket of the least key that they share
         before = [frozenset(z for z in keys if z < key) for keys in a["keys"]]
         after = before if a is b else [frozenset(z for z in keys if z < key) for keys in b["keys"]]
         new = np.fromiter((before[p].isdisjoint(after[q]) for p, q in zip(i.tolist(), k.tolist(), strict=True)), bool, len(i))
-        if a is b:
-            new &= i < k
-        x, y = a["node"][i[new]], b["node"][k[new]]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["x", "y"])
+        at = np.concatenate([a["at"][i[new]], b["at"][k[new]]])
+        return t.select(["key", "i", "j", "side", "node", "comp"]).take(pa.array(np.unique(at))).to_batches()
 
     def run(batches):
-        held, cell = [], None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            t = pa.table(batch)
-            ids = [t.column(c).to_numpy() for c in ("key", "i", "j")]
-            change = np.flatnonzero(np.any([v[1:] != v[:-1] for v in ids], axis=0)) + 1
-            edges = [0, *change.tolist(), t.num_rows]
-            for begin, end in zip(edges, edges[1:], strict=False):
-                own = tuple(int(v[begin]) for v in ids)
-                if held and own != cell:
-                    yield solve(held)
-                    held = []
-                cell = own
-                held.append(t.slice(begin, end - begin))
-        if held:
-            yield solve(held)
+        for cell in _cells(batches):
+            yield from solve(cell)
+
+    return run
+
+
+def _cells(batches, prepare=pa.table):
+    """Lists of tables, a list for each cell (key, i, j) of rows sorted by it."""
+    held, cell = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = prepare(batch)
+        ids = [t.column(c).to_numpy() for c in ("key", "i", "j")]
+        change = np.flatnonzero(np.any([v[1:] != v[:-1] for v in ids], axis=0)) + 1
+        edges = [0, *change.tolist(), t.num_rows]
+        for begin, end in zip(edges, edges[1:], strict=False):
+            own = tuple(int(v[begin]) for v in ids)
+            if held and own != cell:
+                yield held
+                held = []
+            cell = own
+            held.append(t.slice(begin, end - begin))
+    if held:
+        yield held
+
+
+def _join_components(width: int, percent: int):
+    """Over rows sorted by cell, with texts: links (a, b) of nodes, enough of them to join what links in the cell join."""
+
+    def with_sets(batch: pa.RecordBatch) -> pa.Table:
+        # a cell holds sets, not texts
+        sets = [shingle_set(x, width) for x in batch.column("text").to_pylist()]
+        return pa.table(batch).drop_columns(["text"]).append_column("set", pa.array([x.tobytes() for x in sets], pa.large_binary()))
+
+    def side(t: pa.Table, which: np.ndarray) -> dict:
+        at = np.flatnonzero(which)
+        sets = [np.frombuffer(t.column("set")[i].as_py(), np.uint64) for i in at.tolist()]
+        sig = [signature(x) for x in sets]
+        words = np.array([len(x) >> 3 for x in sig], np.int64)
+        sigs = {}
+        for w in np.unique(words).tolist():
+            own = np.flatnonzero(words == w)
+            sigs[w] = own, np.frombuffer(b"".join(sig[i] for i in own.tolist()), np.uint64).reshape(len(own), w)
+        size = np.array([len(x) for x in sets], np.int64)
+        return {"node": t.column("node").to_numpy()[at], "comp": t.column("comp").to_numpy()[at], "size": size, "sets": sets, "sigs": sigs}
+
+    def run(batches):
+        for held in _cells(batches, with_sets):
+            t = pa.concat_tables(held)
+            second = t.column("side").to_numpy() == 1
+            a = side(t, ~second)
+            b = side(t, second) if second.any() else a
+            parent: dict[int, int] = {}
+
+            def top(c: int) -> int:
+                while (up := parent.get(c, c)) != c:
+                    parent[c] = c = parent.get(up, up)  # noqa: B023
+                return c
+
+            links = []
+            for i, k in zip(*(x.tolist() for x in close_pairs(a, b, percent)), strict=True):
+                if a is b and i >= k:
+                    continue
+                one, other = top(int(a["comp"][i])), top(int(b["comp"][k]))
+                if one == other:
+                    continue
+                p, q = a["sets"][i], b["sets"][k]
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                if 100 * both >= percent * (len(p) + len(q) - both):
+                    parent[max(one, other)] = min(one, other)
+                    links.append((int(a["node"][i]), int(b["node"][k])))
+            yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in links], pa.int64()), pa.array([max(x) for x in links], pa.int64())], ["a", "b"])
 
     return run
 
@@ -410,6 +467,7 @@ def _link(docs: DataFrame, rows: DataFrame, signatures: DataFrame, lists: DataFr
     """(node, comp) of nodes with a link."""
     from pyspark.sql import Window
 
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     twos = lists.where("other is not null").select(F.col("node").alias("x"), F.col("other").alias("y")).distinct()
     groups = lists.where("other is null").select("key", "node", "size")
     # Buckets with the same members test the same pairs: one of them stays.
@@ -423,6 +481,12 @@ def _link(docs: DataFrame, rows: DataFrame, signatures: DataFrame, lists: DataFr
     signatures = materialize(signatures.join(needed, "node", "left_semi").groupBy("node").agg(F.max("size").alias("size"), F.max("sig").alias("sig")), "signatures")
     fits = lambda a, b: F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
 
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        own = materialize(nodes.distinct().join(keys, "node"), "own")
+        # repeated rows share a key; any of them has the node's text
+        texts = _likely(docs.select(row_key("doc_id", "text").alias("key"), text_bytes().alias("text")), own).join(own, "key").select("node", "text")
+        return materialize(texts.dropDuplicates(["node"]), "texts")
+
     def test(pairs: DataFrame, tested: DataFrame | None = None) -> DataFrame:
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if tested is not None:
@@ -431,10 +495,7 @@ def _link(docs: DataFrame, rows: DataFrame, signatures: DataFrame, lists: DataFr
         side = lambda s: signatures.select(F.col("node").alias(s), F.col("size").alias(f"n{s}"), F.col("sig").alias(f"p{s}"))
         close = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "pa", "na", "pb", "nb").mapInArrow(task(_may_link(percent)), "a long, b long")
         close = materialize(close, "close")
-        own = materialize(close.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(keys, "node"), "own")
-        # repeated rows share a key; any of them has the node's text
-        texts = _likely(docs.select(row_key("doc_id", "text").alias("key"), text_bytes().alias("text")), own).join(own, "key").select("node", "text")
-        texts = materialize(texts, "texts")
+        texts = texts_of(close.select(F.explode(F.array("a", "b")).alias("node")))
         tb = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
         ta = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
         linked = close.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInArrow(task(_test(width, percent)), "a long, b long, linked boolean")
@@ -468,14 +529,16 @@ def _link(docs: DataFrame, rows: DataFrame, signatures: DataFrame, lists: DataFr
             break
         components = connected_components(tested.where("linked").select("a", "b"))
 
-    new = test(_apart(groups, signatures, percent), tested)
-    if new.where("linked").isEmpty():
+    apart = materialize(_apart(groups, signatures, percent), "apart")
+    cells = apart.join(texts_of(apart.select("node")), "node").repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    new = materialize(cells.mapInArrow(task(_join_components(width, percent)), "a long, b long"), "joined")
+    if new.isEmpty():
         return components
-    return connected_components(tested.union(new).where("linked").select("a", "b"))
+    return connected_components(tested.where("linked").select("a", "b").union(new))
 
 
 def _apart(groups: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) of bucket members in different components that may link.
+    """Members of buckets that may link to one of another component, by the cell where they meet: key, i, j, side, node, comp.
 
     One end of such a pair lies outside the bucket's largest component.  Both
     parts of a bucket are dealt into chunks of about CELL members, and each cell
@@ -497,7 +560,7 @@ def _apart(groups: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
     rows = rows.join(signatures.select("node", "sig").join(first_keys, "node"), "node").select("key", "i", "j", "side", "node", "size", "comp", "sig", "keys")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(task(_close(percent)), "x long, y long")
+    return dealt.mapInArrow(task(_close(percent)), "key long, i int, j int, side int, node long, comp long")
 
 
 def drop_similar(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:

@@ -421,3 +421,21 @@ def test_pipeline_stages_on_odd_tables(spark, odd, empty):
             assert out.count() >= least, name
             if name != "packing":
                 assert out.columns == corpus_pipeline.COLUMNS
+
+
+def test_a_cell_sends_out_members_not_pairs():
+    """Sets that may all link to each other and lie apart: a row for each member, and links that join them once."""
+    import pyarrow as pa
+
+    n = 200
+    texts = [b" ".join(b"w%d" % k for k in range(120)) + b" x%d" % i for i in range(n)]
+    sig = [jaccard_join.signature(jaccard_join.shingle_set(x, 5)) for x in texts]
+    size = [len(jaccard_join.shingle_set(x, 5)) for x in texts]
+    zero, ids = pa.array([0] * n, pa.int32()), pa.array(range(n), pa.int64())
+    rows = {"key": pa.array([7] * n, pa.int64()), "i": zero, "j": zero, "side": zero, "node": ids, "size": pa.array(size, pa.int64()), "comp": ids, "sig": sig, "keys": pa.array([[7]] * n)}
+    batch = pa.RecordBatch.from_pydict(rows)
+    out = [x for b in jaccard_join._close(75)([batch]) for x in b.column("node").to_pylist()]
+    assert sorted(out) == list(range(n))
+    cell = pa.RecordBatch.from_pydict({c: rows[c] for c in ("key", "i", "j", "side", "node", "comp")} | {"text": texts})
+    links = [x for b in jaccard_join._join_components(5, 75)([cell.slice(0, 50), cell.slice(50)]) for x in b.to_pylist()]
+    assert len(links) == n - 1 and {x for r in links for x in (r["a"], r["b"])} == set(range(n))
