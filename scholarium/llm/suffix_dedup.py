@@ -40,6 +40,8 @@ MOST_READS = 4096
 BLOCK_READS = 8192
 #: Windows of hot anchors that a task compares with each other before the shuffle.
 BLOCK_WINDOWS = 500_000
+#: Neighbouring windows of a hot anchor that are dealt to the same task.
+TOGETHER = 32
 #: Times an anchor stands in a batch from which on its rows are known to repeat and are dealt at random.
 HOT_IN_BATCH = 64
 #: Bytes of a text that are hashed at a time.
@@ -288,12 +290,13 @@ def _hot_windows(size: int, short: int, gram: int):
 
     Spark groups them.  Rows with ``end`` are spans that repeat already within
     the texts of a task's block; the others are one window of each two hashes in
-    the block.  With a column ``runs``, the starts of repeated strings of
+    the block.  ``deal`` is the same for equal windows, and for neighbours but
+    for one in TOGETHER, so that runs of them meet in a task.  With a column ``runs``, the starts of repeated strings of
     ``short`` bytes, only windows are taken whose every such string repeats: no
     other can repeat as a whole.
     """
     w = short - gram + 1
-    names = ["w", "w2", "t", "start", "end", "size"]
+    names = ["w", "w2", "t", "start", "end", "size", "deal"]
 
     def blocks(batches):
         """Windows of whole texts, each text once in a block: t, start and two hashes of each."""
@@ -311,13 +314,16 @@ def _hot_windows(size: int, short: int, gram: int):
                     if open_ is not None and not ((open_[:, 0] < begin + CHUNK) & (open_[:, 1] - (size - short) >= begin)).any():
                         continue
                     part = raw[begin : begin + CHUNK + size - 1]
-                    on = np.flatnonzero(np.isin(_sliding(grams(part, gram), w, True)[:CHUNK], hot))
+                    own = grams(part, gram)
+                    low = _sliding(own, w, True)
+                    on = np.flatnonzero(np.isin(low[:CHUNK], hot))
                     on = on[on <= len(part) - size]
                     if open_ is not None:
                         run = np.searchsorted(open_[:, 0], on + begin, side="right") - 1
                         on = on[(run >= 0) & (on + begin + size - short <= open_[run, 1])]
                     if len(on):
-                        held.append((np.full(len(on), t, np.int64), on + begin, grams(part, size)[on], grams(part, size, 1000)[on]))
+                        deal = low[on] + (_first_place(own, low[on], on) - on).astype(np.uint64) // np.uint64(TOGETHER) * _BASE
+                        held.append((np.full(len(on), t, np.int64), on + begin, grams(part, size)[on], grams(part, size, 1000)[on], deal.view(np.int64)))
                         n += len(on)
                 if n >= BLOCK_WINDOWS:
                     yield [np.concatenate(x) for x in zip(*held, strict=True)]
@@ -326,7 +332,7 @@ def _hot_windows(size: int, short: int, gram: int):
             yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
     def run(batches):
-        for t, start, one, two in blocks(batches):
+        for t, start, one, two, deal in blocks(batches):
             order = np.lexsort((two, one))
             same = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
             again = np.zeros(len(t), bool)
@@ -339,8 +345,8 @@ def _hot_windows(size: int, short: int, gram: int):
             begin = on[fresh]
             last = on[np.append(fresh[1:], True)] if len(on) else on
             nothing, sizes = pa.nulls(len(first), pa.int64()), np.full(max(len(first), len(begin)), size, np.int32)
-            yield from pa.table([pa.array(one[first].view(np.int64)), pa.array(two[first].view(np.int64)), pa.array(t[first]), pa.array(start[first]), nothing, pa.array(sizes[: len(first)])], names).to_batches(max_chunksize=200_000)
-            yield pa.RecordBatch.from_arrays([pa.array(t[begin] ^ start[begin]), pa.array(np.zeros(len(begin), np.int64)), pa.array(t[begin]), pa.array(start[begin]), pa.array(start[last] + size), pa.array(sizes[: len(begin)])], names)
+            yield from pa.table([pa.array(one[first].view(np.int64)), pa.array(two[first].view(np.int64)), pa.array(t[first]), pa.array(start[first]), nothing, pa.array(sizes[: len(first)]), pa.array(deal[first])], names).to_batches(max_chunksize=200_000)
+            yield pa.RecordBatch.from_arrays([pa.array(t[begin] ^ start[begin]), pa.array(np.zeros(len(begin), np.int64)), pa.array(t[begin]), pa.array(start[begin]), pa.array(start[last] + size), pa.array(sizes[: len(begin)]), pa.array(t[begin] ^ start[begin])], names)
 
     return run
 
@@ -357,16 +363,42 @@ def _hot_spans():
                 ready.append(batch.filter(batch.column("end").is_valid()).select(["t", "start", "end", "size"]))
                 yield batch.filter(own).select(["size", "w", "w2", "t", "start"])
 
+        held, n = [], 0
         for batch in repeated_groups(("w", "w2", "size"), ("t", "start"))(windows()):
             yield from ready
             ready.clear()
-            start, size = batch.column("start").to_numpy(), batch.column("size")
-            yield pa.RecordBatch.from_arrays([batch.column("t"), batch.column("start"), pa.array(start + size.to_numpy()), size], ["t", "start", "end", "size"])
+            held.append(tuple(batch.column(c).to_numpy() for c in ("size", "t", "start")))
+            n += batch.num_rows
+            if n >= BLOCK_WINDOWS:
+                yield _runs(held)
+                held, n = [], 0
         yield from ready
+        if held:
+            yield _runs(held)
 
     return run
 
 
+def _first_place(values: np.ndarray, wanted: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where each wanted value stands first in ``values`` from ``at`` on; it must stand there."""
+    known, group = np.unique(values, return_inverse=True)
+    n = len(values)
+    places = np.sort(group.astype(np.int64) * n + np.arange(n))
+    return places[np.searchsorted(places, np.searchsorted(known, wanted) * n + at)] % n
+
+
+def _runs(windows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """Windows (size, t, start) as spans; neighbouring starts of a text are one span."""
+    size, t, start = (np.concatenate(x) for x in zip(*windows, strict=True))
+    order = np.lexsort((start, t, size))
+    size, t, start = size[order], t[order], start[order]
+    fresh = np.ones(len(t), bool)
+    fresh[1:] = (size[1:] != size[:-1]) | (t[1:] != t[:-1]) | (start[1:] > start[:-1] + 1)
+    last = np.append(fresh[1:], True)
+    columns = [t[fresh], start[fresh], start[last] + size[last], size[fresh].astype(np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["t", "start", "end", "size"])
+
+
 def _places(found: DataFrame, many: DataFrame) -> DataFrame:
     """Anchors by text: ``few`` and ``hot``, those with very many reads."""
     marked = found.join(many.withColumn("is_hot", F.lit(True)), "anchor", "left")
@@ -381,8 +413,8 @@ def _with_places(texts: DataFrame, places: DataFrame, kind: str) -> DataFrame:
 
 def _hot_repeats(texts: DataFrame, size: int, short: int, gram: int, parts: int) -> DataFrame:
     """Spans of repeated strings of ``size`` bytes at the very common anchors of ``texts``."""
-    hot = texts.mapInArrow(_hot_windows(size, short, gram), "w long, w2 long, t long, start long, end long, size int")
-    hot = hot.repartition(parts, "w").sortWithinPartitions("w", "w2", "size", "t", "start")
+    hot = texts.mapInArrow(_hot_windows(size, short, gram), "w long, w2 long, t long, start long, end long, size int, deal long")
+    hot = hot.repartition(parts, "deal").sortWithinPartitions("w", "w2", "size", "t", "start")
     return hot.mapInArrow(_hot_spans(), "t long, start long, end long, size int")
 
 

@@ -439,3 +439,24 @@ def test_a_cell_sends_out_members_not_pairs():
     cell = pa.RecordBatch.from_pydict({c: rows[c] for c in ("key", "i", "j", "side", "node", "comp")} | {"text": texts})
     links = [x for b in jaccard_join._join_components(5, 75)([cell.slice(0, 50), cell.slice(50)]) for x in b.to_pylist()]
     assert len(links) == n - 1 and {x for r in links for x in (r["a"], r["b"])} == set(range(n))
+
+
+def test_neighbouring_windows_are_dealt_together():
+    """A passage that stands in many blocks gives a few spans for each text and task, not one for each window."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(3)
+    passage = bytes(r.integers(97, 123, 300).astype(np.uint8))
+    texts = [bytes(r.integers(97, 123, 49 + k).astype(np.uint8)) + bytes([k]) + passage for k in range(20)]  # another byte before each
+    hot = np.unique(np.concatenate([suffix_dedup.anchors(np.frombuffer(x, np.uint8), suffix_dedup.Grams(), 200, 32)[1] for x in texts])).view(np.int64)
+    places = [[{"anchor": int(a), "pos": 0} for a in hot]]
+    found = [b for k, x in enumerate(texts) for b in suffix_dedup._hot_windows(200, 200, 32)([pa.RecordBatch.from_pydict({"t": [k], "bytes": [x], "places": places})])]
+    rows = pa.Table.from_batches([b for b in found if b.num_rows])
+    spans = []
+    for deal in rows.column("deal").unique().to_pylist():
+        own = rows.filter(pa.compute.equal(rows.column("deal"), deal)).sort_by([(c, "ascending") for c in ("w", "w2", "size", "t", "start")])
+        spans += [s for b in suffix_dedup._hot_spans()(own.to_batches()) for s in b.to_pylist()]
+    assert len(spans) <= 20 * 8  # of 101 windows a text
+    for k in range(20):
+        own = [s for s in spans if s["t"] == k]
+        assert suffix_dedup.runs_of(350 + k, 1, own, 200) == [(50 + k, 350 + k)]
