@@ -15,6 +15,7 @@ goes on to the longer prefixes of those only that it can still reach.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,19 +29,23 @@ from scholarium.operators.shared import cut_lineage
 MOST_SHARING = 1000
 #: Prefixes of a name, of growing length, that the search by prefixes goes through; the last one is the name.
 STEPS = 9
+#: Left names of a task in the search by prefixes.  Their rows are few bytes and much work, so Spark, which
+#: sizes tasks by bytes, would leave all of them to one.
+NAMES_A_TASK = 400
 
 
 def normal(name: str) -> Column:
     return F.upper(F.trim(F.col(name)))
 
 
-def candidates(left: DataFrame, right: DataFrame, d: int, most_sharing: int = MOST_SHARING) -> DataFrame:
+def candidates(left: DataFrame, right: DataFrame, d: int, most_sharing: int = MOST_SHARING, tasks: int = 1) -> DataFrame:
     """(_l, _r, _key): pairs of a left and a right name at distance ``d`` exactly, some repeated; d = 0 is equality.
 
     ``left`` has rows (_l, _n), a left name and a length of right names that it
     is compared with.  A right name of ``d`` characters or less can't be cut into
     d + 1 pieces; it pairs by length alone.  ``fuzzy_match`` has such pairs only
-    where it takes similarities under three quarters.
+    where it takes similarities under three quarters.  ``tasks`` share the search
+    by prefixes.
     """
     if d == 0:
         return left.select("_l").distinct().join(right, F.col("_l") == F.col("_r"))
@@ -70,7 +75,7 @@ def candidates(left: DataFrame, right: DataFrame, d: int, most_sharing: int = MO
         of = cut.join(shared, piece).groupBy("_r", "_key", "_n").agg(F.sort_array(F.collect_list(F.struct("_i", "_piece"))).alias("_pieces"))
         of = cut_lineage(of.select("_r", "_key", "_n", F.sha2(F.to_json("_pieces"), 256).alias("_class"), "_pieces"))
         classes = of.groupBy("_n", "_class").agg(F.first("_pieces").alias("_pieces")).select("_n", "_class", F.explode("_pieces").alias("_x"))
-        starts = probes.join(classes.select("_n", "_class", "_x.*"), piece).select("_l", "_n", "_class").distinct()
+        starts = probes.join(classes.select("_n", "_class", "_x.*"), piece).select("_l", "_n", "_class").repartition(tasks, "_l").distinct()
         near = near.unionAll(_by_prefix(starts, of.drop("_pieces"), d))
         cut = cut.join(shared, piece, "left_anti")
     # a pair that meets in several pieces is compared as often, which costs less than another shuffle
@@ -147,7 +152,7 @@ def fuzzy_match(left: DataFrame, right: DataFrame, lkey: str, lname: str, rkey:
             break
         near = F.broadcast(reach.where((F.col("_upto") >= d) & (F.abs(F.col("_m") - F.col("_n")) <= d)))
         rest = names.join(matched.select("_l"), "_l", "left_anti").withColumn("_m", F.length("_l")).join(near, "_m").select("_l", "_n")
-        best = candidates(rest, known, d, most_sharing).groupBy("_l").agg(F.min("_key").alias("_key")).withColumn("distance", F.lit(d).cast("long"))
+        best = candidates(rest, known, d, most_sharing, math.ceil(waiting / NAMES_A_TASK)).groupBy("_l").agg(F.min("_key").alias("_key")).withColumn("distance", F.lit(d).cast("long"))
         best = cut_lineage(best)
         waiting -= best.count()
         matched = matched.unionAll(best)

@@ -89,3 +89,12 @@ def test_no_pairs_of_all_for_numbered_names(spark):
     shared = right.select("_r", "_key", F.length("_r").alias("_n"), F.lit("").alias("_class"))
     assert candidates(left, right, 4).count() == 500
     assert _by_prefix(left.withColumn("_class", F.lit("")), shared, 4).count() <= 500 * 400
+
+
+def test_search_by_prefixes_is_dealt_over_tasks(spark):
+    """Few bytes and much work: Spark alone would leave all names to one task."""
+    name = F.format_string("SUPPLIER#%09d", "id")
+    right = spark.range(2000).select(name.alias("_r"), F.col("id").alias("_key"))
+    left = spark.range(0, 2000, 8).select(F.concat(F.lit("QQQ"), name, F.lit("W")).alias("_l"), F.lit(18).alias("_n"))
+    got = candidates(left, right, 4, tasks=8).select("_l", F.spark_partition_id().alias("task")).collect()
+    assert len({x["_l"] for x in got}) == 250 and len({x["task"] for x in got}) > 4
