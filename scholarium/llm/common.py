@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +41,8 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def trim() -> None:
-    """Give freed memory back to the system."""
+    """Give freed memory back to the system.  Arrow's pool keeps its own, whatever malloc gives back."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # not glibc

@@ -12,9 +12,11 @@ corpus, so a block stays small at any size.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ WINDOW = 1024
 END_ID = 0
 #: UTF-8 bytes of text that a block should hold.
 BLOCK_BYTES = 16 << 20
+#: Bytes of ids that a batch of packed pieces holds at most.
+OUT_BYTES = 4 << 20
 
 
 class RoomTree:
@@ -137,17 +141,21 @@ def pack(docs: DataFrame, ranks_path: str | None = None, window: int = WINDOW, b
     blocks = block_count(docs, block_bytes)
     names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "padded", "ids"]
 
-    def block(table: pa.Table) -> pa.Table:
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
         # Order by content, so that a repeated task makes the same sequences.
-        table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids", "ascending")])
-        lengths = table.column("length").to_numpy()
+        order = pc.sort_indices(table, [("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids", "ascending")])
+        lengths = table.column("length").take(order).to_numpy()
         sequence, offset = best_fit_decreasing(lengths, window)
         used = np.bincount(sequence, lengths).astype(np.int64)
         number = table.column("block")[0].as_py()
-        ids = [np.frombuffer(x, np.uint32 if len(x) > 2 * n else np.uint16).astype("<u4").tobytes() for x, n in zip(table.column("ids").to_pylist(), lengths, strict=True)]
         padded = np.array([padded_length(int(u), window) for u in used], np.int64)[sequence]
-        columns = [*(table.column(c) for c in names[:4]), sequence * blocks + number, offset, padded, pa.array(ids, pa.binary())]
-        return pa.table(dict(zip(names, columns, strict=True)))
+        step = max(1, OUT_BYTES // (4 * window))
+        for at in range(0, len(lengths), step):  # the block is held once; what goes out is made part by part
+            part, own = table.take(order.slice(at, step)), slice(at, at + step)
+            ids = [np.frombuffer(x, np.uint32 if len(x) > 2 * n else np.uint16).astype("<u4").tobytes() for x, n in zip(part.column("ids").to_pylist(), lengths[own], strict=True)]
+            columns = [*(part.column(c) for c in names[:4]), sequence[own] * blocks + number, offset[own], padded[own], pa.array(ids, pa.binary())]
+            yield from pa.table(dict(zip(names, columns, strict=True))).to_batches()
 
     schema = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, padded long, ids binary"
-    return pieces(docs, blocks, ranks_path, window).groupBy("block").applyInArrow(block, schema)
+    return pieces(docs, blocks, ranks_path, window).groupBy("block").applyInArrow(task(block), schema)

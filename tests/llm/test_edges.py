@@ -460,3 +460,13 @@ def test_neighbouring_windows_are_dealt_together():
     for k in range(20):
         own = [s for s in spans if s["t"] == k]
         assert suffix_dedup.runs_of(350 + k, 1, own, 200) == [(50 + k, 350 + k)]
+
+
+def test_packed_blocks_leave_in_small_batches(spark, monkeypatch):
+    """One block of many pieces goes out in several batches, with the rows it always had."""
+    docs = spark.createDataFrame([(i, "word " * (i % 400)) for i in range(300)], "doc_id long, text string").coalesce(1)
+    whole = {tuple(r) for r in packing.pack(docs).collect()}
+    monkeypatch.setattr(packing, "OUT_BYTES", 4 * packing.WINDOW * 16)
+    assert {tuple(r) for r in packing.pack(docs).collect()} == whole and len(whole) >= 300
+    block = packing.pack(docs)
+    assert block.count() == len(whole)
