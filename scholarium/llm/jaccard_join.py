@@ -14,8 +14,9 @@ against a pivot; what is linked falls into one component; large buckets that
 still hold several components test other pivots.  What is then left of a bucket
 is compared inside tasks, in cells of bounded size, by signatures of two to four
 bits a shingle, which tell a lower bound of how many shingles two sets do not
-share.  Members with a pair that may still link, and whose ends lie in different
-components, get their texts and meet in their cell again; links that join two
+share.  Alike buckets become one there, so that a document's signature is not sent
+once for each shingle of a passage.  Members with a pair that may still link,
+and whose ends lie in different components, get their texts and meet in their cell again; links that join two
 components leave it, so no step has a row for each pair.
 """
 
@@ -513,10 +514,7 @@ def _link(docs: DataFrame, rows: DataFrame, signatures: DataFrame, lists: DataFr
     for turn in range(1, PIVOT_ROUNDS + 1):
         # Buckets whose members are not yet all in one component.
         groups = groups.drop("comp").join(components, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        shares = groups.groupBy("key", "comp").agg(F.count("node").alias("c"))
-        mixed = shares.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("members"), F.count("comp").alias("comps"))
-        mixed = mixed.where("comps > 1").select("key", F.col("m.comp").alias("main"), (F.col("members") - F.col("m.c")).alias("few"), F.col("m.c").alias("in_main"))
-        mixed = materialize(mixed, "mixed")
+        mixed = materialize(_mixed(groups), "mixed")
         groups = materialize(groups.select("key", "node", "size", "n", "comp").join(mixed, "key"), "groups")
         work = mixed.agg(F.sum(F.col("few") * (F.col("few") + F.col("in_main"))).alias("work"), F.sum(F.col("few") + F.col("in_main")).alias("members")).first()
         large = groups.where(F.col("n") >= PIVOT_FROM)
@@ -529,7 +527,7 @@ def _link(docs: DataFrame, rows: DataFrame, signatures: DataFrame, lists: DataFr
             break
         components = connected_components(tested.where("linked").select("a", "b"))
 
-    apart = materialize(_apart(groups, signatures, percent), "apart")
+    apart = materialize(_apart(_merged(groups, mixed), signatures, percent), "apart")
     cells = apart.join(texts_of(apart.select("node")), "node").repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
     new = materialize(cells.mapInArrow(task(_join_components(width, percent)), "a long, b long"), "joined")
     if new.isEmpty():
@@ -537,12 +535,38 @@ def _link(docs: DataFrame, rows: DataFrame, signatures: DataFrame, lists: DataFr
     return connected_components(tested.where("linked").select("a", "b").union(new))
 
 
+def _mixed(groups: DataFrame) -> DataFrame:
+    """Buckets with members in several components: the largest component, the members outside and inside it, the least hash of a member."""
+    shares = groups.groupBy("key", "comp").agg(F.count("node").alias("c"), F.min(F.xxhash64("node")).alias("least"))
+    mixed = shares.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("members"), F.count("comp").alias("comps"), F.min("least").alias("least"))
+    return mixed.where("comps > 1").select("key", F.col("m.comp").alias("main"), (F.col("members") - F.col("m.c")).alias("few"), F.col("m.c").alias("in_main"), "least")
+
+
+def _merged(groups: DataFrame, mixed: DataFrame) -> DataFrame:
+    """``groups`` (joined with ``mixed``) with alike buckets made one: each pair that meets in a bucket meets in what it became.
+
+    Documents that share a passage meet in a bucket for each of its shingles, and
+    each bucket's rows carry signatures.  Buckets that agree in the least hash of
+    a member, as alike ones mostly do, become one where its members squared are
+    no more than those of the single buckets summed, so that merging never adds
+    comparisons.
+    """
+    square = lambda c: c.cast("double") * c.cast("double")
+    sizes = groups.select("least", "node").distinct().groupBy("least").agg(F.count("node").alias("n"))
+    single = mixed.groupBy("least").agg(F.sum(square(F.col("few") + F.col("in_main"))).alias("cost"), F.count("key").alias("buckets"))
+    alike = materialize(sizes.join(single, "least").where((F.col("buckets") > 1) & (square(F.col("n")) <= F.col("cost"))).select("least", F.col("least").alias("one")), "alike")
+    rows = groups.select("key", "node", "size", "comp", "least").join(alike, "least", "left").select(F.coalesce("one", "key").alias("key"), "node", "size", "comp").distinct()
+    rows = materialize(rows, "merged")
+    return rows.join(_mixed(rows), "key")
+
+
 def _apart(groups: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
     """Members of buckets that may link to one of another component, by the cell where they meet: key, i, j, side, node, comp.
 
     One end of such a pair lies outside the bucket's largest component.  Both
     parts of a bucket are dealt into chunks of about CELL members, and each cell
-    holds two chunks, so a bucket of any size is spread over tasks.
+    holds two chunks, so a bucket of any size is spread over tasks.  A bucket of up
+to CELL members is one cell, and each member goes there once.
     """
     spark = groups.sparkSession
     chunks = lambda c: F.ceil(F.col(c) / CELL).cast("int")
@@ -554,10 +578,13 @@ def _apart(groups: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
     among_few = F.transform(upto("gf"), lambda j: cell(F.least(F.col("r"), j), F.greatest(F.col("r"), j), F.col("r") > j))
     with_main = F.transform(upto("gm"), lambda s: cell(F.col("r"), -1 - s, F.lit(0)))
     from_main = F.transform(upto("gf"), lambda i: cell(i, -1 - F.col("r"), F.lit(1)))
-    cells = F.explode(F.when(in_few, F.concat(among_few, with_main)).otherwise(from_main)).alias("cell")
+    alone = F.array(cell(F.lit(0), F.lit(0), F.lit(0)))
+    cells = F.explode(F.when(F.col("few") + F.col("in_main") <= CELL, alone).when(in_few, F.concat(among_few, with_main)).otherwise(from_main)).alias("cell")
     rows = rows.select("key", "node", "size", "comp", cells).select("key", "cell.*", "node", F.col("size").cast("long").alias("size"), "comp")
     first_keys = groups.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("key")), 1, FIRST_KEYS).alias("keys"))
-    rows = rows.join(signatures.select("node", "sig").join(first_keys, "node"), "node").select("key", "i", "j", "side", "node", "size", "comp", "sig", "keys")
+    # a cell asks only for the keys below its own
+    below = F.filter("keys", lambda z: z < F.col("key")).alias("keys")
+    rows = rows.join(signatures.select("node", "sig").join(first_keys, "node"), "node").select("key", "i", "j", "side", "node", "size", "comp", "sig", below)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
     return dealt.mapInArrow(task(_close(percent)), "key long, i int, j int, side int, node long, comp long")

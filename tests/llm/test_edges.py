@@ -462,6 +462,23 @@ def test_neighbouring_windows_are_dealt_together():
         assert suffix_dedup.runs_of(350 + k, 1, own, 200) == [(50 + k, 350 + k)]
 
 
+def test_alike_buckets_become_one_and_keep_their_pairs(spark):
+    """Twenty buckets that each lack another of twelve members, and one that shares a member with them but no more."""
+    members = list(range(1, 13))
+    rows = [(100 + b, n) for b in range(20) for n in members if n != members[b % 12]] + [(7, n) for n in [1, *range(50, 90)]]
+    groups = spark.createDataFrame([(k, n, 10, n) for k, n in rows], "key long, node long, size int, comp long")
+    mixed = jaccard_join._mixed(groups)
+    got = jaccard_join._merged(groups.join(mixed, "key"), mixed).collect()
+    buckets, before = {}, {}
+    for x in got:
+        buckets.setdefault(x["key"], set()).add(x["node"])
+    for k, n in rows:
+        before.setdefault(k, set()).add(n)
+    assert all(any(b <= other for other in buckets.values()) for b in before.values())
+    assert len(got) < 100 < len(rows)
+    assert sum(len(b) ** 2 for b in buckets.values()) <= sum(len(b) ** 2 for b in before.values())
+
+
 def test_packed_blocks_leave_in_small_batches(spark, monkeypatch):
     """One block of many pieces goes out in several batches, with the rows it always had."""
     docs = spark.createDataFrame([(i, "word " * (i % 400)) for i in range(300)], "doc_id long, text string").coalesce(1)
@@ -470,3 +487,16 @@ def test_packed_blocks_leave_in_small_batches(spark, monkeypatch):
     assert {tuple(r) for r in packing.pack(docs).collect()} == whole and len(whole) >= 300
     block = packing.pack(docs)
     assert block.count() == len(whole)
+
+
+def test_members_of_a_small_bucket_are_dealt_once(spark, monkeypatch):
+    """A bucket that one cell holds sends each member there once, not to a cell for each of its parts."""
+    sizes = [("a", 1), ("a", 2), ("b", 3), ("c", 4)]
+    groups = spark.createDataFrame([(5, n, 4, ord(c)) for c, n in sizes], "key long, node long, size int, comp long")
+    sets = {n: np.arange(10, 14, dtype=np.uint64) for _, n in sizes}
+    signatures = spark.createDataFrame([(n, 4, jaccard_join.signature(s)) for n, s in sets.items()], "node long, size long, sig binary")
+    rows = groups.join(jaccard_join._mixed(groups), "key")
+    got = jaccard_join._apart(rows, signatures, 75).collect()
+    assert sorted(x["node"] for x in got) == [1, 2, 3, 4] and {(x["i"], x["j"], x["side"]) for x in got} == {(0, 0, 0)}
+    monkeypatch.setattr(jaccard_join, "CELL", 1)
+    assert {x["node"] for x in jaccard_join._apart(rows, signatures, 75).collect()} == {1, 2, 3, 4}
