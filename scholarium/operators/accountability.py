@@ -4,16 +4,20 @@ A domain has one row per school, year and reporting category; free-meal data
 have none per category, the directory none per year.  All of them are stacked
 and dealt once, by school.  Grouping by the full grain and spreading the coarser
 rows over their finer ones then needs no other exchange, since rows that agree
-in more columns already stand together.
+in more columns already stand together.  Domains go in a few bundles whose rows
+have the same columns, so that rows stay narrow and most of them are merged by
+hashing, before the sort.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scholarium.functions import expr as E
 
@@ -89,6 +93,57 @@ SCHOOLS = Source(_pairs("school_id school_name cde_district_name>district_name c
 AT_RISK = ("SE", "EL", "RFEP", "IFEP", "SWD", "HOM", "FOS", "MIL")
 
 
+#: Kinds of measures that a hash aggregate updates in place.
+FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+#: Measures in a bundle; a source with more is a bundle of its own.
+BUNDLE = 28
+
+
+def _bundles(sources: dict[str, Source], fixed: list[str]) -> dict[str, int]:
+    """The bundle of each source: sources of one share a row in the first aggregate.  Those with texts stand apart, since their texts are keys there."""
+    with_texts = {d: not set(s.measures) <= set(fixed) for d, s in sources.items()}
+    out, number, held, last = {}, 0, 0, False
+    for d in sorted(sources, key=with_texts.get):
+        size = len(sources[d].measures)
+        if held and (held + size > BUNDLE or with_texts[d] != last):
+            number, held = number + 1, 0
+        out[d], held, last = number, held + size, with_texts[d]
+    return out
+
+
+def _slots(sources: dict[str, Source], kinds: dict[str, T.DataType], bundles: dict[str, int]) -> dict[str, str]:
+    """The column in which each measure travels: the i-th measures of a kind in each bundle share one."""
+    order = list(dict.fromkeys(kinds.values()))
+    used: Counter = Counter()
+    out = {}
+    for d, s in sources.items():
+        for n in s.measures:
+            if n in kinds:
+                place = bundles[d], order.index(kinds[n])
+                out[n] = f"_slot_{place[1]}_{used[place]}"
+                used[place] += 1
+    return out
+
+
+def _stacked(tables: dict[str, DataFrame], sources: dict[str, Source], grain: tuple[str, ...], shared: tuple[str, ...], kinds: dict[str, T.DataType], slots: dict[str, str], bundles: dict[str, int]) -> DataFrame:
+    """The rows of all sources, each with its bundle and measures: those with a slot in it, others in a column of their own."""
+    key_kinds = {k: next(tables[d].schema[k].dataType for d, s in sources.items() if k in s.keys) for k in grain}
+    columns = {slots.get(n, n): kinds[n] for n in kinds}
+
+    def one(d: str, s: Source) -> DataFrame:
+        df = tables[d].where(F.col("aggregate_level") == s.level) if s.level else tables[d]
+        matches = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in s.keys])
+        keys = [(F.col(k) if k in s.keys else F.lit(None)).cast(key_kinds[k]).alias(k) for k in grain]
+        mine = {slots.get(n, n): F.when(matches, F.col(c)) for n, c in s.measures.items()}
+        values = [mine.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in columns.items()]
+        present = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in shared])
+        return df.where(present).select(*keys, F.lit(len(s.keys)).alias("_width"), F.lit(bundles[d]).alias("_bundle"), F.lit(s.anchors).alias("_anchor"), *values)
+
+    return reduce(DataFrame.unionAll, [one(d, s) for d, s in sources.items()])
+
+
 def merge(tables: dict[str, DataFrame], sources: dict[str, Source], grain: tuple[str, ...] = GRAIN) -> DataFrame:
     """One row for each distinct grain of the anchoring sources, with the measures of all sources that match it.
 
@@ -109,26 +164,23 @@ def merge(tables: dict[str, DataFrame], sources: dict[str, Source], grain: tuple
             raise ValueError(f"{name}: only a source of the full grain can give rows")
     shared = grain[: min(len(s.keys) for s in sources.values())]
     kinds = {n: tables[d].schema[c].dataType for d, s in sources.items() for n, c in s.measures.items()}
-    key_kinds = {k: next(tables[d].schema[k].dataType for d, s in sources.items() if k in s.keys) for k in grain}
-
-    def stacked(d: str, s: Source) -> DataFrame:
-        df = tables[d].where(F.col("aggregate_level") == s.level) if s.level else tables[d]
-        matches = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in s.keys])
-        keys = [(F.col(k) if k in s.keys else F.lit(None)).cast(key_kinds[k]).alias(k) for k in grain]
-        values = [(F.when(matches, F.col(s.measures[n])) if n in s.measures else F.lit(None)).cast(kinds[n]).alias(n) for n in names]
-        present = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in shared])
-        return df.where(present).select(*keys, F.lit(len(s.keys)).alias("_width"), F.lit(s.anchors).alias("_anchor"), *values)
-
-    rows = reduce(DataFrame.unionAll, [stacked(d, s) for d, s in sources.items()])
-    rows = rows.repartition(*shared)
-    wide = rows.groupBy(*grain, "_width").agg(F.max("_anchor").alias("_anchor"), *(F.max(n).alias(n) for n in names))
+    fixed = [n for n in names if isinstance(kinds[n], FIXED_WIDTH)]
+    texts = [n for n in names if n not in fixed]
+    bundles = _bundles(sources, fixed)
+    slots = _slots(sources, {n: kinds[n] for n in fixed}, bundles)
+    rows = _stacked(tables, sources, grain, shared, kinds, slots, bundles).repartition(*shared)
+    # Rows become one a bundle by hashing, where texts must be keys, so that few are left to sort and to spread over all measures.
+    few = rows.groupBy(*grain, "_width", "_bundle", *texts).agg(F.max("_anchor").alias("_anchor"), *(F.max(c).alias(c) for c in dict.fromkeys(slots.values())))
+    bundle = {n: bundles[d] for d, s in sources.items() for n in s.measures}
+    own = {n: F.when(F.col("_bundle") == bundle[n], F.col(slots[n])) if n in slots else F.col(n) for n in names}
+    wide = few.groupBy(*grain, "_width").agg(F.max("_anchor").alias("_anchor"), *(F.max(c).alias(n) for n, c in own.items()))
     for d, s in sources.items():  # coarser rows reach the finer rows that stand with them
         if len(s.keys) < len(grain):
             whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in s.keys])
             together = Window.partitionBy(*s.keys)
             mine = F.col("_width") == len(s.keys)
             wide = wide.withColumns({n: F.when(whole, F.max(F.when(mine, F.col(n))).over(together)) for n in s.measures})
-    return wide.where(F.col("_anchor")).drop("_width", "_anchor")
+    return wide.where(F.col("_anchor")).select(*grain, *names)
 
 
 def flags(rows: DataFrame, sources: dict[str, Source] = SOURCES, category: str = "reporting_category") -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 
 from scholarium.operators import accountability as A
 from scholarium.operators import state
+from scholarium.plans import catalog, state_catalog  # noqa: F401
 
 S = A.Source
 FULL = "cds_code string, academic_year string, reporting_category string, aggregate_level string"
@@ -39,3 +40,37 @@ def test_missing_domains_are_typed_and_empty(spark):
     raw = spark.createDataFrame([("2024-25", "S", "1", "2", "3", "SE", "*", "3")], "academic_year string, aggregate_level string, county_code string, district_code string, school_code string, reporting_category string, chronic_absenteeism_eligible_cumulative_enrollment string, chronic_absenteeism_count string")
     (got,) = A.school_accountability(staged | {"chronic_absenteeism": state.stage(raw, "chronic_absenteeism")}, schools).collect()
     assert got["is_suppressed"] and got["data_domains_present"] == 0 and not got["has_cde_data"] and got["is_atrisk_subgroup"] and got["aggregate_level_label"] == "School"
+
+
+def _final_plan(df):
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_bundles_share_columns_and_keep_the_largest_of_repeated_measures(spark):
+    def table(d, rows):
+        names = [f"{d}{i}" for i in range(20)]
+        return spark.createDataFrame([(*k, "S", *(v + i for i in range(20)), t) for *k, v, t in rows], FULL + "".join(f", {n} long" for n in names) + ", t string"), names
+
+    a, a_names = table("a", [("x", "24", "TA", 1, "u"), ("x", "24", "TA", -5, "w"), ("x", "24", "EL", 7, None)])
+    b, b_names = table("b", [("x", "24", "TA", 100, None), ("x", "24", "TA", 50, None), ("y", "24", "TA", 3, None)])
+    c, c_names = table("c", [("x", "24", "TA", -1, None)])
+    sources = {"a": S({n: n for n in a_names} | {"a_text": "t"}), "b": S({n: n for n in b_names}), "c": S({n: n for n in c_names})}
+    got = A.merge({"a": a, "b": b, "c": c}, sources)
+    rows = {(r["cds_code"], r["academic_year"], r["reporting_category"]): (r["a0"], r["a19"], r["b0"], r["b19"], r["c0"], r["c19"], r["a_text"]) for r in got.collect()}
+    assert got.count() == len(rows)
+    assert rows == {
+        ("x", "24", "TA"): (1, 20, 100, 119, -1, 18, "w"),
+        ("x", "24", "EL"): (7, 26, None, None, None, None, None),
+        ("y", "24", "TA"): (None, None, 3, 22, None, None, None),
+    }
+    assert got.columns == [*A.GRAIN, *a_names, "a_text", *b_names, *c_names]
+    fixed = [*a_names, *b_names, *c_names]
+    bundles = A._bundles(sources, fixed)
+    kinds = {n: t.schema[n].dataType for t, ns in ((a, a_names), (b, b_names), (c, c_names)) for n in ns}
+    assert len(set(A._slots(sources, kinds, bundles).values())) == 20  # not 60
+
+
+def test_domains_read_line_items_once(spark):
+    df = catalog.QUERIES["school_accountability"](spark, "/root/testdata/sf0.001")
+    assert df.collect()
+    assert _final_plan(df).count("lineitem.parquet") == 1
